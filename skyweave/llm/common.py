@@ -76,7 +76,11 @@ def runs_of(keys: np.ndarray):
 
 
 NO_ID = -(1 << 62)
-ID = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))  # stands for a null doc_id
+
+
+def doc_key():
+    """doc_id, or what stands for a null one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
 def part_of(parts: int):
@@ -94,7 +98,7 @@ def packed(docs: DataFrame, parts: int) -> DataFrame:
                 blobs = [squeeze(ids[order[a:b]], np.diff(bounds)[order[a:b]], np.concatenate([data[bounds[i] : bounds[i + 1]] for i in order[a:b]])) for _, a, b in runs]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-    return docs.select(part_of(parts).alias("part"), ID.alias("doc_id"), "text").mapInArrow(pack, "part int, blob binary")
+    return docs.select(part_of(parts).alias("part"), doc_key().alias("doc_id"), "text").mapInArrow(pack, "part int, blob binary")
 
 
 def unpacked(column: pa.ChunkedArray, limit: int):

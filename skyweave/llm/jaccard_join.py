@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.components import connected_components
 
-from .common import ID, NO_ID, joined, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import NO_ID, doc_key, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WORDS, MOST, SMALL, SALTS = 5, 4, 8, 64
 CELLS = 1 << 16
@@ -42,10 +42,13 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray):
-    """Hash of each word of the values of a buffer, and how many words each value has."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray | None = None, heads: tuple[int, ...] = ()):
+    """Hash of each word of the values of a buffer, and how many words each value has.
+
+    sep tells of each byte whether it parts words; for each k of heads the hashes of the words' first k bytes follow.
+    """
     size = len(data)
-    sep = (data == 32) | ((data >= 9) & (data <= 13))
+    sep = (data == 32) | ((data >= 9) & (data <= 13)) if sep is None else sep[data]
     lower = data + np.uint8(32) * ((data >= 65) & (data <= 90)).view(np.uint8)
     start, end = ~sep, ~sep
     if size:
@@ -56,9 +59,10 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray):
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
     total = np.zeros(size + 1, np.uint64)
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _powers(BASE, size), out=total[1:], dtype=np.uint64)
-    h = mix64((total[e] - total[s]) * _powers(INVERSE, size + 1)[s] + (e - s).astype(np.uint64))
-    count = np.diff(np.searchsorted(s, bounds))
-    return h, count
+    shift, count = _powers(INVERSE, size + 1)[s], np.diff(np.searchsorted(s, bounds))
+    h = mix64((total[e] - total[s]) * shift + (e - s).astype(np.uint64))
+    more = [mix64((total[np.minimum(s + k, e)] - total[s]) * shift + np.uint64(k << 32)) for k in heads]
+    return (h, count, *more)
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, rank: np.ndarray | None = None):
@@ -310,7 +314,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     parts, buckets = max(2 * partitions(spark), total // PART_BYTES), max(partitions(spark), min(1 << 16, total // 24 // BUCKET_ROWS))
     signed = written(docs.mapInArrow(_signatures, "doc_id long, n long, node long, cells int, counts binary"))
     rank, cost = _ranks(signed.where("cells is not null").groupBy("cells").applyInArrow(_add, "cells int, counts binary").collect())
-    signed = signed.where("cells is null").select(ID.alias("doc_id"), "n", "node")
+    signed = signed.where("cells is null").select(doc_key().alias("doc_id"), "n", "node")
     met = written(docs.select("text").mapInArrow(_prefixes(rank, cost, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, FOUND))
     first = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     dealt = packed(docs, parts)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, NO_ID, joined, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import NO_ID, doc_key, joined, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM
@@ -372,7 +372,7 @@ def _sample(docs: DataFrame, total: int) -> np.ndarray:
                     rows = np.lib.stride_tricks.as_strided(data, (len(data) - GRAM + 1, GRAM), (1, 1))[place]
                     yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["lead"])
 
-    chosen = docs.where(F.pmod(F.xxhash64(ID), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    chosen = docs.where(F.pmod(F.xxhash64(doc_key()), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     blobs = [r[0] for r in chosen.mapInArrow(lead, "lead binary").collect()]
     return np.sort(np.frombuffer(b"".join(bytes(b) for b in blobs), f"S{GRAM}"))
 
