@@ -1,4 +1,344 @@
-"""Queries over the test tables and their DuckDB oracles."""
+"""Queries over the test tables, one or more for each operator, and their DuckDB oracles.
+
+Names lead with what they show; the survey ids they cover are in COVERS. Oracles are written against the tables by
+brute force (cross joins, EXISTS, recursion), independent of the operators.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skyweave.functions import healpix, sky
+from skyweave.operators import dedup, filters, skyjoin, stages, validate
+from skyweave.operators import veto as vetoes
+from skyweave.sources.views import cte, view
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+COVERS: dict[str, str] = {}
+HAV = sky.haversine("a.ra", "a.dec", "b.ra", "b.dec")
+RADII = [1.0, 2.0, 3.0, 5.0, 10.0]
+
+
+def near(r) -> str:
+    return f"abs(a.dec - b.dec) <= {r} / 3600e0 + 1e-9 AND {HAV} <= {r}"
+
+
+def query(covers: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__], COVERS[f.__name__] = f, covers
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def sql(name: str, covers: str, views: str, text: str, duck: str | None = None) -> None:
+    """A query that is one SELECT over the views in either engine."""
+    names = views.split()
+
+    def run(spark, sf_dir):
+        for n in names:
+            view(spark, sf_dir, n).createOrReplaceTempView(n)
+        return spark.sql(text)
+
+    run.__name__ = name
+    QUERIES[name], COVERS[name], ORACLES[name] = run, covers, cte(*names) + " " + (duck or text)
+
+
+R6 = lambda x, n: f"round({x}, 6) AS {n}"
+
+# --- radius joins -----------------------------------------------------------------------------------------------
+
+
+@query("D01 D04 A11 B01 B03 B04", cte("det", "cat_a") + f" SELECT a.id, b.id AS r_id, {R6(HAV, 'sep_arcsec')} FROM det a JOIN cat_a b ON {near(5)}")
+def sky_pairs_5as(spark, d):
+    return skyjoin.pairs(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "cat_a"), 5).select("id", "r_id", F.round("sep_arcsec", 6).alias("sep_arcsec"))
+
+
+@query("D03 D13 D18 G01", cte("det", "cat_a") + f", p AS (SELECT a.id, b.id AS r_id, b.mag, {HAV} AS s FROM det a JOIN cat_a b ON {near(10)}) SELECT id, arg_min(r_id, s) AS r_id, arg_min(mag, s) AS r_mag, round(min(s), 6) AS sep_arcsec FROM p GROUP BY id")
+def sky_nearest_10as(spark, d):
+    n = skyjoin.nearest(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "cat_a"), 10, ["id"], "id")
+    return n.select("id", "r_id", "r_mag", F.round("sep_arcsec", 6).alias("sep_arcsec"))
+
+
+@query("D09 D17 A10 A12", cte("det", "cat_b") + f" SELECT a.id, a.tile_id FROM det a WHERE EXISTS (SELECT 1 FROM cat_b b WHERE {near(5)})")
+def sky_semi_5as(spark, d):
+    return skyjoin.semi(view(spark, d, "det"), view(spark, d, "cat_b"), 5, ["id"]).select("id", "tile_id")
+
+
+@query("D02 R1 R2", cte("det", "cat_b") + f" SELECT a.id, a.tile_id FROM det a WHERE NOT EXISTS (SELECT 1 FROM cat_b b WHERE {near(5)})")
+def sky_anti_5as(spark, d):
+    return skyjoin.anti(view(spark, d, "det"), view(spark, d, "cat_b"), 5, ["id"]).select("id", "tile_id")
+
+
+@query("D03b", cte("cat_a", "cat_b") + f", p AS (SELECT a.id AS i, b.id AS j, {HAV} AS s FROM cat_a a JOIN cat_b b ON {near(10)}), m AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s, j) AS x, row_number() OVER (PARTITION BY j ORDER BY s, i) AS y FROM p) SELECT i AS id, j AS r_id, round(s, 6) AS sep_arcsec FROM m WHERE x = 1 AND y = 1")
+def sky_best_symmetric(spark, d):
+    return skyjoin.best_symmetric(view(spark, d, "cat_a").select("id", "ra", "dec"), view(spark, d, "cat_b"), 10, "id", "id").select("id", "r_id", F.round("sep_arcsec", 6).alias("sep_arcsec"))
+
+
+# --- vetoes -----------------------------------------------------------------------------------------------------
+CHAIN = ["cat_a", "cat_b", "cat_c"]
+_hit = {c: f"EXISTS (SELECT 1 FROM {c} b WHERE {near(5)})" for c in CHAIN}
+_flags = cte("det", *CHAIN) + ", f AS (SELECT a.id, " + ", ".join(f"{h} AS in_{c}" for c, h in _hit.items()) + " FROM det a)"
+
+
+@query("D05 D06 A22", _flags + " SELECT id, in_cat_a, in_cat_b, in_cat_c, CASE WHEN in_cat_a THEN 'cat_a' WHEN in_cat_b THEN 'cat_b' WHEN in_cat_c THEN 'cat_c' ELSE 'kept' END AS outcome FROM f")
+def veto_chain_flags(spark, d):
+    return vetoes.chain_flags(view(spark, d, "det").select("id", "ra", "dec"), {c: view(spark, d, c) for c in CHAIN}, 5, ["id"]).drop("ra", "dec")
+
+
+@query("E01 A29", _flags + " SELECT 0 AS step, 'cat_a' AS veto, count(*) AS rows_in, count(*) FILTER (in_cat_a) AS eliminated, count(*) FILTER (NOT in_cat_a) AS kept FROM f UNION ALL SELECT 1, 'cat_b', count(*), count(*) FILTER (in_cat_b), count(*) FILTER (NOT in_cat_b) FROM f WHERE NOT in_cat_a UNION ALL SELECT 2, 'cat_c', count(*), count(*) FILTER (in_cat_c), count(*) FILTER (NOT in_cat_c) FROM f WHERE NOT in_cat_a AND NOT in_cat_b")
+def veto_chain_ledger(spark, d):
+    return vetoes.chain_ledger(veto_chain_flags(spark, d), CHAIN)
+
+
+@query("E24 H02", _flags + " SELECT id, CASE WHEN in_cat_c THEN 'added' END AS change FROM f WHERE NOT in_cat_a AND NOT in_cat_b AND in_cat_c")
+def counterfactual_no_third_veto(spark, d):
+    det = view(spark, d, "det").select("id", "ra", "dec")
+    two = skyjoin.anti(skyjoin.anti(det, view(spark, d, "cat_a"), 5, ["id"]), view(spark, d, "cat_b"), 5, ["id"])
+    three = skyjoin.anti(two, view(spark, d, "cat_c"), 5, ["id"])
+    return two.join(three.select("id"), "id", "left_anti").select("id", F.lit("added").alias("change"))
+
+
+# --- filters ----------------------------------------------------------------------------------------------------
+@query("C01", cte("det") + " SELECT id FROM det WHERE flags = 0 AND snr > 30")
+def extract_filter(spark, d):
+    return filters.extract_filter(view(spark, d, "det")).select("id")
+
+
+@query("C02 C04", cte("det") + " SELECT id FROM det WHERE spread > -0.002e0 AND fwhm > 2 AND fwhm < 7 AND elong < 1.3e0 AND abs(dx - dy) < 2 AND dx > 1 AND dy > 1")
+def morph_hard_gates(spark, d):
+    return filters.hard_gates(view(spark, d, "det")).select("id")
+
+
+sql("xy_bounds", "C05", "det", "SELECT id FROM det WHERE dx BETWEEN 1 AND 5 AND dy BETWEEN 1 AND 3")
+_g = "(id % 40)"
+_clip = cte("det") + f", r AS (SELECT *, {_g} AS g FROM det WHERE flags = 0 AND snr > 30), m AS (SELECT g, median(fwhm) AS mf, median(elong) AS me FROM r GROUP BY g), s AS (SELECT r.g, 1.4826 * median(abs(fwhm - mf)) AS sf, 1.4826 * median(abs(elong - me)) AS se FROM r JOIN m USING (g) GROUP BY r.g) SELECT id, r.g FROM r JOIN m USING (g) JOIN s USING (g) WHERE (sf <= 0 OR abs(fwhm - mf) <= 2 * sf) AND (se <= 0 OR abs(elong - me) <= 2 * se) AND fwhm IS NOT NULL AND elong IS NOT NULL"
+
+
+@query("C03 E03 R3", _clip)
+def robust_sigma_clip(spark, d):
+    return filters.sigma_clip(filters.extract_filter(view(spark, d, "det")).withColumn("g", F.expr(_g)), ["fwhm", "elong"], "g").select("id", "g")
+
+
+TESTS = {"flags": "flags <> 0", "snr": "snr <= 30", "fwhm": "fwhm <= 2 OR fwhm >= 7", "elong": "elong >= 1.3e0"}
+_reason = cte("det") + ", r AS (SELECT id, tile_id, list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in TESTS.items()) + "], lambda x: x IS NOT NULL) AS l FROM det)"
+
+
+@query("C18 B24", _reason + " SELECT id, array_to_string(l, '|') AS reasons FROM r")
+def reject_reasons(spark, d):
+    return filters.reasons(view(spark, d, "det"), TESTS).select("id", "reasons")
+
+
+@query("E02", _reason + " SELECT unnest(l) AS reason, count(*) AS n FROM r GROUP BY 1")
+def reject_reason_counts(spark, d):
+    return filters.reason_counts(reject_reasons(spark, d))
+
+
+@query("E02b", _reason + " SELECT array_to_string(l, '|') AS reasons, count(*) AS n FROM r GROUP BY 1")
+def reject_reason_combinations(spark, d):
+    return reject_reasons(spark, d).groupBy("reasons").agg(F.count("*").alias("n"))
+
+
+@query("D07 B18 T2", cte("det", "cat_c") + f", p AS (SELECT a.id, b.id AS star, b.rmag, {HAV} AS s FROM det a JOIN cat_c b ON {near(90)} WHERE b.rmag <= 16), n AS (SELECT id, arg_min(star, s) AS star_id, arg_min(rmag, s) AS m, min(s) AS s FROM p GROUP BY id) SELECT d.id, coalesce(star_id, -1) AS star_id, round(s, 6) AS star_sep, coalesce(m <= 12.4e0 OR m < -0.09e0 * s + 15.3e0, false) AS spike FROM det d LEFT JOIN n ON n.id = d.id")
+def spike_mask(spark, d):
+    m = filters.spike_mask(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "cat_c"), ["id"])
+    return m.select("id", F.coalesce("star_id", F.lit(-1)).alias("star_id"), F.round("star_sep", 6).alias("star_sep"), "spike")
+
+
+sql("circle_cut", "C06", "det plates", f"SELECT a.id, b.id AS plate_id FROM det a JOIN plates b ON a.id % 25 = b.id WHERE {HAV} <= 360000")
+sql("catalogue_threshold", "C10 C11 C21 B18", "cat_a", f"SELECT id, n_detections, {sky.valid_magnitude('mag')} AS valid_mag FROM cat_a WHERE n_detections >= 3 AND id % 100 <> 1")
+sql("second_epoch", "C09 B10b", "cat_b", "SELECT id, " + R6(sky.propagate_stage("ra", "dec", "pmra", "pmdec", "-50")[0], "ra") + ", " + R6(sky.propagate_stage("ra", "dec", "pmra", "pmdec", "-50")[1], "dec") + " FROM cat_b WHERE pmra IS NOT NULL OR pmdec IS NOT NULL")
+sql("southern_cut", "C08", "det", "SELECT id, coalesce(dec < 0, false) AS cut FROM det")
+sql("plate_footprint", "C16", "plates", "SELECT count(*) AS plates, count(CASE WHEN dec >= -3 THEN 1 END) AS inside, count(CASE WHEN dec < -3 AND dec > -3.5e0 THEN 1 END) AS in_gap FROM plates")
+sql("cone_sanity", "C19 G05", "det plates", f"SELECT b.id, median({HAV}) / 3600 <= 200 AS covered FROM det a JOIN plates b ON a.id % 25 = b.id WHERE a.id < 2000 GROUP BY b.id")
+sql("truncated_tiles", "C20", "det", "SELECT id % 10 AS g, count(*) AS n, count(*) = 1000 AS truncated FROM det GROUP BY id % 10")
+
+# --- positions and motions --------------------------------------------------------------------------------------
+_moved = sky.propagate("ra", "dec", "pmra", "pmdec", "-66")
+sql("pm_propagate", "B10 B11 T3", "cat_b", f"SELECT id, {R6(_moved[0], 'ra')}, {R6(_moved[1], 'dec')} FROM cat_b")
+sql("total_motion", "B12", "cat_b", f"SELECT id, {R6(sky.total_motion('pmra', 'pmdec'), 'pm')} FROM cat_b WHERE pmra IS NOT NULL")
+sql("hpm_flags", "D08 D22 D23", "cat_b", f"SELECT id, {R6(sky.haversine('ra', 'dec', *_moved), 'moved')}, {sky.haversine('ra', 'dec', *_moved)} > 5 AS hpm FROM cat_b")
+sql("tangent_offsets", "B05 B06", "cat_a", f"SELECT id, {R6(sky.tangent_offsets('ra', 'dec', '350e0', '5e0')[0], 'x')}, {R6(sky.tangent_offsets('ra', 'dec', '350e0', '5e0')[1], 'y')}, {R6(sky.wrap180('ra'), 'ra180')} FROM cat_a")
+sql("gnomonic", "B07", "cat_a", f"SELECT id, {R6(sky.gnomonic('ra', 'dec', '30e0', '5e0')[0], 'xi')}, {R6(sky.gnomonic('ra', 'dec', '30e0', '5e0')[1], 'eta')} FROM cat_a WHERE ra < 60")
+sql("flat_separation", "B08", "cat_a", f"SELECT id, {R6(sky.flat_separation('ra', 'dec', '30e0', '5e0', '(SELECT median(dec) FROM cat_a)'), 'sep')} FROM cat_a WHERE ra < 60")
+sql("destination", "B09", "cat_a", f"SELECT id, {R6(sky.destination('ra', 'dec', '0.5e0', '(id % 360)')[0], 'ra')}, {R6(sky.destination('ra', 'dec', '0.5e0', '(id % 360)')[1], 'dec')} FROM cat_a")
+sql("chebyshev_edge", "B26 B27 C15", "det plates", f"SELECT a.id, {R6(sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec'), 'cheb')}, {sky.edge_class('(3.3e0 - ' + sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec') + ')', '0.01e0', '0.5e0')} AS edge FROM det a JOIN plates b ON a.id % 25 = b.id")
+sql("polynomial_terms", "B22", "det", "SELECT id, " + ", ".join(R6(t, f"t{k}") for k, t in enumerate(sky.polynomial("dx", "dy", 2))) + " FROM det")
+sql("ratio_metrics", "B25", "det", f"SELECT id, {R6(sky.ratio('fwhm', 'dx'), 'fwhm_ratio')}, {R6(sky.ratio('spread', 'dy'), 'spread_snr')} FROM det")
+sql("wilson_interval", "B28", "det", f"SELECT id % 40 AS g, count(*) AS n, count(CASE WHEN flags = 0 THEN 1 END) AS k, {R6(sky.wilson('count(CASE WHEN flags = 0 THEN 1 END)', 'count(*)')[0], 'low')}, {R6(sky.wilson('count(CASE WHEN flags = 0 THEN 1 END)', 'count(*)')[1], 'high')} FROM det GROUP BY id % 40")
+sql("sexagesimal", "B15 T9", "det", "SELECT id, " + R6(sky.sexagesimal("(CASE WHEN id % 2 = 0 THEN '-' ELSE '' END || CAST(id % 3 + 1 AS STRING) || ':' || CAST(id % 60 AS STRING) || ':' || CAST((id * 7) % 60 AS STRING))"), "deg") + " FROM det", "SELECT id, " + R6(sky.sexagesimal("(CASE WHEN id % 2 = 0 THEN '-' ELSE '' END || CAST(id % 3 + 1 AS VARCHAR) || ':' || CAST(id % 60 AS VARCHAR) || ':' || CAST((id * 7) % 60 AS VARCHAR))"), "deg") + " FROM det")
+sql("source_ids", "B14 B32", "det", "SELECT src_id, split_part(src_id, ':', 1) AS tile, CAST(CAST(split_part(src_id, ':', 2) || '.0' AS double) AS bigint) AS object_id FROM det")
+sql("tile_id_parse", "B13", "cat_a", "SELECT id, CAST(substr(t, 8, 7) AS double) AS tile_ra FROM (SELECT id, 'tile_RA' || lpad(CAST(id % 360 AS STRING), 3, '0') || '.500_DECp05.000' AS t FROM cat_a)", "SELECT id, CAST(substr(t, 8, 7) AS double) AS tile_ra FROM (SELECT id, 'tile_RA' || lpad(CAST(id % 360 AS VARCHAR), 3, '0') || '.500_DECp05.000' AS t FROM cat_a)")
+sql("julian_dates", "B16 B17", "det", "SELECT id, round(unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 / 86400 + 40587, 6) AS mjd, year(ts) AS y FROM det", "SELECT id, round(epoch_us(ts) / 1e6 / 86400 + 40587, 6) AS mjd, CAST(year(ts) AS INTEGER) AS y FROM det")
+sql("fingerprint", "B31", "det", "SELECT id, substr(sha2(src_id, 256), 1, 10) AS print FROM det", "SELECT id, substr(sha256(src_id), 1, 10) AS print FROM det")
+
+# --- de-duplication ---------------------------------------------------------------------------------------------
+_both = ", u AS (SELECT src_id, tile_id, ra, dec FROM det UNION ALL SELECT 'a' || CAST(id AS VARCHAR), id % 50, ra, dec FROM cat_a)"
+
+
+def _stacked(spark, d):
+    a = view(spark, d, "cat_a")
+    return view(spark, d, "det").select("src_id", "tile_id", "ra", "dec").union(a.select(F.concat(F.lit("a"), F.col("id").cast("string")), F.col("id") % 50, "ra", "dec"))
+
+
+@query("F01", cte("det") + " SELECT tile_id, min(id) AS id FROM det GROUP BY tile_id")
+def first_per_tile(spark, d):
+    return dedup.first_per_key(view(spark, d, "det"), ["tile_id"], ["id"]).select("tile_id", "id")
+
+
+@query("D10 E09 T7", cte("det", "cat_a") + _both + f", e AS (SELECT a.src_id AS i, b.src_id AS j FROM u a JOIN u b ON {near(3)} AND a.src_id <> b.src_id), r AS (SELECT u.src_id, least(u.src_id, min(e.j)) AS component FROM u LEFT JOIN e ON e.i = u.src_id GROUP BY u.src_id) SELECT src_id, component, component = src_id AS kept FROM r")
+def dedup_3as(spark, d):
+    return dedup.dedup(_stacked(spark, d), 3).select("src_id", "component", "kept")
+
+
+@query("E08")
+def dedup_sweep(spark, d):
+    return dedup.sweep(_stacked(spark, d), [0.3, 1.0, 3.0])
+
+
+# --- stages -----------------------------------------------------------------------------------------------------
+@query("D16 T20", cte("det", "cat_b") + f", k AS (SELECT a.id, EXISTS (SELECT 1 FROM cat_b b WHERE {near(5)}) AS m FROM det a) SELECT count(*) AS input_rows, count(*) FILTER (m) AS dropped_rows, count(*) FILTER (NOT m) AS kept_rows FROM k")
+def match_stage_ledger(spark, d):
+    return stages.match_stage(view(spark, d, "det"), view(spark, d, "cat_b"), 5, "id").ledger
+
+
+@query("SCOS D09", cte("det", "cat_b") + f" SELECT a.id FROM det a WHERE EXISTS (SELECT 1 FROM cat_b b WHERE {near(5)})")
+def match_stage_keep_mode(spark, d):
+    return stages.match_stage(view(spark, d, "det"), view(spark, d, "cat_b"), 5, "id", keep_matches=True).kept.select("id")
+
+
+REJECT = {"dec": "dec < -10", "fwhm": "fwhm / nullif(dx, 0) > 5e0", "spread": "spread > 0.015e0"}
+
+
+@query("C07 C12 C13 C14 R4", cte("det") + " SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN coalesce({t}, false) THEN '{n}' END" for n, t in REJECT.items()) + "], lambda x: x IS NOT NULL), ';') AS reason, NOT (" + " OR ".join(f"coalesce({t}, false)" for t in REJECT.values()) + ") AS keep FROM det")
+def test_stage_flags(spark, d):
+    return stages.test_stage(view(spark, d, "det"), "id", REJECT).flags
+
+
+@query("D09b D09c", cte("det", "cat_b") + f" SELECT a.id, count(b.id) AS n_any, count(b.id) FILTER (b.pmra IS NOT NULL) AS n_pm, count(b.id) FILTER (b.band < 10) AS n_band FROM det a LEFT JOIN cat_b b ON {near(10)} GROUP BY a.id")
+def banded_counts(spark, d):
+    return stages.banded_counts(view(spark, d, "det"), view(spark, d, "cat_b"), "id", 10, {"n_any": "true", "n_pm": "r_pmra IS NOT NULL", "n_band": "r_band < 10"})
+
+
+@query("D16 D15", cte("det") + " SELECT id FROM det WHERE flags > 0 AND id % 3 = 0")
+def shrink_keep(spark, d):
+    det = view(spark, d, "det")
+    return stages.shrink(det, det.where("id % 3 = 0"), "id", "flags", True).select("id")
+
+
+sql("tile_psf", "E05 C17", "det", "SELECT id % 40 AS g, count(*) AS n_stars, " + R6("median(fwhm)", "psf_fwhm") + ", " + R6("median(spread)", "psf_spread") + ", CASE WHEN count(*) >= 60 THEN 'ok' ELSE 'few' END AS status FROM det WHERE flags = 0 AND elong < 1.3e0 GROUP BY id % 40")
+sql("tile_manifest", "J01 J02 T13", "det", "SELECT tile_id, count(*) AS rows_in, count(CASE WHEN flags = 0 THEN 1 END) AS rows_out, CASE WHEN count(CASE WHEN flags = 0 THEN 1 END) = 0 THEN 'no_valid_rows' ELSE 'ok' END AS status FROM det GROUP BY tile_id")
+sql("chunked_rows", "A21", "cat_a", "SELECT id, (row_number() OVER (ORDER BY id) - 1) % 100 AS place, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS bigint) AS chunk FROM cat_a")
+sql("latest_per_key", "A23", "det", "SELECT tile_id, id, snr FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts DESC, id DESC) AS n FROM det) x WHERE n = 1")
+
+# --- validation -------------------------------------------------------------------------------------------------
+_dist = cte("det", "ref") + f", d AS (SELECT a.id, a.status, min({HAV}) AS dist FROM ref a LEFT JOIN det b ON {near(10)} GROUP BY a.id, a.status), q AS (SELECT unnest([1.0, 2.0, 3.0, 5.0, 10.0])::DOUBLE AS radius)"
+
+
+@query("E06 D13", _dist + " SELECT radius, count(*) AS n, count(*) FILTER (dist <= radius) AS hits, round(count(*) FILTER (dist <= radius) / count(*), 6) AS recall FROM d, q GROUP BY radius")
+def recall_by_radius(spark, d):
+    return validate.recall(validate.nearest_distance(view(spark, d, "ref"), view(spark, d, "det"), 10), RADII)
+
+
+@query("E14", _dist + " SELECT status, radius, count(*) AS n, count(*) FILTER (dist <= radius) AS hits, round(count(*) FILTER (dist <= radius) / count(*), 6) AS recall FROM d, q GROUP BY status, radius")
+def recall_by_group(spark, d):
+    return validate.recall(validate.nearest_distance(view(spark, d, "ref"), view(spark, d, "det"), 10), RADII, ["status"])
+
+
+@query("E06b H01", cte("det", "cat_a", "ref") + f", u AS (SELECT ra, dec FROM det UNION ALL SELECT ra, dec FROM cat_a), d AS (SELECT a.id, min({HAV}) AS dist FROM ref a LEFT JOIN u b ON {near(10)} GROUP BY a.id), q AS (SELECT unnest([1.0, 2.0, 3.0, 5.0, 10.0])::DOUBLE AS radius) SELECT radius, count(*) AS n, count(*) FILTER (dist <= radius) AS hits, round(count(*) FILTER (dist <= radius) / count(*), 6) AS recall FROM d, q GROUP BY radius")
+def recall_union(spark, d):
+    both = view(spark, d, "det").select("ra", "dec").union(view(spark, d, "cat_a").select("ra", "dec"))
+    return validate.recall(validate.nearest_distance(view(spark, d, "ref"), both, 10), RADII)
+
+
+_arms = cte("det", "ref") + f", n AS (SELECT ra, dec, 'real' AS arm FROM det UNION ALL SELECT {sky.wrap360('ra + 0.1e0')}, dec, 'null' FROM det), d AS (SELECT a.id, b.arm, min({HAV}) AS dist FROM ref a JOIN n b ON {near(10)} GROUP BY a.id, b.arm)"
+
+
+def _armed(spark, d):
+    arms = validate.null_arms(view(spark, d, "det").select("ra", "dec"), 0.1)
+    return skyjoin.pairs(view(spark, d, "ref").select("id", "ra", "dec"), arms, 10).groupBy("id", F.col("r_arm").alias("arm")).agg(F.min("sep_arcsec").alias("dist"))
+
+
+@query("D14", _arms + " SELECT arm, count(*) AS n, count(*) FILTER (dist <= 5) AS within_5 FROM d GROUP BY arm")
+def null_shift_control(spark, d):
+    return _armed(spark, d).groupBy("arm").agg(F.count("*").alias("n"), F.sum((F.col("dist") <= 5).cast("long")).alias("within_5"))
+
+
+@query("E07", _arms + " SELECT CAST(ceil(dist) - 1 AS INTEGER) AS lo, count(*) FILTER (arm = 'real') AS n_real, count(*) FILTER (arm = 'null') AS n_null, count(*) FILTER (arm = 'real') - count(*) FILTER (arm = 'null') AS excess FROM d WHERE dist > 0 AND ceil(dist) - 1 < 10 GROUP BY 1")
+def separation_histogram(spark, d):
+    return validate.histogram(_armed(spark, d), 10)
+
+
+sql("decomposition", "E15", "det ref", f"SELECT count(CASE WHEN in_set THEN 1 END) AS in_set, count(CASE WHEN NOT in_set AND seen THEN 1 END) AS detected_only, count(CASE WHEN NOT seen THEN 1 END) AS not_detected FROM (SELECT id, id IN (SELECT id FROM det WHERE flags = 0) AS in_set, id IN (SELECT id FROM det) AS seen FROM ref) x")
+_plate = cte("det", "plates") + f", s AS (SELECT a.id, b.id AS plate_id, {HAV} / 3600 AS sep, row_number() OVER (PARTITION BY a.id ORDER BY {HAV}, b.id) AS n FROM det a, plates b)"
+
+
+@query("D11 F03 B29 D19", _plate + " SELECT x.id, x.plate_id AS primary_plate, y.plate_id AS neighbour_plate, round(x.sep, 6) AS sep1, round(1 - x.sep / greatest(y.sep, 1e-9), 4) AS sep_margin FROM s x JOIN s y USING (id) WHERE x.n = 1 AND y.n = 2")
+def primary_plate(spark, d):
+    n = validate.nearest_plates(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "plates"), 2)
+    a, b = F.col("near")[0], F.col("near")[1]
+    return n.select("id", a["plate_id"].alias("primary_plate"), b["plate_id"].alias("neighbour_plate"), F.round(a["sep"], 6).alias("sep1"), F.round(1 - a["sep"] / F.greatest(b["sep"], F.lit(1e-9)), 4).alias("sep_margin"))
+
+
+sql("plate_coverage", "D12 A07b T14", "plates det", f"SELECT b.id, count(CASE WHEN {sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec')} <= 3.3e0 THEN 1 END) AS covered FROM plates b CROSS JOIN det a GROUP BY b.id")
+sql("edge_yield", "E12", "det plates", "SELECT count(*) AS n, " + ", ".join(f"count(CASE WHEN {sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec')} > {r} THEN 1 END) AS beyond_{r}" for r in (1, 3, 10, 30)) + " FROM det a JOIN plates b ON a.id % 25 = b.id")
+sql("funnel", "D20 F02 E13 T19", "det", "SELECT stage, count(*) AS n FROM (SELECT CASE WHEN flags <> 0 THEN 'extract' WHEN snr <= 30 THEN 'snr' WHEN elong >= 1.3e0 THEN 'morph' ELSE 'kept' END AS stage FROM det) x GROUP BY stage")
+sql("class_breakdown", "E20 E21", "cat_b", "SELECT CASE WHEN pmra IS NULL THEN 'indeterminate' WHEN abs(pmra) > 150 THEN 'fast' WHEN band < 5 THEN 'blue' ELSE 'other' END AS class, count(*) AS n FROM cat_b GROUP BY 1")
+sql("field_grid", "E10", "det", "SELECT CAST(floor(dec / 5) AS bigint) AS dec_cell, CAST(floor(ra * cos(radians(floor(dec / 5) * 5 + 2.5e0)) / 5) AS bigint) AS ra_cell, count(*) AS n, " + R6("median(ra)", "ra0") + ", " + R6("median(dec)", "dec0") + " FROM det GROUP BY 1, 2")
+sql("percentile_profile", "E16", "det", "SELECT flags, " + ", ".join(f"round(percentile(fwhm, {p}), 6) AS p{int(float(p) * 100)}" for p in ("0.25", "0.5", "0.75", "0.9", "0.99")) + ", round(avg(CASE WHEN fwhm > 5 THEN 1e0 ELSE 0e0 END), 6) AS beyond_5 FROM det GROUP BY flags", "SELECT flags, " + ", ".join(f"round(quantile_cont(fwhm, {p}), 6) AS p{int(float(p) * 100)}" for p in ("0.25", "0.5", "0.75", "0.9", "0.99")) + ", round(avg(CASE WHEN fwhm > 5 THEN 1e0 ELSE 0e0 END), 6) AS beyond_5 FROM det GROUP BY flags")
+sql("stratified_stats", "E18", "det", "SELECT CAST(floor(dec / 10) AS bigint) AS bin, count(*) AS n, round(avg(fwhm), 6) AS mean_fwhm, round(median(fwhm), 6) AS median_fwhm FROM det GROUP BY 1")
+sql("correlation", "E19", "det", "SELECT round(corr(fwhm, snr), 6) AS r FROM det")
+sql("crosstab", "E19 E22", "det", "SELECT flags, count(CASE WHEN snr > 30 THEN 1 END) AS bright, count(CASE WHEN snr <= 30 THEN 1 END) AS faint FROM det GROUP BY flags")
+sql("veto_bias", "E23", "det", "SELECT id % 40 AS g, round(avg(CASE WHEN snr > 30 THEN 1e0 ELSE 0e0 END) - avg(CASE WHEN snr > 50 THEN 1e0 ELSE 0e0 END), 6) AS excess FROM det GROUP BY id % 40")
+sql("displacement", "E26", "det", "SELECT id % 40 AS g, round(median(dx), 6) AS mx, round(median(dy), 6) AS my, round(sqrt(pow(stddev_pop(dx), 2) + pow(stddev_pop(dy), 2)), 6) AS scatter FROM det GROUP BY id % 40")
+sql("contamination", "E11", "det", "SELECT id % 40 AS g, count(*) AS n, round(avg(CASE WHEN snr > 90 THEN 1e0 ELSE 0e0 END), 6) AS fraction, count(*) < 5 OR avg(CASE WHEN snr > 90 THEN 1e0 ELSE 0e0 END) <= 0.2e0 AS pass FROM det GROUP BY id % 40")
+sql("worst_groups", "G03", "det", "SELECT id % 40 AS g, count(*) AS n, count(CASE WHEN flags = 0 THEN 1 END) AS kept FROM det GROUP BY id % 40 HAVING count(*) >= 20 ORDER BY kept, g LIMIT 15")
+sql("set_overlap", "H03", "det ref", "SELECT (SELECT count(*) FROM (SELECT id FROM det INTERSECT SELECT id FROM ref) x) AS common, (SELECT count(*) FROM (SELECT id FROM det EXCEPT SELECT id FROM ref) y) AS missing")
+sql("percent_change", "B30", "det", f"SELECT flags, {R6(sky.percent_change('count(CASE WHEN snr > 30 THEN 1 END)', 'count(*)'), 'change')} FROM det GROUP BY flags")
+sql("top_by_distance", "G02", "cat_a", f"SELECT id, {R6(sky.haversine('ra', 'dec', '30e0', '5e0'), 'sep')} FROM cat_a ORDER BY {sky.haversine('ra', 'dec', '30e0', '5e0')}, id LIMIT 50")
+
+
+@query("H04", cte("det") + " SELECT tile_id, count(DISTINCT id % 2) AS n_values FROM det GROUP BY tile_id HAVING count(DISTINCT id % 2) > 1")
+def unique_mapping_conflicts(spark, d):
+    return validate.unique_mapping(view(spark, d, "det").withColumn("v", F.expr("id % 2")), "tile_id", "v")
+
+
+# --- scans ------------------------------------------------------------------------------------------------------
+@query("A01 A02 A03 A04 A05 A06 B02 R5", cte("cat_a") + f" SELECT id, round({sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60, 4) AS r_arcmin FROM cat_a WHERE {sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60 <= 600")
+def cone_scan(spark, d):
+    cat = view(spark, d, "cat_a").withColumn("healpix_5", healpix.nested_id(F.col("ra"), F.col("dec"), 32))
+    return skyjoin.cone(cat, 30.0, 5.0, 600.0, ["id", "ra", "dec"], cell="healpix_5").select("id", F.round("_r", 4).alias("r_arcmin"))
+
+
+sql("bbox_plate_scan", "A07 T21", "plates cat_a", "SELECT b.id AS plate_id, a.id FROM plates b JOIN cat_a a ON a.ra BETWEEN b.ra - 3 AND b.ra + 3 AND a.dec BETWEEN b.dec - 3 AND b.dec + 3 WHERE a.id % 100 <> 0")
+sql("dec_zones", "A19", "cat_a", "SELECT CAST(floor((dec + 90) / 0.1e0) AS bigint) AS zone, count(*) AS n FROM cat_a GROUP BY 1")
+sql("source_id_pixel", "A17", "det", "SELECT id, shiftright(id * 562949953421 , 40) AS pixel FROM det", "SELECT id, (id * 562949953421) >> 40 AS pixel FROM det")
+
+
+@query("B19 E25 A18 T15")
+def pixel_counts(spark, d):
+    return view(spark, d, "det").groupBy(healpix.nested_id(F.col("ra"), F.col("dec"), 32).alias("pixel")).agg(F.count("*").alias("n"))
+
+
+@query("E04 L04 B22")
+def wcs_poly_fit(spark, d):
+    det = view(spark, d, "det").select(F.expr("id % 40").alias("g"), (F.col("ra") / 360).alias("x"), (F.col("dec") / 60).alias("y"), F.expr("0.5e0 + 2e0 * ra / 360 + spread").alias("ox"), F.expr("1e0 - dec / 60 + spread").alias("oy"))
+    return validate.poly_fit(det, "g")
+
+
+@query("E17 L03")
+def bootstrap_mean(spark, d):
+    return validate.bootstrap(view(spark, d, "det"), "tile_id", "fwhm", 200)
+
+
+@query("L01 L02 F04")
+def stratified_sample(spark, d):
+    return validate.stratified_sample(view(spark, d, "det").withColumn("bin", F.floor(F.col("dec") / 10)), ["bin"], "id", 20).select("bin", "id")
+
+
+@query("F06", cte("det") + " SELECT tile_id FROM (SELECT tile_id, row_number() OVER (ORDER BY tile_id) - 1 AS n FROM (SELECT DISTINCT tile_id FROM det)) WHERE n % 7 = 0")
+def every_seventh_tile(spark, d):
+    return filters.every_nth(view(spark, d, "det").select("tile_id").distinct(), "tile_id", 7)
