@@ -8,9 +8,10 @@ prefix, if its prefix holds tokens of many documents; a pair must share min(l, l
 positional filter, before it is verified.
 
 Equal sets are one node (a 64-bit sum over their tokens), so copies cost a row per map task. Of the nodes in a
-token's group up to SMALL are paired with each other. Larger groups are compared with one of them first; components
-of these links then leave only pairs between different components to compare (`_cross`), which loses no link that
-could join components and never lists the pairs of a large group of near copies.
+token's group up to SMALL are paired with each other; a larger group is paired with one of its nodes, and later, by
+`_cross`, between what are different components by then. Pairs are verified most promising first, and only while their
+components are apart: no link that could join components is lost, and a large group of near copies is never listed
+pair by pair.
 
 Null text counts as empty; documents without words are alone; rows with a null doc_id get their own row and a null
 component unless they equal another; an empty table gives an empty result; other columns are not read.
@@ -258,8 +259,18 @@ def _cross(table: pa.Table) -> pa.Table:
     return _found(0, a, b, l, c, 0, 0)
 
 
+def _only(documents: pa.Table, asked: pa.Table) -> pa.Table:
+    """A part's documents that are asked for, packed again."""
+    want, blobs = np.unique(asked.column("doc_id").to_numpy()), []
+    for ids, data, bounds in unpacked(documents.column("blob"), RUN) if len(want) else ():
+        rows = np.flatnonzero(np.isin(ids, want))
+        if len(rows):
+            blobs.append(squeeze(ids[rows], np.diff(bounds)[rows], np.concatenate([data[bounds[i] : bounds[i + 1]] for i in rows])))
+    return pa.table({"part": pa.array([asked.column("part")[0].as_py()] * len(blobs) if blobs else [], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
 def _extract(documents: pa.Table, asked: pa.Table) -> pa.Table:
-    """The sets of the documents asked for, once for each group that asks."""
+    """The sets of the documents asked for (48 bits of each token), once for each group that asks."""
     want: dict[int, list] = {}
     for row in zip(*(asked.column(k).to_pylist() for k in ("doc_id", "group", "hub")), strict=True):
         want.setdefault(row[0], []).append(row[1:])
@@ -269,36 +280,44 @@ def _extract(documents: pa.Table, asked: pa.Table) -> pa.Table:
             continue
         x, b = shingle_sets(data, bounds)
         node = _identity(x, b)
+        short = np.ascontiguousarray((x >> np.uint64(12)).astype("<u8").view("u1").reshape(-1, 8)[:, :6])
         for k, i in enumerate(ids.tolist()):
             for group, hub in want.pop(i, ()):
-                for to, v in zip(out, (group, hub, node[k], x[b[k] : b[k + 1]].tobytes()), strict=True):
+                for to, v in zip(out, (group, hub, node[k], short[b[k] : b[k + 1]].tobytes()), strict=True):
                     to.append(v)
     return pa.table({"group": pa.array(out[0], pa.int32()), "hub": pa.array(out[1], pa.int64()), "node": pa.array(out[2], pa.int64()), "tokens": pa.array(out[3], pa.binary())})
 
 
+def _tokens(value) -> np.ndarray:
+    raw = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view("<u8").ravel()
+
+
 def _verify(table: pa.Table) -> pa.Table:
     """Links between a hub and those that came with it, by their whole sets."""
-    hub, node = table.column("hub").to_numpy(), table.column("node").to_numpy()
-    tokens = table.column("tokens").combine_chunks()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tokens] if len(tokens) else []
-    own = {h: sets[k] for k, (h, m) in enumerate(zip(hub.tolist(), node.tolist(), strict=True)) if h == m}
     src, dst = [], []
-    for k, (h, m) in enumerate(zip(hub.tolist(), node.tolist(), strict=True)):
-        if h == m:
-            continue
-        x, y = own[h], sets[k]
-        if len(x) > len(y):
-            x, y = y, x
-        inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-        if 100 * inter >= 75 * (len(x) + len(y) - inter):
-            src.append(h)
-            dst.append(m)
+    hub, node, tokens = table.column("hub").to_numpy(), table.column("node").to_numpy(), table.column("tokens").combine_chunks()
+    order, runs = runs_of(hub)
+    for h, lo, hi in runs:
+        rows = order[lo:hi]
+        own = _tokens(tokens[int(rows[node[rows] == h][0])])
+        for k in rows.tolist():
+            if node[k] == h:
+                continue
+            x, y = own, _tokens(tokens[k])
+            if len(x) > len(y):
+                x, y = y, x
+            inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if 100 * inter >= 75 * (len(x) + len(y) - inter):
+                src.append(h)
+                dst.append(int(node[k]))
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
-def _links(pairs: DataFrame, first: DataFrame, dealt: DataFrame, parts: int) -> DataFrame:
+def _links(pairs: DataFrame, first: DataFrame, dealt: DataFrame, parts: int, groups: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold, as a table."""
-    groups = max(partitions(pairs.sparkSession), pairs.count() // 2000)
     pairs = pairs.select(F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(SALTS))), F.lit(groups)).cast("int").alias("group"), F.col("a").alias("hub"), "b")
     asked = pairs.select("group", "hub", F.explode(F.array("hub", "b")).alias("node")).distinct()
     asked = asked.join(first, "node").select(part_of(parts).alias("part"), "doc_id", "group", "hub")
@@ -306,6 +325,38 @@ def _links(pairs: DataFrame, first: DataFrame, dealt: DataFrame, parts: int) ->
     return written(sets.groupBy("group").applyInArrow(_verify, "src long, dst long"))
 
 
+def _open(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs between components, with these."""
+    if roots is None:
+        return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+    for k in "ab":
+        pairs = pairs.join(roots.select(F.col("id").alias(k), F.col("component").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
+    return pairs.where("ra <> rb")
+
+
+def _joined_up(pairs: DataFrame, links: DataFrame | None, roots: DataFrame | None, verify) -> tuple:
+    """Verify pairs (a, b, c): first the most promising of each node and each two components, then, between the
+    components that are still apart, all others. Links within a component would change nothing and are not verified."""
+    for last in (False, True):
+        left = _open(pairs, roots)
+        if last:
+            chosen = left.select("a", "b").join(tried, ["a", "b"], "left_anti")  # noqa: F821
+        else:
+            top = F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")
+            if roots is None:
+                chosen = left.groupBy("a").agg(top).select("p.*").union(left.groupBy("b").agg(top).select("p.*")).distinct()
+            else:
+                chosen = left.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb"), F.pmod(F.xxhash64("a", "b"), F.lit(2))).agg(top).select("p.*")
+        chosen = tried = written(chosen)
+        if chosen.isEmpty():
+            break
+        new = verify(chosen)
+        links = new if links is None else links.union(new)
+        if not new.isEmpty():
+            roots = connected_components(links)
+    return links, roots
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
@@ -316,21 +367,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rank, cost = _ranks(signed.where("cells is not null").groupBy("cells").applyInArrow(_add, "cells int, counts binary").collect())
     signed = signed.where("cells is null").select(doc_key().alias("doc_id"), "n", "node")
     met = written(docs.select("text").mapInArrow(_prefixes(rank, cost, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, FOUND))
-    first = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    dealt = packed(docs, parts)
-    counted = met.where("kind = 0").groupBy("a", "b", "l").agg(F.sum("c").alias("c"))
-    links = _links(written(counted.where("c >= l").select("a", "b")), first, dealt, parts)
+    first = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    counted = written(met.where("kind = 0").groupBy("a", "b", "l").agg(F.sum("c").alias("c")))
+    pairs = counted.where("c >= l").select("a", "b", "c")
+    big = met.where("kind = 1").select("a", "b", "l", "n", "pos")
+
+    some = pairs.select("a").union(pairs.select("b")).union(big.select("b")).distinct().join(first, F.col("a") == F.col("node")).select(part_of(parts).alias("part"), "doc_id")
+    dealt = written(packed(docs, parts).groupBy("part").cogroup(some.groupBy("part")).applyInArrow(_only, "part int, blob binary"))
+    groups = max(partitions(spark), total // PART_BYTES)
+
+    def verify(chosen):
+        return _links(chosen, first, dealt, parts, groups)
 
-    big = met.where("kind = 1")
-    roots = connected_components(links)
+    links, roots = _joined_up(pairs, None, None, verify)
+    if roots is None:
+        roots = spark.createDataFrame([], "id long, component long")
     named = big.join(roots.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     split = named.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
     crossing = named.join(split, "a").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
     crossed = crossing.groupBy("bucket").applyInArrow(_cross, FOUND).groupBy("a", "b", "l").agg(F.sum("c").alias("c"))
     crossed = crossed.join(counted.withColumnRenamed("c", "c0"), ["a", "b", "l"], "left").where("coalesce(c0, 0) < l and c + coalesce(c0, 0) >= l")
-    more = written(crossed.select("a", "b"))
-    if not more.isEmpty():
-        roots = connected_components(links.union(_links(more, first, dealt, parts)))
+    _, roots = _joined_up(written(crossed.select("a", "b", "c")), links, roots, verify)
 
     root = F.coalesce("component", "node")
     nodes = first.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", F.col("doc_id"), root.alias("root"))
