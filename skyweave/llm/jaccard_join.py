@@ -28,7 +28,7 @@ from skyweave.operators.components import connected_components
 
 from .common import NO_ID, doc_key, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
-WORDS, MOST, SMALL, SALTS = 5, 4, 8, 64
+WORDS, MOST, SMALL, TOGETHER = 5, 4, 8, 4000
 CELLS = 1 << 16
 RUN = 1 << 20
 BASE, X60 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64((1 << 60) - 1)
@@ -272,9 +272,9 @@ def _only(documents: pa.Table, asked: pa.Table) -> pa.Table:
 def _extract(documents: pa.Table, asked: pa.Table) -> pa.Table:
     """The sets of the documents asked for (48 bits of each token), once for each group that asks."""
     want: dict[int, list] = {}
-    for row in zip(*(asked.column(k).to_pylist() for k in ("doc_id", "group", "hub")), strict=True):
-        want.setdefault(row[0], []).append(row[1:])
-    out = [[], [], [], []]
+    for doc, group in zip(asked.column("doc_id").to_pylist(), asked.column("group").to_pylist(), strict=True):
+        want.setdefault(doc, []).append(group)
+    out = [[], [], []]
     for ids, data, bounds in unpacked(documents.column("blob"), RUN) if want else ():
         if not any(i in want for i in ids.tolist()):
             continue
@@ -282,10 +282,10 @@ def _extract(documents: pa.Table, asked: pa.Table) -> pa.Table:
         node = _identity(x, b)
         short = np.ascontiguousarray((x >> np.uint64(12)).astype("<u8").view("u1").reshape(-1, 8)[:, :6])
         for k, i in enumerate(ids.tolist()):
-            for group, hub in want.pop(i, ()):
-                for to, v in zip(out, (group, hub, node[k], short[b[k] : b[k + 1]].tobytes()), strict=True):
+            for group in want.pop(i, ()):
+                for to, v in zip(out, (group, node[k], short[b[k] : b[k + 1]].tobytes()), strict=True):
                     to.append(v)
-    return pa.table({"group": pa.array(out[0], pa.int32()), "hub": pa.array(out[1], pa.int64()), "node": pa.array(out[2], pa.int64()), "tokens": pa.array(out[3], pa.binary())})
+    return pa.table({"group": pa.array(out[0], pa.int32()), "node": pa.array(out[1], pa.int64()), "tokens": pa.array(out[2], pa.binary())})
 
 
 def _tokens(value) -> np.ndarray:
@@ -295,34 +295,43 @@ def _tokens(value) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _verify(table: pa.Table) -> pa.Table:
-    """Links between a hub and those that came with it, by their whole sets."""
+def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Of a group's pairs those that reach the threshold, by their whole sets."""
     src, dst = [], []
-    hub, node, tokens = table.column("hub").to_numpy(), table.column("node").to_numpy(), table.column("tokens").combine_chunks()
-    order, runs = runs_of(hub)
-    for h, lo, hi in runs:
-        rows = order[lo:hi]
-        own = _tokens(tokens[int(rows[node[rows] == h][0])])
-        for k in rows.tolist():
-            if node[k] == h:
-                continue
-            x, y = own, _tokens(tokens[k])
-            if len(x) > len(y):
-                x, y = y, x
-            inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if 100 * inter >= 75 * (len(x) + len(y) - inter):
-                src.append(h)
-                dst.append(int(node[k]))
+    tokens = sets.column("tokens").combine_chunks()
+    at = {m: k for k, m in enumerate(sets.column("node").to_pylist())}
+    last, own = None, None
+    for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+        if a != last:
+            last, own = a, _tokens(tokens[at[a]])
+        x, y = own, _tokens(tokens[at[b]])
+        if len(x) > len(y):
+            x, y = y, x
+        inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        if 100 * inter >= 75 * (len(x) + len(y) - inter):
+            src.append(a)
+            dst.append(b)
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
-def _links(pairs: DataFrame, first: DataFrame, dealt: DataFrame, parts: int, groups: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, as a table."""
-    pairs = pairs.select(F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(SALTS))), F.lit(groups)).cast("int").alias("group"), F.col("a").alias("hub"), "b")
-    asked = pairs.select("group", "hub", F.explode(F.array("hub", "b")).alias("node")).distinct()
-    asked = asked.join(first, "node").select(part_of(parts).alias("part"), "doc_id", "group", "hub")
-    sets = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_extract, "group int, hub long, node long, tokens binary")
-    return written(sets.groupBy("group").applyInArrow(_verify, "src long, dst long"))
+def _links(pairs: DataFrame, first: DataFrame, dealt: DataFrame, parts: int) -> DataFrame:
+    """The pairs (a, b; components ra, rb) that reach the threshold, as a table.
+
+    A pair is verified where the one of its two components is that has more pairs: that component's sets and those it
+    is compared with come there once, in blocks of the component if it has many pairs.
+    """
+    weight = pairs.select(F.explode(F.array("ra", "rb")).alias("r")).groupBy("r").agg(F.count("*").alias("d"))
+    for k in "ab":
+        pairs = pairs.join(weight.select(F.col("r").alias(f"r{k}"), F.col("d").alias(f"d{k}")), f"r{k}")
+    swap = F.struct("db", "rb") > F.struct("da", "ra")
+    home, many, member = (F.when(swap, F.col(y)).otherwise(F.col(x)) for x, y in (("ra", "rb"), ("da", "db"), ("a", "b")))
+    groups = max(partitions(first.sparkSession), pairs.count() // TOGETHER)
+    block = F.pmod(F.xxhash64(member), F.ceil(many / TOGETHER))
+    pairs = pairs.select(F.pmod(F.xxhash64(home, block), F.lit(groups)).cast("int").alias("group"), "a", "b")
+    asked = pairs.select("group", F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = asked.join(first, "node").select(part_of(parts).alias("part"), "doc_id", "group")
+    sets = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_extract, "group int, node long, tokens binary")
+    return written(sets.groupBy("group").cogroup(pairs.groupBy("group")).applyInArrow(_verify, "src long, dst long"))
 
 
 def _open(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -340,9 +349,9 @@ def _joined_up(pairs: DataFrame, links: DataFrame | None, roots: DataFrame | Non
     for last in (False, True):
         left = _open(pairs, roots)
         if last:
-            chosen = left.select("a", "b").join(tried, ["a", "b"], "left_anti")  # noqa: F821
+            chosen = left.select("a", "b", "ra", "rb").join(tried, ["a", "b"], "left_anti")  # noqa: F821
         else:
-            top = F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")
+            top = F.max_by(F.struct("a", "b", "ra", "rb"), F.struct("c", "a", "b")).alias("p")
             if roots is None:
                 chosen = left.groupBy("a").agg(top).select("p.*").union(left.groupBy("b").agg(top).select("p.*")).distinct()
             else:
@@ -374,10 +383,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     some = pairs.select("a").union(pairs.select("b")).union(big.select("b")).distinct().join(first, F.col("a") == F.col("node")).select(part_of(parts).alias("part"), "doc_id")
     dealt = written(packed(docs, parts).groupBy("part").cogroup(some.groupBy("part")).applyInArrow(_only, "part int, blob binary"))
-    groups = max(partitions(spark), total // PART_BYTES)
 
     def verify(chosen):
-        return _links(chosen, first, dealt, parts, groups)
+        return _links(chosen, first, dealt, parts)
 
     links, roots = _joined_up(pairs, None, None, verify)
     if roots is None:
