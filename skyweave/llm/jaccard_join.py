@@ -4,8 +4,8 @@ A document's set holds its distinct shingles of five words (lower-cased A-Z; wor
 space; fewer than five words are one shingle; no words, no set). Its tokens have one global order: rare before
 frequent by a count sketch over *all* documents, then by hash. With prefixes of n - ceil(3n/4) + l tokens, two sets
 that reach the threshold share l prefix tokens at least, for any l. A document takes a larger l, and so a longer
-prefix, if its prefix holds tokens of many documents; a pair must share min(l, l') prefix tokens, each passing the
-positional filter, before it is verified.
+prefix, if its prefix holds tokens of many documents; a pair must share as many prefix tokens as its two sizes and
+prefixes allow to ask (`_shared`), each passing the positional filter, before it is verified.
 
 Equal sets are one node (a 64-bit sum over their tokens), so copies cost a row per map task. Of the nodes in a
 token's group up to SMALL are paired with each other; a larger group is paired with one of its nodes, and later, by
@@ -160,9 +160,17 @@ def _prefixes(rank: np.ndarray, cost: np.ndarray, buckets: int):
     return send
 
 
+def _shared(n1, l1, n2, l2):
+    """How many prefix tokens a pair must share, and its whole overlap. The prefixes reach as far as for the largest
+    partner; between these two that allows min over both of (overlap - ceil(3n/4) + l) shared tokens to be asked for."""
+    overlap = (3 * (n1 + n2) + 6) // 7
+    return np.minimum(overlap - (3 * n1 + 3) // 4 + l1, overlap - (3 * n2 + 3) // 4 + l2), overlap
+
+
 def _passes(n1, p1, l1, n2, p2, l2):
-    """Positional filter: even if all that follows these places is shared, is it enough?"""
-    return np.minimum(n1 - p1, n2 - p2) + np.minimum(l1, l2) - 1 >= (3 * (n1 + n2) + 6) // 7
+    """Length and positional filter: even if all that follows these places is shared, is it enough?"""
+    shared, overlap = _shared(n1, l1, n2, l2)
+    return (np.minimum(n1 - p1, n2 - p2) + shared - 1 >= overlap) & (np.minimum(n1, n2) >= overlap)
 
 
 FOUND = "kind int, a long, b long, l int, c int, n int, pos int"
@@ -174,7 +182,7 @@ def _counted(i, j, node, n, pos, many):
     i, j = i[ok], j[ok]
     a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
     order = np.lexsort((b, a))
-    a, b, least = a[order], b[order], np.minimum(many[i], many[j])[order]
+    a, b, least = a[order], b[order], _shared(n[i], many[i], n[j], many[j])[0][order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(new)
