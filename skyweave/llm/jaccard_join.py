@@ -117,7 +117,8 @@ def _add(table: pa.Table) -> pa.Table:
 
 def _ranks(rows) -> tuple[np.ndarray, np.ndarray]:
     """Of each cell its place in the global order (0: as few tokens as most cells), and its estimated cost."""
-    counts = np.concatenate([np.frombuffer(bytes(r["counts"]), np.int64) for r in sorted(rows, key=lambda r: r["cells"])])
+    parts = [np.frombuffer(bytes(r["counts"]), np.int64) for r in sorted(rows, key=lambda r: r["cells"])]
+    counts = np.concatenate(parts) if parts else np.zeros(CELLS, np.int64)
     usual = max(float(np.median(counts)), 1.0)
     over = np.maximum(counts / usual, 1.0)
     return np.minimum(np.log2(over / 1.5).clip(0) * 2 + (over > 1.5), 15).astype(np.uint8), np.where(over > 1.5, over, 0.0)
