@@ -24,7 +24,7 @@ from .common import plain
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-KNOWN, TOGETHER = 200_000, 4096
+KNOWN, TOGETHER = 400_000, 4096
 #: Private-use characters, one of which stands for a marker in the text while units are cut.
 HELD = [chr(c) for c in range(0xE000, 0xF900)]
 _models: dict[str, Model] = {}
@@ -54,7 +54,7 @@ class Model:
             raise ValueError(f"pieces with a marker inside: {bad[:3]}")
         self.fallback = float(min(self.score[i] for _, i in words)) - 10
         self.build({p.encode(): i for p, i in words})
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if b else p.encode() for p, b in zip(self.pieces, self.is_byte, strict=True)]
+        self.text_of = [bytes([int(p[3:5], 16)]) if b else p.replace(MARK, " ").encode() for p, b in zip(self.pieces, self.is_byte, strict=True)]
         self.known: dict[str, tuple[bytes, float]] = {}
 
     def build(self, words: dict[bytes, int]) -> None:
@@ -171,8 +171,7 @@ class Model:
 
     def decode(self, ids: np.ndarray) -> str:
         """Markers of pieces to spaces, byte pieces to bytes; the first space goes."""
-        space, mark = b" ", MARK.encode()
-        raw = b"".join(self.bytes_of[i] if self.is_byte[i] else self.bytes_of[i].replace(mark, space) for i in ids.tolist())
+        raw = b"".join(map(self.text_of.__getitem__, ids.tolist()))
         return raw[1:].decode("utf-8", "replace")
 
 
