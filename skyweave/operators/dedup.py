@@ -40,3 +40,8 @@ def sweep(df: DataFrame, radii: list[float]) -> DataFrame:
         one = rows.crossJoin(links).select(F.lit(float(r)).alias("radius"), "pairs", "cross_tile", (F.col("pairs") - F.col("cross_tile")).alias("intra_tile"), "kept", "max_cluster")
         out = one if out is None else out.union(one)
     return out
+
+
+def representatives(df: DataFrame, radius: float, order: str) -> DataFrame:
+    """One row of each component, in the order of the input's ordinal column (a range sort, not one task)."""
+    return dedup(df, radius).where("kept").drop("component", "kept").orderBy(order)

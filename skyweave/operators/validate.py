@@ -93,3 +93,20 @@ def stratified_sample(rows: DataFrame, by: list[str], key: str, most: int, seed:
 def unique_mapping(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Keys with more than one value (must be empty)."""
     return rows.groupBy(key).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")
+
+
+def peak_significance(df: DataFrame, values: str) -> DataFrame:
+    """(largest - median) / (1.4826 MAD) of an array column, as peak_sigma; null for empty arrays and a MAD of 0.
+
+    Null and NaN values are left out.
+    """
+
+    def middle(a):
+        n = F.size(a)
+        s = F.sort_array(a)
+        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+    v = F.filter(F.transform(values, lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))
+    out = df.withColumn("_v", v).withColumn("_m", F.when(F.size("_v") > 0, middle(F.col("_v"))))
+    out = out.withColumn("_mad", middle(F.transform("_v", lambda x: F.abs(x - F.col("_m")))))
+    return out.withColumn("peak_sigma", F.when(F.col("_mad") > 0, (F.array_max("_v") - F.col("_m")) / (1.4826 * F.col("_mad")))).drop("_v", "_m", "_mad")

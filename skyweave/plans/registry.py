@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skyweave.functions import healpix, sky
 from skyweave.operators import dedup, filters, skyjoin, stages, validate
 from skyweave.operators import veto as vetoes
+from skyweave.sources import columns
 from skyweave.sources.views import cte, view
 
 QUERIES: dict = {}
@@ -342,3 +343,27 @@ def stratified_sample(spark, d):
 @query("F06", cte("det") + " SELECT tile_id FROM (SELECT tile_id, row_number() OVER (ORDER BY tile_id) - 1 AS n FROM (SELECT DISTINCT tile_id FROM det)) WHERE n % 7 = 0")
 def every_seventh_tile(spark, d):
     return filters.every_nth(view(spark, d, "det").select("tile_id").distinct(), "tile_id", 7)
+
+
+@query("D21", cte("det", "ref") + f" SELECT a.id, b.id AS r_id, a.id % 25 AS plate_id, {R6(HAV, 'sep_arcsec')} FROM det a JOIN ref b ON a.id % 25 = b.id % 5 AND {near(10)}")
+def plate_pairs_10as(spark, d):
+    det = view(spark, d, "det").select("id", "ra", "dec", F.expr("id % 25").alias("plate_id"))
+    ref = view(spark, d, "ref").select("id", "ra", "dec", F.expr("id % 5").alias("plate_id"))
+    return skyjoin.pairs(det, ref, 10, ["plate_id"]).select("id", "r_id", "plate_id", F.round("sep_arcsec", 6).alias("sep_arcsec"))
+
+
+@query("A13 A31", cte("det") + f" SELECT id AS object_id, {R6('ra + 0.001e0', 'ra')}, {R6('dec - 0.001e0', 'dec')}, tile_id FROM det WHERE flags = 0")
+def resolved_positions(spark, d):
+    det = view(spark, d, "det").where("flags = 0").selectExpr("id AS NUMBER", "ra AS X_WORLD", "dec AS Y_WORLD", "ra + 0.001e0 AS ALPHAWIN_J2000", "dec - 0.001e0 AS DELTAWIN_J2000", "tile_id")
+    return columns.placed(det).select(F.col(columns.id_column(det)).alias("object_id"), F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"), "tile_id")
+
+
+@query("G04", ORACLES["dedup_3as"].removesuffix("SELECT src_id, component, component = src_id AS kept FROM r") + "SELECT src_id FROM r WHERE component = src_id ORDER BY src_id")
+def dedup_representatives(spark, d):
+    return dedup.representatives(_stacked(spark, d), 3, "src_id").select("src_id")
+
+
+@query("B34", "WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings), n AS (SELECT vec_id, v, list_aggregate(v, 'median') AS c FROM m), o AS (SELECT vec_id, v, c, list_aggregate(list_transform(v, lambda x: abs(x - c)), 'median') AS mad FROM n) SELECT vec_id, CASE WHEN mad > 0 THEN round((list_aggregate(v, 'max') - c) / (1.4826e0 * mad), 6) END AS peak_sigma FROM o")
+def peak_significance(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return validate.peak_significance(e, "embedding").select("vec_id", F.round("peak_sigma", 6).alias("peak_sigma"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from skyweave.functions import healpix, sky
-from skyweave.operators import dedup, filters, skyjoin, stages
+from skyweave.operators import dedup, filters, skyjoin, stages, validate
 from skyweave.operators.components import connected_components
 from skyweave.plans import registry
+from skyweave.sources import columns, export
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +87,35 @@ def test_oracle_row_counts(spark, name):
     want = con.sql(registry.ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert got.count() == len(want.fetchall())
+
+
+NEW = ["plate_pairs_10as", "resolved_positions", "dedup_representatives", "peak_significance"]
+
+
+@pytest.mark.parametrize("name", NEW)
+def test_oracle_rows(spark, name):
+    con = duckdb.connect()
+    for t in ("events", "part", "customer", "supplier", "orders", "nation", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, SF)
+    names = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({registry.ORACLES[name]})").fetchall()
+    rows = sorted(tuple(r) for r in got.select(names).collect())
+    assert rows == sorted(want) and rows
+
+
+def test_resolver_and_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2.5", 3.0, [1.0])], "NUMBER int, RA string, DEC double, flux array<double>")
+    got = columns.placed(df)
+    assert got.first().asDict() == {"ra": 2.5, "dec": 3.0, "NUMBER": 1, "flux": [1.0]} and columns.id_column(df) == "NUMBER"
+    with pytest.raises(ValueError):
+        columns.placed(df.select("NUMBER", "RA"))
+    paths = export.export(df, f"file://{tmp_path}", "both")
+    assert spark.read.option("header", True).csv(paths[0]).columns == ["NUMBER", "RA", "DEC"]
+    assert spark.read.parquet(paths[1]).count() == 1 and export.export(df, f"file://{tmp_path}", "none") == []
+
+
+def test_peak_significance_of_odd_arrays(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, None, 9.0]), (2, []), (3, None), (4, [5.0, 5.0])], "k int, v array<double>")
+    got = {r.k: r.peak_sigma for r in validate.peak_significance(df, "v").collect()}
+    assert got[1] == pytest.approx((9 - 2.5) / 1.4826) and got[2] is got[3] is got[4] is None
