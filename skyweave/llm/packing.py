@@ -7,7 +7,8 @@ and only the last sequence is padded. Range bounds are quantiles of all keys; a
 of token counts before it.
 
 Ids are those of the whole text: the tokenizer drops white space and never joins words across it, so texts are cut at
-ASCII white space and each distinct word is encoded once a task (`encode` is tested against whole texts).
+ASCII white space and each distinct word of about a MB of texts is encoded once at most (`encode` is tested against
+whole texts).
 
 Null text counts as empty (its only id is the end id); rows with a null doc_id are packed too; repeated rows are
 packed each; an empty table gives an empty result; other columns are not read.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_key, mix64, partitions, written
+from .common import NO_ID, doc_key, mix64, partitions, text_buffers, written
 
 SEQUENCE, END = 4096, 2
 DIMS, BITS, SCALE = 4, 6, 0.12
 RANGE_TOKENS, KNOWN = 2 << 20, 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-TO_SPACE = {9: " ", 10: " ", 13: " "}
+TOGETHER, TEXT_BYTES = 8192, 1 << 20
 _known: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -51,15 +53,14 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     known = _known[path]
     if len(known) > KNOWN:
         known.clear()
-    out, tail = [], np.array([END], "<u2").tobytes()
-    for text in texts:
-        words = text.translate(TO_SPACE).split(" ")
-        new = [w for w in set(words) if w not in known]
-        if new:
-            for w, e in zip(new, _tokenizers[path].encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
-        out.append(np.frombuffer(b"".join([known[w] for w in words]) + tail, "<u2"))
-    return out
+    split = [text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for text in texts]
+    new = list(set().union(*split).difference(known))
+    for at in range(0, len(new), TOGETHER):
+        some = new[at : at + TOGETHER]
+        for w, e in zip(some, _tokenizers[path].encode_batch_fast(some, add_special_tokens=False), strict=True):
+            known[w] = array("H", e.ids).tobytes()
+    tail = array("H", [END]).tobytes()
+    return [np.frombuffer(b"".join(map(known.__getitem__, words)) + tail, "<u2") for words in split]
 
 
 def _directions(seed: int = 5) -> np.ndarray:
@@ -98,8 +99,8 @@ def _keyed(path: str):
     def keyed(batches):
         directions = _directions()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for lo, hi, _, _ in text_buffers(batch.column(1), TEXT_BYTES):
+                part = batch.slice(lo, hi - lo)
                 doc = part.column(0).to_numpy(zero_copy_only=False)
                 ids = encode([t or "" for t in part.column(1).to_pylist()], path)
                 mean = np.stack([directions[x].mean(0) for x in ids])
