@@ -30,7 +30,7 @@ from .common import NO_ID, doc_key, mix64, partitions, text_buffers, written
 
 SEQUENCE, END = 4096, 2
 DIMS, BITS, SCALE = 4, 6, 0.12
-RANGE_TOKENS, KNOWN = 2 << 20, 400_000
+RANGE_TOKENS, KNOWN = 2 << 20, 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 TOGETHER, TEXT_BYTES = 8192, 1 << 20
 _known: dict[str, dict[str, bytes]] = {}
