@@ -153,6 +153,27 @@ def test_embedding_dedup(vectors, cell, block, monkeypatch):
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_on_centroids(spark, monkeypatch):
+    """Every vector is the only member of its cell, or shares it with scaled copies: offsets of 0."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 1)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 16)).astype(np.float32)
+    x[30:60] = x[:30] + np.float32(0.05) * rng.normal(size=(30, 16)).astype(np.float32)
+    x[60:75] = 2 * x[:15]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(df).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_estimate_on_the_centroid():
+    turn = embedding_dedup.rotation(8, 1)
+    code, length, factor, direction = embedding_dedup.binary_codes(np.vstack([np.zeros(8), np.eye(8)[0]]), turn)
+    value, error = embedding_dedup.estimate(code, factor, direction, 8)
+    assert length[0] == 0 and (value[0] == 0).all() and error[0] == 0 and np.isfinite(value).all() and np.isfinite(error).all()
+
+
 def test_rabitq_estimate_is_unbiased():
     rng = np.random.default_rng(3)
     dim = 64
