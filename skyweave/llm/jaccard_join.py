@@ -14,7 +14,8 @@ components are apart: no link that could join components is lost, and a large gr
 pair by pair.
 
 Null text counts as empty; documents without words are alone; rows with a null doc_id get their own row and a null
-component unless they equal another; an empty table gives an empty result; other columns are not read.
+component unless they are linked with a row that has an id; repeated ids are rows of their own, each with the set of
+its own text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.components import connected_components
 
-from .common import NO_ID, doc_key, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import NO_ID, mix64, packed, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WORDS, MOST, SMALL, TOGETHER = 5, 4, 8, 4000
 CELLS = 1 << 16
@@ -97,17 +98,17 @@ def _identity(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches):
-    """(doc_id, n, node), and once a task its counts of tokens by cell, in 16 parts."""
+    """(doc_id, row, n, node), and once a task its counts of tokens by cell, in 16 parts."""
     counts = np.zeros(CELLS, np.int64)
-    names = ["doc_id", "n", "node", "cells", "counts"]
+    names = ["doc_id", "row", "n", "node", "cells", "counts"]
     for batch in batches:
-        for lo, hi, data, bounds in text_buffers(batch.column(1), RUN):
+        for lo, hi, data, bounds in text_buffers(batch.column(2), RUN):
             x, b = shingle_sets(data, bounds)
             counts += np.bincount((x >> np.uint64(44)).astype(np.int64), minlength=CELLS)
             none = pa.nulls(hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(b)), pa.array(_identity(x, b)), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(b)), pa.array(_identity(x, b)), none.cast(pa.int32()), none.cast(pa.binary())], names)
     none = pa.nulls(16).cast(pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(16), pa.int32()), pa.array([squeeze(c) for c in counts.reshape(16, -1)], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(16), pa.int32()), pa.array([squeeze(c) for c in counts.reshape(16, -1)], pa.binary())], names)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -268,9 +269,14 @@ def _cross(table: pa.Table) -> pa.Table:
     return _found(0, a, b, l, c, 0, 0)
 
 
+def _row():
+    """What a row's text is dealt and looked up by: ids may be null or repeated."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "text")
+
+
 def _only(documents: pa.Table, asked: pa.Table) -> pa.Table:
     """A part's documents that are asked for, packed again."""
-    want, blobs = np.unique(asked.column("doc_id").to_numpy()), []
+    want, blobs = np.unique(asked.column("row").to_numpy()), []
     for ids, data, bounds in unpacked(documents.column("blob"), RUN) if len(want) else ():
         rows = np.flatnonzero(np.isin(ids, want))
         if len(rows):
@@ -280,18 +286,19 @@ def _only(documents: pa.Table, asked: pa.Table) -> pa.Table:
 
 def _extract(documents: pa.Table, asked: pa.Table) -> pa.Table:
     """The sets of the documents asked for (48 bits of each token), once for each group that asks."""
-    want: dict[int, list] = {}
-    for doc, group in zip(asked.column("doc_id").to_pylist(), asked.column("group").to_pylist(), strict=True):
-        want.setdefault(doc, []).append(group)
+    want: dict[tuple[int, int], list] = {}
+    for row, node, group in zip(*(asked.column(k).to_pylist() for k in ("row", "node", "group")), strict=True):
+        want.setdefault((row, node), []).append(group)
+    rows = {row for row, _ in want}
     out = [[], [], []]
     for ids, data, bounds in unpacked(documents.column("blob"), RUN) if want else ():
-        if not any(i in want for i in ids.tolist()):
+        if not any(i in rows for i in ids.tolist()):
             continue
         x, b = shingle_sets(data, bounds)
         node = _identity(x, b)
         short = np.ascontiguousarray((x >> np.uint64(12)).astype("<u8").view("u1").reshape(-1, 8)[:, :6])
         for k, i in enumerate(ids.tolist()):
-            for group in want.pop(i, ()):
+            for group in want.pop((i, int(node[k])), ()):
                 for to, v in zip(out, (group, node[k], short[b[k] : b[k + 1]].tobytes()), strict=True):
                     to.append(v)
     return pa.table({"group": pa.array(out[0], pa.int32()), "node": pa.array(out[1], pa.int64()), "tokens": pa.array(out[2], pa.binary())})
@@ -323,6 +330,10 @@ def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
+def _part(parts: int):
+    return F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")
+
+
 def _links(pairs: DataFrame, first: DataFrame, dealt: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b; components ra, rb) that reach the threshold, as a table.
 
@@ -338,7 +349,7 @@ def _links(pairs: DataFrame, first: DataFrame, dealt: DataFrame, parts: int) ->
     block = F.pmod(F.xxhash64(member), F.ceil(many / TOGETHER))
     pairs = pairs.select(F.pmod(F.xxhash64(home, block), F.lit(groups)).cast("int").alias("group"), "a", "b")
     asked = pairs.select("group", F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = asked.join(first, "node").select(part_of(parts).alias("part"), "doc_id", "group")
+    asked = asked.join(first, "node").select(_part(parts), "row", "node", "group")
     sets = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_extract, "group int, node long, tokens binary")
     return written(sets.groupBy("group").cogroup(pairs.groupBy("group")).applyInArrow(_verify, "src long, dst long"))
 
@@ -381,17 +392,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = plain(docs)
     total = text_bytes(docs)
     parts, buckets = max(2 * partitions(spark), total // PART_BYTES), max(partitions(spark), min(1 << 16, total // 24 // BUCKET_ROWS))
-    signed = written(docs.mapInArrow(_signatures, "doc_id long, n long, node long, cells int, counts binary"))
+    signed = written(docs.select("doc_id", _row().alias("row"), "text").mapInArrow(_signatures, "doc_id long, row long, n long, node long, cells int, counts binary"))
     rank, cost = _ranks(signed.where("cells is not null").groupBy("cells").applyInArrow(_add, "cells int, counts binary").collect())
-    signed = signed.where("cells is null").select(doc_key().alias("doc_id"), "n", "node")
+    signed = signed.where("cells is null").select("doc_id", "row", "n", "node")
     met = written(docs.select("text").mapInArrow(_prefixes(rank, cost, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, FOUND))
-    first = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    first = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
     counted = written(met.where("kind = 0").groupBy("a", "b", "l").agg(F.sum("c").alias("c")))
     pairs = counted.where("c >= l").select("a", "b", "c")
     big = met.where("kind = 1").select("a", "b", "l", "n", "pos")
 
-    some = pairs.select("a").union(pairs.select("b")).union(big.select("b")).distinct().join(first, F.col("a") == F.col("node")).select(part_of(parts).alias("part"), "doc_id")
-    dealt = written(packed(docs, parts).groupBy("part").cogroup(some.groupBy("part")).applyInArrow(_only, "part int, blob binary"))
+    some = pairs.select("a").union(pairs.select("b")).union(big.select("b")).distinct().join(first, F.col("a") == F.col("node")).select(_part(parts), "row")
+    dealt = written(packed(docs.select(_row().alias("doc_id"), "text"), parts).groupBy("part").cogroup(some.groupBy("part")).applyInArrow(_only, "part int, blob binary"))
 
     def verify(chosen):
         return _links(chosen, first, dealt, parts)
@@ -410,6 +421,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = first.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", F.col("doc_id"), root.alias("root"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = nodes.join(least, "root").select("node", "component_id")
-    ids = F.nullif("doc_id", F.lit(NO_ID))
     out = signed.join(named.withColumn("some", F.lit(True)), (signed.node == named.node) & (signed.n > 0), "left")
-    return out.select(ids.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("some"), F.nullif("component_id", F.lit(NO_ID))).otherwise(ids).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

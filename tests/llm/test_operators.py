@@ -91,6 +91,19 @@ def test_jaccard(docs, small, monkeypatch):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    """Near copies under null ids, and under one id with several texts."""
+    random.seed(9)
+    texts = [[f"g{g}w{k}" for k in range(120)] for g in range(5)]
+    near = lambda g, k: " ".join(texts[g][:k] + ["other"] + texts[g][k + 1 :])
+    rows = [(None, near(0, 10), 0), (None, near(0, 30), 0), (7, near(0, 50), 0), (None, near(1, 10), 1), (None, near(1, 50), 1)]
+    rows += [(3, near(2, 10), 2), (3, near(3, 10), 3), (3, near(4, 10), 4), (20, near(2, 40), 2), (21, near(3, 40), 3), (2, near(4, 40), 4), (None, near(2, 10), 2), (None, None, 5)]
+    least = {0: 7, 1: None, 2: 3, 3: 3, 4: 2, 5: None}
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect())
+    assert got == collections.Counter((i, least[g]) for i, _, g in rows)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
