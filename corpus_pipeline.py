@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 A stage keeps the columns of documents, except the last, which returns the pieces of packed sequences.
+
+A document is a row: rows that share a doc_id, or have none, are judged each by its own text. Where documents are
+compared they come in order of doc_id, those without one last, and of the same id by a hash of the text.
 """
 
 from __future__ import annotations
@@ -20,31 +23,36 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (operator 4)."""
-    scores = quality_cnn.quality_scores(docs, table(spark, sf_dir, "labels"))
-    good = scores.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(COLUMNS)
+    return quality_cnn.quality_scores(docs, table(spark, sf_dir, "labels"), carried=COLUMNS).where("predicted = 1").select(COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not flag (operator 9)."""
-    scores = toxicity_cnn.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    good = scores.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(COLUMNS)
+    return toxicity_cnn.toxicity_scores(docs, table(spark, sf_dir, "labels"), carried=COLUMNS).where("predicted = 0").select(COLUMNS)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with a number of their own (row), in order; written once, so that it stays the same."""
+    order = [F.asc_nulls_last("doc_id"), F.asc(F.xxhash64("text"))]
+    rows = docs.select(COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id (operator 10)."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Of each group of near copies the first document (operator 10)."""
+    docs = _numbered(docs)
+    kept = jaccard_components(docs.select(F.col("row").alias("doc_id"), "text")).where("doc_id = component_id")
+    return docs.join(kept.select(F.col("doc_id").alias("row")), "row", "left_semi").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what earlier documents have (operator 1); a document of which nothing is left goes."""
-    kept = suffix_dedup(docs, texts=True).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    docs = _numbered(docs)
+    kept = suffix_dedup(docs.select(F.col("row").alias("doc_id"), "text"), texts=True).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
     # bytes cut inside a character leave an invalid one, which is dropped from the text
     text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    kept = kept.select("doc_id", F.when(F.col("n_removed") > 0, text).alias("cut"))
-    out = docs.join(kept, "doc_id").withColumn("text", F.coalesce("cut", "text"))
+    kept = kept.select(F.col("doc_id").alias("row"), F.when(F.col("n_removed") > 0, text).alias("cut"))
+    out = docs.join(kept, "row").withColumn("text", F.coalesce("cut", "text"))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(COLUMNS)
 
 

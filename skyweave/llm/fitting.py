@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import plain, text_buffers
 
@@ -73,13 +74,19 @@ def joined_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
 
 
-def scored(docs: DataFrame, score, modulus: int, held: int, run: int = 256 << 10) -> DataFrame:
-    """score(bytes, bounds) -> probabilities of a run of whole texts; contract columns of the result."""
+def scored(docs: DataFrame, score, modulus: int, held: int, run: int = 256 << 10, carried: tuple[str, ...] = ()) -> DataFrame:
+    """score(bytes, bounds) -> probabilities of a run of whole texts; contract columns of the result, and of each row
+    the text and the columns `carried` if any are."""
+    more = [c for c in carried if c not in ("doc_id", "text")]
+    kept = ["text", *more] if carried else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    rows = rows.select("doc_id", (remainder(modulus) == held).alias("held_out"), "text", *more)
+    schema = StructType([*StructType.fromDDL(SCORED).fields, *(rows.schema[c] for c in kept)])
 
     def apply(batches):
         for batch in batches:
             for lo, hi, data, bounds in text_buffers(batch.column(2), run):
                 p = score(data, bounds).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(batch.column(2 + k).slice(lo, hi - lo) for k in range(len(kept)))], ["doc_id", "held_out", "score", "predicted", *kept])
 
-    return plain(docs).select("doc_id", (remainder(modulus) == held).alias("held_out"), "text").mapInArrow(apply, SCORED)
+    return rows.mapInArrow(apply, schema)

@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return fit(texts, y)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+def quality_scores(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted; with its text and other columns if `carried` names them."""
     model = train(docs, labels)
-    return fitting.scored(docs, lambda data, bounds: probabilities(model, data, bounds), MODULUS, HELD)
+    return fitting.scored(docs, lambda data, bounds: probabilities(model, data, bounds), MODULUS, HELD, carried=carried)
