@@ -1,11 +1,14 @@
 """Main text of a page by tree scoring.
 
-The page is read into a tree of block elements. What a name says is no article goes first: menus, page headers and
-footers, asides, forms, adverts, notices, reader comments, scripts and styles. Every block of text of some length gives
+The page is read into a tree of block elements. What is no article goes first: by its element menus, page headers and
+footers, asides, scripts and styles; by a whole class, id or role, or as a form, adverts, notices, reader comments and
+the like, unless it holds the page's first article or main element, or in pages without text in those SHARE of all
+points: then it is a wrapper, and its points are only discounted if it was found by its points. Every block of text of some length gives
 points (one, one for each comma, up to three for its length) to its container, half to the one above and less further
 up; a container's points are discounted by the share of its text inside links. The container with the most points is
 taken, or the article or main element around it, and with it siblings that have a good part of its points or are text
-with few links. Their blocks, without lists of links, are the text, in page order.
+with few links. Their blocks are the text, in page order, without what is mostly links outside the container or between
+neighbours that are mostly links, too.
 
 Null html counts as empty; a page without points gives the text of its article, main or body element; a broken page is
 read as far as its tags go (an unclosed element ends with its parent). Rows are independent of each other: repeated
@@ -27,13 +30,16 @@ MARKS = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden|aria-labe
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = set("script style noscript template textarea title iframe svg math select canvas object audio video button".split())
-NEVER = set("nav aside footer form dialog menu head fieldset".split())
+NEVER = set("nav aside footer dialog menu head".split())
+FORMS = {"form", "fieldset"}
 ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": BLOCK - {"p"}}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|bread-?crumbs?|footer|masthead|cookie\w*|consent|gdpr|notice\w*|alert|newsletter|subscri\w*|sign-?up|log-?in|pop-?up|modal|overlay|comments?|comment-?list|respond|replies|reply|disqus|shar\w*|social\w*|related|recommend\w*|pagination|pager|widget|toolbar|skip|search\w*|tags|byline-?links|complementary|navigation|contentinfo)(?:$|[\s_-])", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header|top-?bar)(?:$|[\s_-])", re.I)
+NAMES = r"ads?|advert\w*|adslot|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|bread-?crumbs?|footer|masthead|cookie\w*|consent|gdpr|notice\w*|alert|newsletter|subscri\w*|sign-?up|log-?in|pop-?up|modal|overlay|comments?|respond|replies|reply|disqus|shar\w*|social\w*|related|recommend\w*|pagination|pager|widget|toolbar|skip|search\w*|tags|byline-?links|complementary|navigation|contentinfo"
+#: Whole tokens of a class, id or role: a name, perhaps with a word for its place before it and one for its kind after it.
+NO_ARTICLE = re.compile(rf"(?:^|\s)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post)[_-])?(?:{NAMES})(?:[_-](?:list|area|section|box|block|bar|wrap|wrapper|container|inner|menu|links?|left|right|top|bottom|form|notice|\d+))?(?:\s|$)", re.I)
+HEADER = re.compile(r"(?:^|\s)(?:header|site-?header|page-?header|top-?bar)(?:\s|$)", re.I)
 COMMA = re.compile("[,、，،;]")
-PARAGRAPH, FEW = 25, 0.25
+PARAGRAPH, FEW, DENSE, SHARE, WRAPPER = 25, 0.25, 0.6, 0.5, 0.25
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -47,14 +53,26 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and tag not in ("article", "main") and (NO_ARTICLE.search(value) or (not in_article and HEADER.search(value))):
+    return False
+
+
+def _doubtful(tag: str, attributes: str, in_article: bool) -> bool:
+    """Named like something that is no article, or a form."""
+    if tag in FORMS:
+        return True
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for name, value in MARKS.findall(attributes):
+        value = value.strip("\"'")
+        if name.lower() in ("class", "id", "role") and (NO_ARTICLE.search(value) or (not in_article and HEADER.search(value))):
             return True
     return False
 
 
 def parse(html: str):
-    """Block elements (parent, tag) and blocks (element, text, characters of it in links), without what is unwanted."""
-    parent, tags, unwanted = [-1], ["html"], [False]
+    """Block elements (parent, tag, whether doubtful or unwanted) and blocks (element, text, characters of it in links),
+    without what is unwanted."""
+    parent, tags, unwanted, doubtful = [-1], ["html"], [False], [False]
     stack, blocks, buffer = [0], [], []
     linked, state = [0], {"links": 0, "bad": 0}
     inline: list[str] = []
@@ -144,20 +162,70 @@ def parse(html: str):
                     break
                 if tags[stack[k]] in ENDS[tag]:
                     break
-        bad = _unwanted(tag, m[3], any(tags[k] in ("article", "main") for k in stack))
+        in_article = any(tags[k] in ("article", "main") for k in stack)
+        bad = _unwanted(tag, m[3], in_article)
+        doubtful.append(_doubtful(tag, m[3], in_article))
         parent.append(stack[-1])
         tags.append(tag)
         unwanted.append(bad)
         state["bad"] += bad
         stack.append(len(tags) - 1)
     flush()
-    return parent, tags, blocks
+    return parent, tags, doubtful, blocks
+
+
+def _gain(text: str, inside: int) -> float:
+    return (1 + len(COMMA.findall(text)) + min(len(text) // 100, 3)) * (1 - inside / len(text)) if len(text) >= PARAGRAPH else 0.0
+
+
+def _judged(parent: list[int], tags: list[str], doubtful: list[bool], blocks: list) -> tuple[list[bool], list[float]]:
+    """Of each element whether it goes as a doubtful one, and the weight of its points."""
+    n = len(tags)
+    filled, held, whole, gone, weight = [False] * n, [0.0] * n, 0.0, [False] * n, [1.0] * n
+    if not any(doubtful):
+        return gone, weight
+    for node, text, inside in blocks:
+        gain, k = _gain(text, inside), node
+        whole += gain
+        while k >= 0:
+            filled[k] = True
+            held[k] += gain
+            k = parent[k]
+    first = next((k for k in range(n) if tags[k] in ("article", "main") and filled[k]), None)
+    around = set()
+    k = first
+    while k is not None and k >= 0:
+        around.add(k)
+        k = parent[k]
+    for k in range(1, n):
+        p = parent[k]
+        gone[k], weight[k] = gone[p], weight[p]
+        if doubtful[k] and k not in around:
+            if first is None and whole and held[k] >= SHARE * whole:
+                weight[k] *= WRAPPER
+            else:
+                gone[k] = True
+    return gone, weight
+
+
+def _neighbours(parent: list[int], chars: list[int]) -> list[list[int]]:
+    """Of each element the ones with text before and after it."""
+    near, last = [[] for _ in parent], {}
+    for k, p in enumerate(parent):
+        if chars[k]:
+            if p in last:
+                near[k].append(last[p])
+                near[last[p]].append(k)
+            last[p] = k
+    return near
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parent, tags, blocks = parse(html)
+    parent, tags, doubtful, blocks = parse(html)
+    gone, weight = _judged(parent, tags, doubtful, blocks)
+    blocks = [b for b in blocks if not gone[b[0]]]
     n = len(tags)
     points, chars, links = [0.0] * n, [0] * n, [0] * n
     for node, text, inside in blocks:
@@ -168,7 +236,7 @@ def main_text(html: str | None) -> str:
             k = parent[k]
         if len(text) < PARAGRAPH:
             continue
-        gain = (1 + len(COMMA.findall(text)) + min(len(text) // 100, 3)) * (1 - inside / len(text))
+        gain = _gain(text, inside) * weight[node]
         k = node if tags[node] in ("div", "section", "article", "main", "body", "html", "td") else parent[node]
         level = 0
         while k >= 0:
@@ -188,8 +256,19 @@ def main_text(html: str | None) -> str:
     kept = {best if around is None else around}
     if around is None and parent[best] >= 0:
         for k in range(n):
-            if parent[k] == parent[best] and (score[k] >= max(4.0, 0.2 * score[best]) or (tags[k] in ("p", "h1", "h2", "blockquote", "pre") and chars[k] and density[k] < FEW)):
+            if parent[k] == parent[best] and (score[k] >= max(4.0 * weight[best], 0.2 * score[best]) or (tags[k] in ("p", "h1", "h2", "blockquote", "pre") and chars[k] and density[k] < FEW)):
                 kept.add(k)
+    near = _neighbours(parent, chars)
+
+    def links_only(k: int) -> bool:
+        """Mostly links, and outside the container or between neighbours that are, too."""
+        if tags[k] not in ("ul", "ol", "div", "section", "table", "dl", "p") or density[k] <= DENSE:
+            return False
+        up = parent[k]
+        while up >= 0 and up != best:
+            up = parent[up]
+        return up < 0 or (bool(near[k]) and all(density[x] > DENSE for x in near[k]))
+
     out = []
     for node, text, _ in blocks:
         k, ok = node, False
@@ -197,7 +276,7 @@ def main_text(html: str | None) -> str:
             if k in kept:
                 ok = True
                 break
-            if tags[k] in ("ul", "ol", "div", "section", "table", "dl", "p") and density[k] > 0.6:
+            if links_only(k):
                 break
             k = parent[k]
         if ok:
