@@ -5,13 +5,22 @@ space; fewer than five words are one shingle; no words, no set). Its tokens have
 frequent by a count sketch over *all* documents, then by hash. With prefixes of n - ceil(3n/4) + l tokens, two sets
 that reach the threshold share l prefix tokens at least, for any l. A document takes a larger l, and so a longer
 prefix, if its prefix holds tokens of many documents; a pair must share as many prefix tokens as its two sizes and
-prefixes allow to ask (`_shared`), each passing the positional filter, before it is verified.
+prefixes allow to ask (`_shared`), each passing the length and the positional filter, before it is verified.
 
-Equal sets are one node (a 64-bit sum over their tokens), so copies cost a row per map task. Of the nodes in a
-token's group up to SMALL are paired with each other; a larger group is paired with one of its nodes, and later, by
-`_cross`, between what are different components by then. Pairs are verified most promising first, and only while their
-components are apart: no link that could join components is lost, and a large group of near copies is never listed
-pair by pair.
+Equal sets are one node (a 64-bit sum over their tokens), so copies cost a row per map task. Near copies are never
+listed pair by pair; nodes are joined up in two steps:
+
+1. Stars (`_meet`). In a token's group each node is paired only with a hub: of the nodes of its own and of the next
+   smaller length class the one with the fewest rarer tokens. Every node is verified against the hub that it shares
+   most prefix tokens with; those that come together at a hub are also compared with a few further pivots among them
+   (`_stars`). A group gives as many rows as it has nodes.
+2. Crossing pairs (`_cross`). Each posting then knows its node's component and how many shared prefix tokens the node
+   has in all. All pairs of *different* components that pass the filters, and whose nodes have enough shared tokens
+   at all, are counted over all tokens and verified if they share enough. So no link that could join components is
+   lost, whatever the first step found.
+
+The postings of a token whose cell of the sketch is estimated to hold more than HOT are dealt over pairs of blocks, so
+that no task gets a whole hot group.
 
 Null text counts as empty; documents without words are alone; rows with a null doc_id get their own row and a null
 component unless they are linked with a row that has an id; repeated ids are rows of their own, each with the set of
@@ -29,7 +38,9 @@ from skyweave.operators.components import connected_components
 
 from .common import NO_ID, mix64, packed, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
-WORDS, MOST, SMALL, TOGETHER = 5, 4, 8, 4000
+WORDS, MOST, SMALL, TOGETHER, PIVOTS = 5, 4, 8, 2000, 8
+#: Estimated postings of a token from which its group is dealt over pairs of blocks.
+HOT = 20_000
 CELLS = 1 << 16
 RUN = 1 << 20
 BASE, X60 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64((1 << 60) - 1)
@@ -116,17 +127,36 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"cells": table.column("cells").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _ranks(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Of each cell its place in the global order (0: as few tokens as most cells), and its estimated cost."""
+def _ranks(rows) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of each cell its place in the global order (0: as few tokens as most cells), its estimated cost as a multiple of
+    what is usual, and that."""
     parts = [np.frombuffer(bytes(r["counts"]), np.int64) for r in sorted(rows, key=lambda r: r["cells"])]
     counts = np.concatenate(parts) if parts else np.zeros(CELLS, np.int64)
     usual = max(float(np.median(counts)), 1.0)
     over = np.maximum(counts / usual, 1.0)
-    return np.minimum(np.log2(over / 1.5).clip(0) * 2 + (over > 1.5), 15).astype(np.uint8), np.where(over > 1.5, over, 0.0)
+    return np.minimum(np.log2(over / 1.5).clip(0) * 2 + (over > 1.5), 15).astype(np.uint8), np.where(over > 1.5, over, 0.0), usual
+
+
+def _dealt_hot(token: np.ndarray, blocks: np.ndarray, node: np.ndarray):
+    """Rows, tokens and roles of postings: those of hot tokens once for each pair of blocks that has theirs.
+
+    In the pair (i, i) all postings have role 0 and meet each other; in (i, j) block i has role 1 and block j role 2,
+    and only different roles meet.
+    """
+    hot = np.flatnonzero(blocks > 1)
+    row = np.repeat(hot, blocks[hot])
+    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks[hot]) - blocks[hot], blocks[hot])
+    own = (mix64(node[row].view(np.uint64)) % blocks[row].astype(np.uint64)).astype(np.int64)
+    pair = np.minimum(own, other).astype(np.uint64) << np.uint64(24) | np.maximum(own, other).astype(np.uint64)
+    salted = mix64(token[row] ^ mix64(pair + np.uint64(1))) >> np.uint64(4)
+    cold = np.flatnonzero(blocks == 1)
+    role = np.where(own == other, 0, np.where(own < other, 1, 2))
+    return np.append(cold, row), np.append(token[cold], salted), np.append(np.zeros(len(cold), np.int64), role)
 
 
-def _prefixes(rank: np.ndarray, cost: np.ndarray, buckets: int):
-    """(bucket, blob of token, node, n, position, l) of all prefix tokens, each set once a batch."""
+def _prefixes(rank: np.ndarray, cost: np.ndarray, usual: float, buckets: int):
+    """(bucket, blob of token, node, n, position, l, role) of all prefix tokens, each set once a batch."""
+    many_blocks = np.maximum(1, np.ceil(np.where(cost > 0, cost - 1, 0) * usual / HOT)).astype(np.int64)
 
     def send(batches):
         for batch in batches:
@@ -150,14 +180,16 @@ def _prefixes(rank: np.ndarray, cost: np.ndarray, buckets: int):
             if not got:
                 continue
             token, node, n, pos, many = (np.concatenate(k) for k in zip(*got, strict=True))
-            order, runs = runs_of(((token >> np.uint64(44)).astype(np.int64) * buckets) >> 16)
+            row, token, role = _dealt_hot(token, many_blocks[(token >> np.uint64(44)).astype(np.int64)], node)
+            node, n, pos, many = node[row], n[row], pos[row], many[row] + 16 * role
+            order, runs = runs_of(((token >> np.uint64(28)).astype(np.int64) * buckets) >> 32)
             blobs = []
             for _, lo, hi in runs:
                 o = order[lo:hi]
                 planes = np.ascontiguousarray((token[o] >> np.uint64(12)).astype("<u8").view("u1").reshape(-1, 8)[:, :6].T)
                 blobs.append(squeeze(planes, node[o], n[o].astype("<u4"), pos[o].astype("<u4"), many[o].astype("u1")))
             if blobs:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return send
 
@@ -175,32 +207,14 @@ def _passes(n1, p1, l1, n2, p2, l2):
     return (np.minimum(n1 - p1, n2 - p2) + shared - 1 >= overlap) & (np.minimum(n1, n2) >= overlap)
 
 
-FOUND = "kind int, a long, b long, l int, c int, n int, pos int"
+MET = "kind int, bucket long, a long, b long, l int, c int, blob binary"
+CROSSED = "a long, b long, ra long, rb long, l int, c int"
 
 
-def _counted(i, j, node, n, pos, many):
-    """Pairs (rows i, j) that pass, counted."""
-    ok = _passes(n[i], pos[i], many[i], n[j], pos[j], many[j])
-    i, j = i[ok], j[ok]
-    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-    order = np.lexsort((b, a))
-    a, b, least = a[order], b[order], _shared(n[i], many[i], n[j], many[j])[0][order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    return a[at], b[at], least[at], np.diff(np.append(at, len(a)))
-
-
-def _found(kind, a, b, l, c, n, pos) -> pa.Table:  # noqa: E741
-    size = len(a)
-    return pa.table({"kind": pa.array(np.full(size, kind, np.int32)), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())} | {k: pa.array(np.broadcast_to(np.asarray(x, np.int32), size)) for k, x in (("l", l), ("c", c), ("n", n), ("pos", pos))})
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket's small groups and pairs with the first node of large ones (kind 0); the large ones (kind 1)."""
-    planes = []
-    cols = [[], [], [], []]
-    for blob in table.column("blob").to_pylist():
+def _postings(blobs) -> tuple[np.ndarray, ...]:
+    """token, node, n, position, l, role of packed postings."""
+    planes, cols = [], [[], [], [], []]
+    for blob in blobs:
         raw, *rest = unsqueeze(blob, "u1", "<i8", "<u4", "<u4", "u1")
         wide = np.zeros((len(rest[0]), 8), np.uint8)
         wide[:, :6] = raw.reshape(6, -1).T
@@ -208,65 +222,127 @@ def _meet(table: pa.Table) -> pa.Table:
         for to, x in zip(cols, rest, strict=True):
             to.append(x.astype(np.int64))
     token, node, n, pos, many = (np.concatenate(x) for x in (planes, *cols))
+    return token, node, n, pos, many % 16, many // 16
+
+
+def _met(bucket: int, kind: int, a, b, l, c, blobs=None) -> pa.Table:  # noqa: E741
+    size = len(blobs) if blobs else len(a)
+    full = lambda x, k: pa.array(np.broadcast_to(np.asarray(x, k), size))
+    return pa.table({"kind": full(kind, np.int32), "bucket": full(bucket, np.int64), "a": full(a, np.int64), "b": full(b, np.int64), "l": full(l, np.int32), "c": full(c, np.int32), "blob": pa.array(blobs or [None] * size, pa.binary())})
+
+
+def _counted(a: np.ndarray, b: np.ndarray, *more: np.ndarray):
+    """Distinct pairs with what goes with them, and how often each came."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    return a[at], b[at], *(x[order][at] for x in more), np.diff(np.append(at, len(a)))
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of a bucket's postings: pairs of nodes with their hubs (kind 0), all that could have a partner packed again
+    (kind 1), and how many of these each node has (kind 2)."""
+    bucket = table.column("bucket")[0].as_py()
+    token, node, n, pos, many, role = _postings(table.column("blob").to_pylist())
     order = np.argsort(token, kind="stable")
     t = token[order]
     twin = np.zeros(len(t) + 1, bool)
     twin[1:-1] = t[1:] == t[:-1]
     order = order[twin[1:] | twin[:-1]]
-    order = order[np.lexsort((node[order], token[order]))]
-    token, node, n, pos, many = (x[order] for x in (token, node, n, pos, many))
+    order = order[np.lexsort((role[order], node[order], n[order], token[order]))]
+    token, node, n, pos, many, role = (x[order] for x in (token, node, n, pos, many, role))
     keep = np.ones(len(token), bool)
-    keep[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    token, node, n, pos, many = (x[keep] for x in (token, node, n, pos, many))
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(token)))
+    keep[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1]) | (role[1:] != role[:-1])
+    token, node, n, pos, many, role = (x[keep] for x in (token, node, n, pos, many, role))
+    # in order of size, a posting without a partner of its length next to it has none at all
+    close = np.zeros(len(token) + 1, bool)
+    close[1:-1] = (token[1:] == token[:-1]) & (4 * n[:-1] >= 3 * n[1:])
+    keep = close[1:] | close[:-1]
+    token, node, n, pos, many, role = (x[keep] for x in (token, node, n, pos, many, role))
+    if not len(token):
+        return _met(bucket, 0, [], [], 0, 0)
+    length = np.floor(np.log(n) / np.log(4 / 3) + 1e-9).astype(np.int64)
+    key = token * 128 + length
+    order = np.lexsort((node, pos / n, key))
+    hub = order[np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])]
     left, right = [], []
+    for smaller in (0, 1):
+        at = np.minimum(np.searchsorted(key[hub], key - smaller), len(hub) - 1)
+        i = np.flatnonzero(key[hub[at]] == key - smaller)
+        j = hub[at[i]]
+        ok = (node[i] != node[j]) & ((role[i] == 0) | (role[i] != role[j])) & _passes(n[i], pos[i], many[i], n[j], pos[j], many[j])
+        left.append(j[ok])
+        right.append(i[ok])
+    j, i = np.concatenate(left), np.concatenate(right)
+    a, b, l, c = _counted(node[j], node[i], _shared(n[j], many[j], n[i], many[i])[0])  # noqa: E741
+    own, count = np.unique(node, return_counts=True)
+    planes = np.ascontiguousarray(token.astype("<u8").view("u1").reshape(-1, 8)[:, :6].T)
+    blob = squeeze(planes, node, n.astype("<u4"), pos.astype("<u4"), (many + 16 * role).astype("u1"))
+    return pa.concat_tables([_met(bucket, 0, a, b, l, c), _met(bucket, 1, 0, 0, 0, 0, [blob]), _met(bucket, 2, own, 0, 0, count)])
+
+
+def _crossing(start: np.ndarray, size: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    """Row pairs of groups (in order of n) that may pass, some millions at a time; not yet filtered by component."""
     for k in range(2, SMALL + 1):
         g = start[size == k]
-        for i in range(k):
-            for j in range(i + 1, k):
-                left.append(g + i)
-                right.append(g + j)
-    big = size > SMALL
-    rows = np.flatnonzero(np.repeat(big, size))
-    hub = np.repeat(start, size)[rows]
-    left.append(hub[rows != hub])
-    right.append(rows[rows != hub])
-    a, b, l, c = _counted(np.concatenate(left), np.concatenate(right), node, n, pos, many)  # noqa: E741
-    return pa.concat_tables([_found(0, a, b, l, c, 0, 0), _found(1, token[rows], node[rows], many[rows], 0, n[rows], pos[rows])])
-
-
-def _cross(table: pa.Table) -> pa.Table:
-    """Of large groups the pairs between components, without those with the first node, which were counted before."""
-    token, node, many, n, pos, comp = (table.column(k).to_numpy() for k in ("a", "b", "l", "n", "pos", "component"))
-    many, n, pos = (x.astype(np.int64) for x in (many, n, pos))
-    out = []
-    order = np.lexsort((node, token))
-    edges = np.flatnonzero(np.r_[True, token[order][1:] != token[order][:-1]]) if len(order) else []
-    for lo, hi in zip(edges, np.append(edges[1:], len(order)), strict=True):
-        g = order[lo + 1 : hi]  # without the first
-        _, where, size = np.unique(comp[g], return_inverse=True, return_counts=True)
-        if len(size) < 2:
+        if len(g):
+            i, j = np.triu_indices(k, 1)
+            yield (g[:, None] + i).ravel(), (g[:, None] + j).ravel()
+    for s, k in zip(start[size > SMALL], size[size > SMALL], strict=True):
+        if (comp[s : s + k] == comp[s]).all():
             continue
-        by = np.argsort(np.argsort(-size, kind="stable"))[where]  # components, largest first
-        g, by = g[np.argsort(by, kind="stable")], np.sort(by)
-        ends = np.searchsorted(by, np.arange(len(size)), "right")
-        for k, e in enumerate(ends[:-1]):
-            own, rest = g[ends[k - 1] if k else 0 : e], g[e:]
-            for at in range(0, len(own), 1024):
-                part = own[at : at + 1024]
-                for to in range(0, len(rest), 8192):
-                    others = rest[to : to + 8192]
-                    ok = _passes(n[part][:, None], pos[part][:, None], many[part][:, None], n[others], pos[others], many[others])
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        out.append(_counted(part[i], others[j], node, n, pos, many))
+        longest = s + np.searchsorted(n[s : s + k], n[s : s + k] * 4 // 3, "right")
+        for at in range(s, s + k, 256):
+            end = min(at + 256, s + k)
+            for to in range(at, longest[end - 1 - s], 8192):
+                last = min(to + 8192, longest[end - 1 - s])
+                i, j = np.nonzero(comp[at:end, None] != comp[to:last])
+                ok = to + j > at + i
+                yield at + i[ok], to + j[ok]
+
+
+def _cross(postings: pa.Table, nodes: pa.Table) -> pa.Table:
+    """Of a bucket's postings the pairs between components that pass the filters, counted."""
+    names = [x.split()[0] for x in CROSSED.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+    none = pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+    if not len(postings) or not len(nodes):
+        return none
+    known, tot, root = (nodes.column(k).to_numpy() for k in ("node", "tot", "component"))
+    order = np.argsort(known)
+    known, tot, root = known[order], tot[order], root[order]
+    token, node, n, pos, many, role = _postings(postings.column("blob").to_pylist())
+    order = np.lexsort((node, n, token))
+    token, node, n, pos, many, role = (x[order] for x in (token, node, n, pos, many, role))
+    at = np.searchsorted(known, node)
+    tot, comp = tot[at], root[at]
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    out, some, rows = [], [], 0
+
+    def add():
+        if some:
+            i, j = (np.concatenate(x) for x in zip(*some, strict=True))
+            swap = node[i] > node[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            out.append(_counted(node[i], node[j], comp[i], comp[j], _shared(n[i], many[i], n[j], many[j])[0]))
+            some.clear()
+
+    for i, j in _crossing(start, np.diff(np.append(start, len(token))), n, comp):
+        ok = (comp[i] != comp[j]) & ((role[i] == 0) | (role[i] != role[j]))
+        i, j = i[ok], j[ok]
+        ok = _passes(n[i], pos[i], many[i], n[j], pos[j], many[j]) & (np.minimum(tot[i], tot[j]) >= _shared(n[i], many[i], n[j], many[j])[0])
+        if ok.any():
+            some.append((i[ok], j[ok]))
+            rows += ok.sum()
+            if rows > 1 << 21:
+                add()
+                rows = 0
+    add()
     if not out:
-        return _found(0, *(np.zeros(0, np.int64),) * 2, 0, 0, 0, 0)
-    a, b, l, c = (np.concatenate(x) for x in zip(*out, strict=True))  # noqa: E741
-    return _found(0, a, b, l, c, 0, 0)
+        return none
+    return pa.Table.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def _row():
@@ -274,16 +350,6 @@ def _row():
     return F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "text")
 
 
-def _only(documents: pa.Table, asked: pa.Table) -> pa.Table:
-    """A part's documents that are asked for, packed again."""
-    want, blobs = np.unique(asked.column("row").to_numpy()), []
-    for ids, data, bounds in unpacked(documents.column("blob"), RUN) if len(want) else ():
-        rows = np.flatnonzero(np.isin(ids, want))
-        if len(rows):
-            blobs.append(squeeze(ids[rows], np.diff(bounds)[rows], np.concatenate([data[bounds[i] : bounds[i + 1]] for i in rows])))
-    return pa.table({"part": pa.array([asked.column("part")[0].as_py()] * len(blobs) if blobs else [], pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-
 def _extract(documents: pa.Table, asked: pa.Table) -> pa.Table:
     """The sets of the documents asked for (48 bits of each token), once for each group that asks."""
     want: dict[tuple[int, int], list] = {}
@@ -311,22 +377,66 @@ def _tokens(value) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Of a group's pairs those that reach the threshold, by their whole sets."""
-    src, dst = [], []
+    """The components (src, dst) of a group's pairs that reach the threshold, by their whole sets."""
+    found = set()
     tokens = sets.column("tokens").combine_chunks()
     at = {m: k for k, m in enumerate(sets.column("node").to_pylist())}
     last, own = None, None
-    for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+    for a, b, ra, rb in sorted(zip(*(pairs.column(k).to_pylist() for k in ("a", "b", "ra", "rb")), strict=True)):
+        if (ra, rb) in found:
+            continue
         if a != last:
             last, own = a, _tokens(tokens[at[a]])
-        x, y = own, _tokens(tokens[at[b]])
-        if len(x) > len(y):
-            x, y = y, x
-        inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-        if 100 * inter >= 75 * (len(x) + len(y) - inter):
-            src.append(a)
-            dst.append(b)
+        other = _tokens(tokens[at[b]])
+        both = _overlap(own, other)
+        if 100 * both >= 75 * (len(own) + len(other) - both):
+            found.add((ra, rb))
+    src, dst = zip(*sorted(found), strict=True) if found else ((), ())
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+
+def _pivot_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of the first node, the hub, and of up to PIVOTS - 1 further ones with all others, until all are joined up."""
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    label, links, pivot = np.arange(len(sets)), [], 0
+    tried = np.zeros(len(sets), bool)
+    for k in range(PIVOTS):
+        own = sets[pivot]
+        tried[pivot] = True
+        both = np.bincount(owner[own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat], minlength=len(sets))
+        hit = np.flatnonzero((100 * both >= 75 * (size + len(own) - both)) & (label != label[pivot]))
+        if len(hit):
+            links += [(nodes[pivot], nodes[j]) for j in hit]
+            joined = np.isin(label, np.append(label[hit], label[pivot]))
+            label[joined] = label[joined].min()
+        most = np.bincount(label).argmax()
+        rest = np.flatnonzero(~tried & ((label != most) if k % 2 == 0 else (label == most)))
+        if (label == most).all() or not len(rest):
+            break
+        pivot = int(rest[len(rest) // 2])
+    return links
+
+
+def _stars(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Links (src, dst) of a group's hubs (a), with those that come to them (b), and of a few further pivots."""
+    links = []
+    tokens = sets.column("tokens").combine_chunks()
+    at = {m: k for k, m in enumerate(sets.column("node").to_pylist())}
+    members: dict[tuple[int, int], list[int]] = {}
+    for a, b, block in zip(*(pairs.column(k).to_pylist() for k in ("a", "b", "block")), strict=True):
+        members.setdefault((a, block), []).append(b)
+    for (a, _), those in sorted(members.items()):
+        nodes = [a, *sorted(those)]
+        links += _pivot_links(nodes, [_tokens(tokens[at[m]]) for m in nodes])
+    src, dst = zip(*links, strict=True) if links else ((), ())
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
@@ -334,56 +444,20 @@ def _part(parts: int):
     return F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")
 
 
-def _links(pairs: DataFrame, first: DataFrame, dealt: DataFrame, parts: int) -> DataFrame:
-    """The pairs (a, b; components ra, rb) that reach the threshold, as a table.
+def _blocks(pairs: DataFrame, home: str, member: str) -> DataFrame:
+    """pairs with a block for each TOGETHER of the pairs of one home."""
+    n = pairs.groupBy(home).agg(F.count("*").alias("d"))
+    return pairs.join(n, home).withColumn("block", F.pmod(F.xxhash64(member), F.ceil(F.col("d") / TOGETHER))).drop("d")
 
-    A pair is verified where the one of its two components is that has more pairs: that component's sets and those it
-    is compared with come there once, in blocks of the component if it has many pairs.
-    """
-    weight = pairs.select(F.explode(F.array("ra", "rb")).alias("r")).groupBy("r").agg(F.count("*").alias("d"))
-    for k in "ab":
-        pairs = pairs.join(weight.select(F.col("r").alias(f"r{k}"), F.col("d").alias(f"d{k}")), f"r{k}")
-    swap = F.struct("db", "rb") > F.struct("da", "ra")
-    home, many, member = (F.when(swap, F.col(y)).otherwise(F.col(x)) for x, y in (("ra", "rb"), ("da", "db"), ("a", "b")))
-    groups = max(partitions(first.sparkSession), pairs.count() // TOGETHER)
-    block = F.pmod(F.xxhash64(member), F.ceil(many / TOGETHER))
-    pairs = pairs.select(F.pmod(F.xxhash64(home, block), F.lit(groups)).cast("int").alias("group"), "a", "b")
-    asked = pairs.select("group", F.explode(F.array("a", "b")).alias("node")).distinct()
+
+def _compared(pairs: DataFrame, home: str, docs: DataFrame, first: DataFrame, parts: int, groups: int, verify) -> DataFrame:
+    """verify(sets, pairs) over groups of homes and blocks, as a table: each set comes once to a group that needs it."""
+    pairs = pairs.withColumn("group", F.pmod(F.xxhash64(home, "block"), F.lit(groups)).cast("int"))
+    asked = pairs.select("group", F.col("a").alias("node")).union(pairs.select("group", F.col("b").alias("node"))).distinct()
     asked = asked.join(first, "node").select(_part(parts), "row", "node", "group")
+    dealt = packed(docs.select(_row().alias("doc_id"), "text"), parts)
     sets = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_extract, "group int, node long, tokens binary")
-    return written(sets.groupBy("group").cogroup(pairs.groupBy("group")).applyInArrow(_verify, "src long, dst long"))
-
-
-def _open(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs between components, with these."""
-    if roots is None:
-        return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
-    for k in "ab":
-        pairs = pairs.join(roots.select(F.col("id").alias(k), F.col("component").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
-    return pairs.where("ra <> rb")
-
-
-def _joined_up(pairs: DataFrame, links: DataFrame | None, roots: DataFrame | None, verify) -> tuple:
-    """Verify pairs (a, b, c): first the most promising of each node and each two components, then, between the
-    components that are still apart, all others. Links within a component would change nothing and are not verified."""
-    for last in (False, True):
-        left = _open(pairs, roots)
-        if last:
-            chosen = left.select("a", "b", "ra", "rb").join(tried, ["a", "b"], "left_anti")  # noqa: F821
-        else:
-            top = F.max_by(F.struct("a", "b", "ra", "rb"), F.struct("c", "a", "b")).alias("p")
-            if roots is None:
-                chosen = left.groupBy("a").agg(top).select("p.*").union(left.groupBy("b").agg(top).select("p.*")).distinct()
-            else:
-                chosen = left.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb"), F.pmod(F.xxhash64("a", "b"), F.lit(2))).agg(top).select("p.*")
-        chosen = tried = written(chosen)
-        if chosen.isEmpty():
-            break
-        new = verify(chosen)
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            roots = connected_components(links)
-    return links, roots
+    return written(sets.groupBy("group").cogroup(pairs.groupBy("group")).applyInArrow(verify, "src long, dst long"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -391,35 +465,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = plain(docs)
     total = text_bytes(docs)
-    parts, buckets = max(2 * partitions(spark), total // PART_BYTES), max(partitions(spark), min(1 << 16, total // 24 // BUCKET_ROWS))
+    parts, buckets = max(2 * partitions(spark), total // PART_BYTES), max(partitions(spark), total // 24 // BUCKET_ROWS)
     signed = written(docs.select("doc_id", _row().alias("row"), "text").mapInArrow(_signatures, "doc_id long, row long, n long, node long, cells int, counts binary"))
-    rank, cost = _ranks(signed.where("cells is not null").groupBy("cells").applyInArrow(_add, "cells int, counts binary").collect())
+    rank, cost, usual = _ranks(signed.where("cells is not null").groupBy("cells").applyInArrow(_add, "cells int, counts binary").collect())
     signed = signed.where("cells is null").select("doc_id", "row", "n", "node")
-    met = written(docs.select("text").mapInArrow(_prefixes(rank, cost, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, FOUND))
     first = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
-    counted = written(met.where("kind = 0").groupBy("a", "b", "l").agg(F.sum("c").alias("c")))
-    pairs = counted.where("c >= l").select("a", "b", "c")
-    big = met.where("kind = 1").select("a", "b", "l", "n", "pos")
-
-    some = pairs.select("a").union(pairs.select("b")).union(big.select("b")).distinct().join(first, F.col("a") == F.col("node")).select(_part(parts), "row")
-    dealt = written(packed(docs.select(_row().alias("doc_id"), "text"), parts).groupBy("part").cogroup(some.groupBy("part")).applyInArrow(_only, "part int, blob binary"))
-
-    def verify(chosen):
-        return _links(chosen, first, dealt, parts)
-
-    links, roots = _joined_up(pairs, None, None, verify)
-    if roots is None:
-        roots = spark.createDataFrame([], "id long, component long")
-    named = big.join(roots.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    split = named.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
-    crossing = named.join(split, "a").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    crossed = crossing.groupBy("bucket").applyInArrow(_cross, FOUND).groupBy("a", "b", "l").agg(F.sum("c").alias("c"))
-    crossed = crossed.join(counted.withColumnRenamed("c", "c0"), ["a", "b", "l"], "left").where("coalesce(c0, 0) < l and c + coalesce(c0, 0) >= l")
-    _, roots = _joined_up(written(crossed.select("a", "b", "c")), links, roots, verify)
-
-    root = F.coalesce("component", "node")
-    nodes = first.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", F.col("doc_id"), root.alias("root"))
-    least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = nodes.join(least, "root").select("node", "component_id")
+    places = first.select("node", "row")
+    sent = docs.select("text").mapInArrow(_prefixes(rank, cost, usual, buckets), "bucket long, blob binary")
+    met = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, MET))
+
+    stars = met.where("kind = 0").groupBy("a", "b", "l").agg(F.sum("c").alias("c")).where("4 * c >= l")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+    links = _compared(_blocks(best, "a", "b"), "a", docs, places, parts, parts, _stars)
+    roots = connected_components(links).withColumnRenamed("id", "node")
+
+    counts = met.where("kind = 2").select(F.col("a").alias("node"), F.col("bucket").alias("bucket"), "c")
+    nodes = counts.groupBy("node").agg(F.sum("c").alias("tot")).join(roots, "node", "left")
+    nodes = counts.select("node", "bucket").join(nodes, "node").select("bucket", "node", "tot", F.coalesce("component", "node").alias("component"))
+    postings = met.where("kind = 1").select(F.col("bucket").alias("bucket"), "blob")
+    crossed = postings.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(_cross, CROSSED)
+    crossed = written(crossed.groupBy("a", "b", "ra", "rb", "l").agg(F.sum("c").alias("c")).where("c >= l").drop("l", "c"))
+    joins = _compared(_blocks(crossed, "ra", "b"), "ra", docs, places, parts, parts, _verify)
+    joined = connected_components(joins).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+
+    named = first.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")).join(joined, "component", "left")
+    named = named.select("node", "doc_id", F.coalesce("whole", "component").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "root").select("node", "component_id")
     out = signed.join(named.withColumn("some", F.lit(True)), (signed.node == named.node) & (signed.n > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -64,9 +64,11 @@ def test_multikey_order():
     assert (w[o] == w[np.lexsort(w.T[::-1])]).all()
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_jaccard(docs, small, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize("small,hot,pivots", [(8, 20_000, 8), (2, 4, 1), (2, 20_000, 0)])
+def test_jaccard(docs, small, hot, pivots, monkeypatch):
+    """Also with hot tokens dealt over blocks, and without stars, so that crossing pairs alone must find all links."""
+    for name, value in (("SMALL", small), ("HOT", hot), ("PIVOTS", pivots)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     sets = {}
