@@ -12,12 +12,13 @@ listed pair by pair; nodes are joined up in two steps:
 
 1. Stars (`_meet`). In a token's group each node is paired only with a hub: of the nodes of its own and of the next
    smaller length class the one with the fewest rarer tokens. Every node is verified against the hub that it shares
-   most prefix tokens with; those that come together at a hub are also compared with a few further pivots among them
-   (`_stars`). A group gives as many rows as it has nodes.
+   most prefix tokens with; those that come together at a hub (in blocks of TOGETHER) are also compared with further
+   pivots among them, if it is not too much work until no pair between components is open there (`_stars`). A group
+   gives as many rows as it has nodes.
 2. Crossing pairs (`_cross`). Each posting then knows its node's component and how many shared prefix tokens the node
-   has in all. All pairs of *different* components that pass the filters, and whose nodes have enough shared tokens
-   at all, are counted over all tokens and verified if they share enough. So no link that could join components is
-   lost, whatever the first step found.
+   has in all. All pairs of *different* components that were not settled together at a hub, pass the filters, and
+   whose nodes have enough shared tokens at all, are counted over all tokens and verified if they share enough. So no
+   link that could join components is lost, whatever the first step found.
 
 The postings of a token whose cell of the sketch is estimated to hold more than HOT are dealt over pairs of blocks, so
 that no task gets a whole hot group.
@@ -38,7 +39,7 @@ from skyweave.operators.components import connected_components
 
 from .common import NO_ID, mix64, packed, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
-WORDS, MOST, SMALL, TOGETHER, PIVOTS = 5, 4, 8, 2000, 8
+WORDS, MOST, SMALL, TOGETHER, PIVOTS, WORK = 5, 4, 8, 2000, 8, 400_000_000
 #: Estimated postings of a token from which its group is dealt over pairs of blocks.
 HOT = 20_000
 CELLS = 1 << 16
@@ -46,7 +47,7 @@ RUN = 1 << 20
 BASE, X60 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64((1 << 60) - 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MULTIPLIERS = [np.uint64(k) for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-PART_BYTES, BUCKET_ROWS = 4 << 20, 250_000
+PART_BYTES, BUCKET_ROWS = 4 << 20, 1_000_000
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -128,13 +129,14 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def _ranks(rows) -> tuple[np.ndarray, np.ndarray, float]:
-    """Of each cell its place in the global order (0: as few tokens as most cells), its estimated cost as a multiple of
-    what is usual, and that."""
+    """Of each cell its place in the global order (0: as few tokens as most cells, within four standard errors), its
+    estimated cost as a multiple of what is usual, and that."""
     parts = [np.frombuffer(bytes(r["counts"]), np.int64) for r in sorted(rows, key=lambda r: r["cells"])]
     counts = np.concatenate(parts) if parts else np.zeros(CELLS, np.int64)
     usual = max(float(np.median(counts)), 1.0)
-    over = np.maximum(counts / usual, 1.0)
-    return np.minimum(np.log2(over / 1.5).clip(0) * 2 + (over > 1.5), 15).astype(np.uint8), np.where(over > 1.5, over, 0.0), usual
+    over, sure = np.maximum(counts / usual, 1.0), 4 / np.sqrt(usual)
+    hot = over - 1 > sure
+    return np.where(hot, np.minimum(1 + 2 * np.log2(np.maximum((over - 1) / sure, 1)), 15), 0).astype(np.uint8), np.where(hot, over, 0.0), usual
 
 
 def _dealt_hot(token: np.ndarray, blocks: np.ndarray, node: np.ndarray):
@@ -310,14 +312,14 @@ def _cross(postings: pa.Table, nodes: pa.Table) -> pa.Table:
     none = pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
     if not len(postings) or not len(nodes):
         return none
-    known, tot, root = (nodes.column(k).to_numpy() for k in ("node", "tot", "component"))
+    known, tot, root, star = (nodes.column(k).to_numpy() for k in ("node", "tot", "component", "star"))
     order = np.argsort(known)
-    known, tot, root = known[order], tot[order], root[order]
+    known, tot, root, star = known[order], tot[order], root[order], star[order]
     token, node, n, pos, many, role = _postings(postings.column("blob").to_pylist())
     order = np.lexsort((node, n, token))
     token, node, n, pos, many, role = (x[order] for x in (token, node, n, pos, many, role))
     at = np.searchsorted(known, node)
-    tot, comp = tot[at], root[at]
+    tot, comp, star = tot[at], root[at], star[at]
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     out, some, rows = [], [], 0
 
@@ -330,7 +332,7 @@ def _cross(postings: pa.Table, nodes: pa.Table) -> pa.Table:
             some.clear()
 
     for i, j in _crossing(start, np.diff(np.append(start, len(token))), n, comp):
-        ok = (comp[i] != comp[j]) & ((role[i] == 0) | (role[i] != role[j]))
+        ok = (comp[i] != comp[j]) & (star[i] != star[j]) & ((role[i] == 0) | (role[i] != role[j]))
         i, j = i[ok], j[ok]
         ok = _passes(n[i], pos[i], many[i], n[j], pos[j], many[j]) & (np.minimum(tot[i], tot[j]) >= _shared(n[i], many[i], n[j], many[j])[0])
         if ok.any():
@@ -402,42 +404,53 @@ def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
-def _pivot_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of the first node, the hub, and of up to PIVOTS - 1 further ones with all others, until all are joined up."""
+def _pivot_links(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], bool]:
+    """Links of the first node, the hub, and of further pivots with all others, until all are joined up or every node
+    outside the largest component has been a pivot: then no pair between components is left open (True). Groups that
+    would take more than WORK token comparisons are left open after PIVOTS."""
     size = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, ends = np.repeat(np.arange(len(sets)), size), np.cumsum(size)
     label, links, pivot = np.arange(len(sets)), [], 0
-    tried = np.zeros(len(sets), bool)
-    for k in range(PIVOTS):
-        own = sets[pivot]
-        tried[pivot] = True
-        both = np.bincount(owner[own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat], minlength=len(sets))
+    tried, mark = np.zeros(len(sets), bool), np.zeros(len(flat) + 1, bool)
+    for k in range(1 << 62):
+        own = flat[ends[pivot] - size[pivot] : ends[pivot]]
+        tried[pivot] = mark[own] = True
+        both = np.bincount(owner[mark[flat]], minlength=len(sets))
+        mark[own] = False
         hit = np.flatnonzero((100 * both >= 75 * (size + len(own) - both)) & (label != label[pivot]))
         if len(hit):
             links += [(nodes[pivot], nodes[j]) for j in hit]
             joined = np.isin(label, np.append(label[hit], label[pivot]))
             label[joined] = label[joined].min()
-        most = np.bincount(label).argmax()
-        rest = np.flatnonzero(~tried & ((label != most) if k % 2 == 0 else (label == most)))
-        if (label == most).all() or not len(rest):
-            break
+        most = label == np.bincount(label).argmax()
+        rest = np.flatnonzero(~tried & ~most)
+        if not len(rest):
+            return links, True
+        if k + 1 >= PIVOTS and (k + 1 + len(rest)) * len(flat) > WORK:
+            return links, False
+        if k % 2 and k < PIVOTS and (~tried & most).any():
+            rest = np.flatnonzero(~tried & most)
         pivot = int(rest[len(rest) // 2])
-    return links
 
 
 def _stars(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Links (src, dst) of a group's hubs (a), with those that come to them (b), and of a few further pivots."""
-    links = []
+    """Links (src, dst) of a group's hubs (a), with those that come to them (b), and of further pivots; of what came to
+    a hub and has no open pair there also its star (node, star)."""
+    links, settled = [], []
     tokens = sets.column("tokens").combine_chunks()
     at = {m: k for k, m in enumerate(sets.column("node").to_pylist())}
     members: dict[tuple[int, int], list[int]] = {}
     for a, b, block in zip(*(pairs.column(k).to_pylist() for k in ("a", "b", "block")), strict=True):
         members.setdefault((a, block), []).append(b)
-    for (a, _), those in sorted(members.items()):
+    for (a, block), those in sorted(members.items()):
         nodes = [a, *sorted(those)]
-        links += _pivot_links(nodes, [_tokens(tokens[at[m]]) for m in nodes])
-    src, dst = zip(*links, strict=True) if links else ((), ())
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+        found, closed = _pivot_links(nodes, [_tokens(tokens[at[m]]) for m in nodes])
+        links += [(*x, None) for x in found]
+        star = int(mix64(np.array([a], np.int64).view(np.uint64) + np.uint64(block)).view(np.int64)[0])
+        settled += [(m, None, star) for m in those] if closed else []
+    src, dst, star = zip(*links, *settled, strict=True) if links or settled else ((), (), ())
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "star": pa.array(star, pa.int64())})
 
 
 def _part(parts: int):
@@ -450,14 +463,14 @@ def _blocks(pairs: DataFrame, home: str, member: str) -> DataFrame:
     return pairs.join(n, home).withColumn("block", F.pmod(F.xxhash64(member), F.ceil(F.col("d") / TOGETHER))).drop("d")
 
 
-def _compared(pairs: DataFrame, home: str, docs: DataFrame, first: DataFrame, parts: int, groups: int, verify) -> DataFrame:
+def _compared(pairs: DataFrame, home: str, docs: DataFrame, first: DataFrame, parts: int, groups: int, verify, schema: str = "src long, dst long") -> DataFrame:
     """verify(sets, pairs) over groups of homes and blocks, as a table: each set comes once to a group that needs it."""
     pairs = pairs.withColumn("group", F.pmod(F.xxhash64(home, "block"), F.lit(groups)).cast("int"))
     asked = pairs.select("group", F.col("a").alias("node")).union(pairs.select("group", F.col("b").alias("node"))).distinct()
     asked = asked.join(first, "node").select(_part(parts), "row", "node", "group")
     dealt = packed(docs.select(_row().alias("doc_id"), "text"), parts)
     sets = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_extract, "group int, node long, tokens binary")
-    return written(sets.groupBy("group").cogroup(pairs.groupBy("group")).applyInArrow(verify, "src long, dst long"))
+    return written(sets.groupBy("group").cogroup(pairs.groupBy("group")).applyInArrow(verify, schema))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -476,12 +489,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     stars = met.where("kind = 0").groupBy("a", "b", "l").agg(F.sum("c").alias("c")).where("4 * c >= l")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    links = _compared(_blocks(best, "a", "b"), "a", docs, places, parts, parts, _stars)
-    roots = connected_components(links).withColumnRenamed("id", "node")
+    links = _compared(_blocks(best, "a", "b"), "a", docs, places, parts, parts, _stars, "src long, dst long, star long")
+    roots = connected_components(links.where("dst is not null")).withColumnRenamed("id", "node")
+    settled = links.where("star is not null").select(F.col("src").alias("node"), "star")
 
     counts = met.where("kind = 2").select(F.col("a").alias("node"), F.col("bucket").alias("bucket"), "c")
-    nodes = counts.groupBy("node").agg(F.sum("c").alias("tot")).join(roots, "node", "left")
-    nodes = counts.select("node", "bucket").join(nodes, "node").select("bucket", "node", "tot", F.coalesce("component", "node").alias("component"))
+    nodes = counts.groupBy("node").agg(F.sum("c").alias("tot")).join(roots, "node", "left").join(settled, "node", "left")
+    nodes = counts.select("node", "bucket").join(nodes, "node").select("bucket", "node", "tot", F.coalesce("component", "node").alias("component"), F.coalesce("star", "node").alias("star"))
     postings = met.where("kind = 1").select(F.col("bucket").alias("bucket"), "blob")
     crossed = postings.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(_cross, CROSSED)
     crossed = written(crossed.groupBy("a", "b", "ra", "rb", "l").agg(F.sum("c").alias("c")).where("c >= l").drop("l", "c"))
