@@ -155,6 +155,7 @@ def vectors(spark):
 def test_embedding_dedup(vectors, cell, block, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "chosen", lambda sample, count: embedding_dedup.fit_centroids(sample, count // cell + 1))
     df, x = vectors
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.9
@@ -170,7 +171,7 @@ def test_embedding_dedup(vectors, cell, block, monkeypatch):
 
 def test_embedding_dedup_on_centroids(spark, monkeypatch):
     """Every vector is the only member of its cell, or shares it with scaled copies: offsets of 0."""
-    monkeypatch.setattr(embedding_dedup, "CELL", 1)
+    monkeypatch.setattr(embedding_dedup, "chosen", lambda sample, count: embedding_dedup.fit_centroids(sample, count))
     rng = np.random.default_rng(4)
     x = rng.normal(size=(90, 16)).astype(np.float32)
     x[30:60] = x[:30] + np.float32(0.05) * rng.normal(size=(30, 16)).astype(np.float32)
@@ -182,6 +183,28 @@ def test_embedding_dedup_on_centroids(spark, monkeypatch):
     assert got == dict(enumerate(want.tolist()))
 
 
+def test_embedding_dedup_repeated_ids(spark):
+    """An id with several vectors stands for as many; only what is linked comes together."""
+    e = np.eye(8)
+    near = lambda k: (e[k] + 0.1 * e[(k + 1) % 8]).tolist()
+    rows = [(7, e[0].tolist()), (7, e[2].tolist()), (3, near(0)), (5, near(2)), (7, e[0].tolist()), (9, e[4].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_links(df).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 5, True), (7, 1, 3, False), (7, 1, 3, False), (7, 1, 5, False), (9, 0, 9, True)]
+
+
+def test_bound_rows():
+    """One product of the rows is estimate, error bound and the centroid's part."""
+    rng = np.random.default_rng(6)
+    dim, c = 32, rng.normal(size=32) / 9
+    u = rng.normal(size=(60, dim)) / np.sqrt(dim)
+    code, length, factor, direction = embedding_dedup.binary_codes(u - c, embedding_dedup.rotation(dim, 1))
+    held, asked = embedding_dedup.bound_rows(code, length, factor, direction, u @ c, c @ c, dim)
+    value, error = embedding_dedup.estimate(code, factor, direction, dim)
+    want = length[:, None] * length * (value + embedding_dedup.SURE * error[:, None]) + (u @ c)[:, None] + u @ c - c @ c
+    assert np.abs(held @ asked.T - want).max() < 1e-4 and (held @ asked.T > u @ u.T).all()
+
+
 def test_estimate_on_the_centroid():
     turn = embedding_dedup.rotation(8, 1)
     code, length, factor, direction = embedding_dedup.binary_codes(np.vstack([np.zeros(8), np.eye(8)[0]]), turn)
