@@ -6,9 +6,10 @@ finely as any others) and laid end to end into sequences of SEQUENCE tokens: nei
 and only the last sequence is padded. Range bounds are quantiles of all keys; a range's place in the whole is the sum
 of token counts before it.
 
-Ids are those of the whole text: the tokenizer drops white space and never joins words across it, so texts are cut at
-ASCII white space and each distinct word of about a MB of texts is encoded once at most (`encode` is tested against
-whole texts).
+Ids are those of the whole text: the tokenizer drops white space, ignores case and never joins letters with digits or
+signs, so texts are cut there (`_units`, in numpy, over some MB of texts), the units are dictionary-encoded by Arrow, and
+each distinct one is encoded once at most (`encode` is tested against whole texts). Ids of all occurrences and the sums
+of their directions come from array look-ups.
 
 Null text counts as empty (its only id is the end id); rows with a null doc_id are packed too; repeated rows are
 packed each; an empty table gives an empty result; other columns are not read.
@@ -18,21 +19,22 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, doc_key, mix64, partitions, text_buffers, written
 
 SEQUENCE, END = 4096, 2
 DIMS, BITS, SCALE = 4, 6, 0.12
-RANGE_TOKENS, KNOWN = 2 << 20, 1_000_000
+RANGE_TOKENS, KNOWN, SUPER = 2 << 20, 1_000_000, 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-TOGETHER, TEXT_BYTES = 8192, 1 << 20
+TOGETHER, TEXT_BYTES = 200, 4 << 20
+#: The tokenizer's own mark between texts, by which units are told apart that are encoded in one call.
+MARK = "<|endoftext|>"
 _known: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -43,8 +45,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text by the tokenizer at path, without special tokens, then the end id (all below 65,536)."""
+def _kinds() -> np.ndarray:
+    """Of each byte: 0 ASCII white space, 1 ASCII letter, 2 digit, 3 apostrophe, 4 other ASCII, 5 part of another character."""
+    kind = np.full(256, 4, np.uint8)
+    kind[[9, 10, 13, 32]] = 0
+    kind[[*range(65, 91), *range(97, 123)]] = 1
+    kind[48:58] = 2
+    kind[39] = 3
+    kind[128:] = 5
+    return kind
+
+
+def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of a buffer of texts that the tokenizer encodes independently, and how many each text has.
+
+    Cuts are made at ASCII white space, on both sides of an ASCII digit, and between an ASCII letter and an ASCII sign
+    (not from an apostrophe to a letter: that may be a contraction); next to other characters only at white space.
+    """
+    kind = _kinds()[data]
+    lower = data + np.uint8(32) * ((data >= 65) & (data <= 90)).view(np.uint8)
+    size = len(data)
+    cut = np.zeros(size + 1, bool)
+    cut[bounds] = True
+    a, b = kind[:-1], kind[1:]
+    cut[1:size] |= (a == 0) != (b == 0)
+    if MARK.split("|")[0].encode() + b"|" in lower.tobytes():  # the tokenizer's own marks stay whole
+        lower = data
+    else:
+        plain = (a != 0) & (b != 0) & (a != 5) & (b != 5)
+        cut[1:size] |= plain & ((a == 2) | (b == 2) | ((a == 1) & (b >= 3)) | ((a == 4) & (b == 1)))
+    at = np.flatnonzero(cut[:size])
+    at = at[kind[at] != 0]
+    solid = kind != 0
+    place = np.concatenate([[0], np.cumsum(solid)])
+    offsets = np.append(place[at], place[-1]).astype(np.int32)
+    units = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(lower[solid]))])
+    return units, np.diff(np.searchsorted(at, bounds))
+
+
+def _learn(new: list[str], path: str) -> None:
+    tok, known = _tokenizers[path], _known[path]
+    mark = tok.token_to_id(MARK)
+    odd = [w for w in new if mark is None or "<|" in w]
+    for w, e in zip(odd, tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+        known[w] = np.array(e.ids, "<u2").tobytes()
+    new = [w for w in new if w not in known]
+    groups = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
+    for at in range(0, len(groups), 64):
+        some = groups[at : at + 64]
+        for words, e in zip(some, tok.encode_batch_fast([MARK.join(g) for g in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u2")
+            ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(words, ends, strict=True):
+                known[w] = raw[2 * start : 2 * end]
+                start = end + 1
+
+
+def encoded(data: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a buffer by the tokenizer at path, without special tokens, each text with the end id after
+    them (all below 65,536), and the bounds of the texts in them."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -53,14 +113,28 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     known = _known[path]
     if len(known) > KNOWN:
         known.clear()
-    split = [text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for text in texts]
-    new = list(set().union(*split).difference(known))
-    for at in range(0, len(new), TOGETHER):
-        some = new[at : at + TOGETHER]
-        for w, e in zip(some, _tokenizers[path].encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = array("H", e.ids).tobytes()
-    tail = array("H", [END]).tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, words)) + tail, "<u2") for words in split]
+    units, count = _units(data, bounds)
+    coded = units.dictionary_encode()
+    words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    _learn([w for w in words if w not in known], path)
+    ids = [known[w] for w in words]
+    size = np.array([len(x) // 2 for x in ids], np.int64)
+    flat, first = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(size) - size
+    size = size[index]
+    total = np.concatenate([[0], np.cumsum(size)])
+    ends = total[np.concatenate([[0], np.cumsum(count)])] + np.arange(len(count) + 1)  # with the end ids before
+    out = np.full(int(ends[-1]), END, "<u2")
+    inner = np.ones(len(out), bool)
+    inner[ends[1:] - 1] = False
+    out[inner] = flat[np.repeat(first[index] - total[:-1], size) + np.arange(total[-1])]
+    return out, ends
+
+
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """`encoded` of each text."""
+    (_, _, data, bounds), = text_buffers(pa.array(texts, pa.string()), 1 << 62) if texts else [(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64))]
+    ids, ends = encoded(data, bounds, path)
+    return [ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _directions(seed: int = 5) -> np.ndarray:
@@ -99,24 +173,25 @@ def _keyed(path: str):
     def keyed(batches):
         directions = _directions()
         for batch in batches:
-            for lo, hi, _, _ in text_buffers(batch.column(1), TEXT_BYTES):
-                part = batch.slice(lo, hi - lo)
-                doc = part.column(0).to_numpy(zero_copy_only=False)
-                ids = encode([t or "" for t in part.column(1).to_pylist()], path)
-                mean = np.stack([directions[x].mean(0) for x in ids])
+            for lo, hi, data, bounds in text_buffers(batch.column(1), TEXT_BYTES):
+                doc = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                ids, ends = encoded(data, bounds, path)
+                n = np.diff(ends)
+                mean = np.stack([np.add.reduceat(directions[:, k][ids], ends[:-1]) for k in range(DIMS)], 1) / n[:, None]
                 cells = 1 << BITS
                 points = np.minimum((0.5 + 0.5 * np.tanh(mean / SCALE)) * cells, cells - 1)
                 key = (hilbert_key(points, BITS) << 28) | (mix64(doc.astype(np.uint64)) >> np.uint64(36)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["key", "doc_id", "n", "ids"])
+                blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n), blobs], ["key", "doc_id", "n", "ids"])
 
     return keyed
 
 
-def _laid(base: dict[int, int]):
-    """The pieces of a range's documents, from its first place on."""
+def _laid():
+    """The pieces of a range's documents, from its first place (base) on."""
 
     def lay(table: pa.Table) -> pa.Table:
-        at = base[table.column("range")[0].as_py()]
+        at = table.column("base")[0].as_py()
         out = [[] for _ in range(7)]
         table = table.sort_by([("key", "ascending"), ("doc_id", "ascending")])
         for doc, n, ids in zip(table.column("doc_id").to_pylist(), table.column("n").to_pylist(), table.column("ids"), strict=True):
@@ -149,8 +224,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def range_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right").astype(np.int32))
 
-    tokens = keyed.select(range_of("key").alias("range"), "n").groupBy("range").agg(F.sum("n").alias("n")).collect()
-    base, at = {}, 0
-    for r in sorted(tokens, key=lambda r: r["range"]):
-        base[r["range"]], at = at, at + r["n"]
-    return keyed.withColumn("range", range_of("key")).groupBy("range").applyInArrow(_laid(base), PIECES)
+    tokens = keyed.select(range_of("key").alias("range"), "n").groupBy("range").agg(F.sum("n").alias("n"))
+    tokens = written(tokens.withColumn("super", F.floor(F.col("range") / SUPER)))
+    starts, at = [(-1, 0)], 0  # of every SUPER ranges, so that the driver holds few
+    for r in sorted(tokens.groupBy("super").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["super"]):
+        starts.append((r["super"], at))
+        at += r["n"]
+    before = F.sum("n").over(Window.partitionBy("super").orderBy("range")) - F.col("n")
+    bases = tokens.withColumn("before", before).join(spark.createDataFrame(starts, "super long, start long"), "super")
+    bases = bases.select("range", (F.col("start") + F.col("before")).alias("base"))
+    return keyed.withColumn("range", range_of("key")).join(bases, "range").groupBy("range").applyInArrow(_laid(), PIECES)

@@ -110,7 +110,7 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    odd = ["Ab́ c d", "x<|endoftext|>y a\x0bb\x1cc", "don't 123abc  ΣΑΣ ", "", " wide"]
+    odd = ["I\u0307X e\u0301. é. »., a.'s 'tis don't. it's'd x'1 12a,b3-4é5 ###A&&&b !!é É! İI. A\u030a", "<|endoftext|> <|ENDOFTEXT|>. A<|b", "''\u0301a =\u0338a", "Ab́ c d", "x<|endoftext|>y a\x0bb\x1cc", "don't 123abc  ΣΑΣ ", "", " wide"]
     assert [x.tolist() for x in packing.encode(odd, packing.default_tokenizer())] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in odd]
     pieces = packing.pack(docs.dropDuplicates(["doc_id"])).collect()
     by, at = collections.defaultdict(list), collections.defaultdict(list)
