@@ -17,8 +17,9 @@ Jobs (documents are dealt by a hash of doc_id into parts; a part is sorted, so t
    most: bounds are distinct whole keys, so two equal windows are never on two sides of one.
 4. Each part gets the verdicts on the texts it sent and removes what is covered (`_apply`).
 
-Null text counts as empty; repeated rows with one doc_id are each compared with smaller ids only; an empty table
-gives an empty result; other columns are not read.
+Null text counts as empty; repeated rows with one doc_id are each compared with smaller ids only; a null doc_id is
+neither smaller nor larger than any: such rows lose nothing and take nothing from others; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_key, joined, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import doc_key, joined, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM
@@ -347,13 +348,12 @@ def _apply(texts: bool):
                 a, b = bounds[k], bounds[k + 1]
                 removed = int(total[b] - total[a])
                 left = data[a:b] if not removed else data[a:b][~gone[a:b]]
-                for to_list, x in zip(out, (ids[k], b - a, removed, int(rises[b] - rises[a]), hashlib.sha256(left.tobytes()).hexdigest(), left.tobytes() if texts else None), strict=True):
+                for to_list, x in zip(out, (ids[k], b - a, removed, int(rises[b] - rises[a]), hashlib.sha256(left.tobytes()).hexdigest(), left.tobytes().decode("utf-8", "ignore") if texts else None), strict=True):
                     to_list.append(x)
-        ids = np.array(out[0], np.int64)
-        columns = [pa.array(ids, pa.int64(), mask=ids == NO_ID), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.string())]
+        columns = [pa.array(np.array(out[0], np.int64)), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if texts:
-            columns.append(pa.array(out[5], pa.binary()))
+            columns.append(pa.array(out[5], pa.string()))
             names.append("kept")
         return pa.Table.from_arrays(columns, names)
 
@@ -378,9 +378,13 @@ def _sample(docs: DataFrame, total: int) -> np.ndarray:
 
 
 def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text, without the
+    rests of characters that were cut in two)."""
     spark = docs.sparkSession
     docs = plain(docs)
+    apart = docs.where("doc_id IS NULL").withColumn("text", F.coalesce("text", F.lit("")))
+    apart = apart.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if texts else []))
+    docs = docs.where("doc_id IS NOT NULL")
     total = text_bytes(docs)
     parts = min(65_535, max(2 * partitions(spark), total // PART_BYTES))
     sample = _sample(docs, total)
@@ -389,4 +393,4 @@ def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     flags = docs.select(part_of(parts), "text").mapInArrow(_fingerprints(parts), "bucket long, blob binary").groupBy("bucket").applyInArrow(_repeated, "part int, blob binary")
     sent = dealt.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(_send(splitters), "bucket long, part int, blob binary")
     verdicts = written(sent.groupBy("bucket").applyInArrow(_settle, "part int, blob binary"))
-    return dealt.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(_apply(texts), RESULT + (", kept binary" if texts else ""))
+    return dealt.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(_apply(texts), RESULT + (", kept string" if texts else "")).union(apart)

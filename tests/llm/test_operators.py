@@ -57,6 +57,14 @@ def test_suffix_dedup(docs):
     assert suffix.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_null_ids(spark):
+    """A null doc_id takes nothing from others and loses nothing; cut characters leave no rests, others stay."""
+    long = "".join(random.Random(2).choices("abcdefgh ", k=90))
+    rows = [(None, long), (5, long), (None, None), (6, "\ufffdé" + long[1:] + "é\ufffd"), (7, "é" * 30), (8, "\ufffdx" + "é" * 29)]
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.kept) for r in suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()}
+    assert got == {(None, 90): (0, long), (5, 90): (0, long), (None, 0): (0, ""), (6, 99): (89, "\ufffdéé\ufffd"), (7, 60): (0, "é" * 30), (8, 62): (58, "\ufffdx")}
+
+
 def test_multikey_order():
     rng = np.random.default_rng(1)
     w = rng.integers(0, 3, (30000, 4)).astype(np.uint64)
