@@ -49,9 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what earlier documents have (operator 1); a document of which nothing is left goes."""
     docs = _numbered(docs)
     kept = suffix_dedup(docs.select(F.col("row").alias("doc_id"), "text"), texts=True).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
-    # bytes cut inside a character leave an invalid one, which is dropped from the text
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    kept = kept.select(F.col("doc_id").alias("row"), F.when(F.col("n_removed") > 0, text).alias("cut"))
+    kept = kept.select(F.col("doc_id").alias("row"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("cut"))
     out = docs.join(kept, "row").withColumn("text", F.coalesce("cut", "text"))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(COLUMNS)
 
