@@ -7,7 +7,7 @@ and only the last sequence is padded. Range bounds are quantiles of all keys; a
 of token counts before it.
 
 Ids are those of the whole text: the tokenizer drops white space, ignores case and never joins letters with digits or
-signs, so texts are cut there (`_units`, in numpy, over some MB of texts), the units are dictionary-encoded by Arrow, and
+signs, so texts are cut there (`_units`, in numpy, over about a MB of texts), the units are dictionary-encoded by Arrow, and
 each distinct one is encoded once at most (`encode` is tested against whole texts). Ids of all occurrences and the sums
 of their directions come from array look-ups.
 
@@ -30,9 +30,9 @@ from .common import NO_ID, doc_key, mix64, partitions, text_buffers, written
 
 SEQUENCE, END = 4096, 2
 DIMS, BITS, SCALE = 4, 6, 0.12
-RANGE_TOKENS, KNOWN, SUPER = 2 << 20, 1_000_000, 4096
+RANGE_TOKENS, KNOWN, SUPER = 2 << 20, 400_000, 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-TOGETHER, TEXT_BYTES = 200, 4 << 20
+TOGETHER, TEXT_BYTES = 200, 1 << 20
 #: The tokenizer's own mark between texts, by which units are told apart that are encoded in one call.
 MARK = "<|endoftext|>"
 _known: dict[str, dict[str, bytes]] = {}
