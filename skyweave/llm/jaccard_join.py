@@ -43,7 +43,7 @@ WORDS, MOST, SMALL, TOGETHER, PIVOTS, WORK = 5, 4, 8, 2000, 8, 400_000_000
 #: Estimated postings of a token from which its group is dealt over pairs of blocks.
 HOT = 20_000
 CELLS = 1 << 16
-RUN = 1 << 20
+RUN, SENT = 1 << 20, 400_000
 BASE, X60 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64((1 << 60) - 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MULTIPLIERS = [np.uint64(k) for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -160,9 +160,21 @@ def _prefixes(rank: np.ndarray, cost: np.ndarray, usual: float, buckets: int):
     """(bucket, blob of token, node, n, position, l, role) of all prefix tokens, each set once a batch."""
     many_blocks = np.maximum(1, np.ceil(np.where(cost > 0, cost - 1, 0) * usual / HOT)).astype(np.int64)
 
+    def packed_up(got: list):
+        token, node, n, pos, many = (np.concatenate(k) for k in zip(*got, strict=True))
+        row, token, role = _dealt_hot(token, many_blocks[(token >> np.uint64(44)).astype(np.int64)], node)
+        node, n, pos, many = node[row], n[row], pos[row], many[row] + 16 * role
+        order, runs = runs_of(((token >> np.uint64(28)).astype(np.int64) * buckets) >> 32)
+        blobs = []
+        for _, lo, hi in runs:
+            o = order[lo:hi]
+            planes = np.ascontiguousarray((token[o] >> np.uint64(12)).astype("<u8").view("u1").reshape(-1, 8)[:, :6].T)
+            blobs.append(squeeze(planes, node[o], n[o].astype("<u4"), pos[o].astype("<u4"), many[o].astype("u1")))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
     def send(batches):
         for batch in batches:
-            got = []
+            got, held = [], 0
             seen = np.zeros(0, np.int64)
             for _, _, data, bounds in text_buffers(batch.column(0), RUN):
                 x, b = shingle_sets(data, bounds, rank)
@@ -179,19 +191,12 @@ def _prefixes(rank: np.ndarray, cost: np.ndarray, usual: float, buckets: int):
                 who = np.repeat(one, size)
                 pos = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
                 got.append((x[b[who] + pos] & X60, node[who], n[who], pos, many[who]))
-            if not got:
-                continue
-            token, node, n, pos, many = (np.concatenate(k) for k in zip(*got, strict=True))
-            row, token, role = _dealt_hot(token, many_blocks[(token >> np.uint64(44)).astype(np.int64)], node)
-            node, n, pos, many = node[row], n[row], pos[row], many[row] + 16 * role
-            order, runs = runs_of(((token >> np.uint64(28)).astype(np.int64) * buckets) >> 32)
-            blobs = []
-            for _, lo, hi in runs:
-                o = order[lo:hi]
-                planes = np.ascontiguousarray((token[o] >> np.uint64(12)).astype("<u8").view("u1").reshape(-1, 8)[:, :6].T)
-                blobs.append(squeeze(planes, node[o], n[o].astype("<u4"), pos[o].astype("<u4"), many[o].astype("u1")))
-            if blobs:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                held += len(who)
+                if held > SENT:
+                    yield packed_up(got)
+                    got, held = [], 0
+            if held:
+                yield packed_up(got)
 
     return send
 
@@ -338,7 +343,7 @@ def _cross(postings: pa.Table, nodes: pa.Table) -> pa.Table:
         if ok.any():
             some.append((i[ok], j[ok]))
             rows += ok.sum()
-            if rows > 1 << 21:
+            if rows > 1 << 19:
                 add()
                 rows = 0
     add()
