@@ -142,3 +142,53 @@ def sexagesimal(text) -> str:
     """B15: 'd m s' or 'd:m:s' to degrees; the sign is taken from the text, so -00 stays negative."""
     part = lambda k: f"abs(cast(split_part(translate(trim({text}), ' ', ':'), ':', {k}) AS double))"
     return f"((CASE WHEN trim({text}) LIKE '-%' THEN -1 ELSE 1 END)*({part(1)}+{part(2)}/60+{part(3)}/3600))"
+
+
+def space_motion(ra, dec, pmra, pmdec, years) -> tuple[str, str]:
+    """Motion along the great circle: the unit vector moves along its tangent plane and is scaled back, so that
+    pmra turns with the meridian and the pole is no special case. Missing motions are zero."""
+    a, d = f"radians({ra})", f"radians({dec})"
+    u = f"(coalesce({pmra},0)*({years})*{radians(1 / 3.6e6)!r})"
+    v = f"(coalesce({pmdec},0)*({years})*{radians(1 / 3.6e6)!r})"
+    x = f"(cos({d})*cos({a})-{u}*sin({a})-{v}*sin({d})*cos({a}))"
+    y = f"(cos({d})*sin({a})+{u}*cos({a})-{v}*sin({d})*sin({a}))"
+    z = f"(sin({d})+{v}*cos({d}))"
+    return wrap360(f"degrees(atan2({y},{x}))"), f"degrees(atan2({z},sqrt({x}*{x}+{y}*{y})))"
+
+
+#: Fixed value: the pattern of tile names.
+TILE = "^tile_RA([0-9]+[.]?[0-9]*)_DEC([pm])([0-9]+[.]?[0-9]*)$"
+
+
+def tile_centre(name) -> tuple[str, str]:
+    """Centre of a tile name, RA within 0 to 360 and dec clipped at the poles; null for other names."""
+    part = lambda k: f"regexp_extract(trim({name}), '{TILE}', {k})"
+    number = lambda k: f"CAST(nullif({part(k)}, '') AS double)"
+    return wrap360(number(1)), f"(greatest(-90e0,least(90e0,CASE WHEN {part(2)}='m' THEN -1 ELSE 1 END*{number(3)})){_nulls(number(3))})"
+
+
+def tile_name(ra, dec, text: str = "format_string") -> str:
+    """Name of a tile; text is the engine's printf."""
+    return f"({text}('tile_RA%.3f_DEC', CAST({wrap360(ra)} AS double)) || CASE WHEN ({dec}) >= 0 THEN 'p' ELSE 'm' END || {text}('%.3f', CAST(abs({dec}) AS double)))"
+
+
+#: Fixed value: the pattern of observation times.
+TIME = "^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}):([0-9]{2}):([0-9]{2})([.][0-9]+)?Z?$"
+
+
+def overflow_time(text) -> str:
+    """Seconds of the day of an observation time: too many seconds and minutes are carried, hours wrap around and
+    the date stays; null for other texts."""
+    part = lambda k: f"CAST(nullif(regexp_extract(trim({text}), '{TIME}', {k}), '') AS double)"
+    return f"((({part(2)}*3600+{part(3)}*60+{part(4)}) % 86400e0)+coalesce({part(5)},0))"
+
+
+def overflow_mjd(text, days: str) -> str:
+    """Modified Julian date of such a time; days(date) is the engine's day number since 1970 as SQL text."""
+    date = f"regexp_extract(trim({text}), '{TIME}', 1)"
+    return f"({days.format(f'CAST(nullif({date}, {chr(39)}{chr(39)}) AS date)')}+40587+{overflow_time(text)}/86400)"
+
+
+def number_text(x, digits: int = 6, text: str = "format_string") -> str:
+    """A number as text, empty for null and NaN."""
+    return f"(CASE WHEN ({x}) IS NULL OR isnan({x}) THEN '' ELSE {text}('%.{digits}f', CAST({x} AS double)) END)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import sky
 
-from .skyjoin import pairs
+from .skyjoin import matched_keys, nearest, pairs
 
 
 def nearest_distance(reference: DataFrame, detections: DataFrame, radius: float, key: str = "id", on: list[str] | None = None) -> DataFrame:
@@ -38,14 +38,101 @@ def histogram(distances: DataFrame, most: int) -> DataFrame:
     return b.groupBy("lo").agg(n("real").alias("n_real"), n("null").alias("n_null")).withColumn("excess", F.col("n_real") - F.col("n_null"))
 
 
+MANIFEST = 10_000
+
+
+def manifest(plates: DataFrame) -> DataFrame:
+    """A table of plates, checked to be no more than a manifest of MANIFEST rows."""
+    if plates.limit(MANIFEST + 1).count() > MANIFEST:
+        raise ValueError(f"plates are expected to be a manifest of at most {MANIFEST} rows")
+    return plates
+
+
 def nearest_plates(rows: DataFrame, plates: DataFrame, k: int) -> DataFrame:
-    """The k nearest plate centres of each row. Plates are a manifest of fixed size, checked before broadcast."""
-    if plates.limit(10_001).count() > 10_000:
-        raise ValueError("plates are expected to be a manifest of at most 10,000 rows")
-    p = F.broadcast(plates.select(F.col("id").alias("plate_id"), F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec")))
-    sep = F.expr(sky.haversine("ra", "dec", "p_ra", "p_dec")) / 3600
-    near = rows.crossJoin(p).withColumn("sep", sep).groupBy(*rows.columns).agg(F.slice(F.array_sort(F.collect_list(F.struct("sep", "plate_id"))), 1, k).alias("near"))
-    return near
+    """The k nearest plate centres of each row: one broadcast row holds the checked manifest as an array, and
+    each row sorts it for itself, without a shuffle."""
+    p = manifest(plates).agg(F.collect_list(F.struct(F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec"), F.col("id").alias("plate_id"))).alias("_plates"))
+    near = f"slice(array_sort(transform(_plates, x -> struct({sky.haversine('ra', 'dec', 'x.p_ra', 'x.p_dec')} / 3600 AS sep, x.plate_id AS plate_id))), 1, {k})"
+    return rows.crossJoin(F.broadcast(p)).withColumn("near", F.expr(near)).drop("_plates")
+
+
+def boxed(rows: DataFrame, plates: DataFrame, half: float) -> DataFrame:
+    """Rows with each plate whose square of `half` degrees (offsets on the sky) has them, as an equi-join on
+    declination zones. Plate columns come as plate_id, p_ra, p_dec."""
+    zone = lambda x: F.floor(F.expr(x) / (2 * half)).cast("long")
+    p = plates.select(F.col("id").alias("plate_id"), F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec"))
+    p = p.withColumn("_zone", F.explode(F.sequence(zone(f"p_dec - {half}"), zone(f"p_dec + {half}"))))
+    return rows.withColumn("_zone", zone("dec")).join(p, "_zone").where(F.expr(sky.chebyshev("ra", "dec", "p_ra", "p_dec")) <= half).drop("_zone")
+
+
+def coverage(plates: DataFrame, rows: DataFrame, half: float) -> DataFrame:
+    """Of each plate the rows it covers; 0 where it covers none."""
+    n = boxed(rows.select("ra", "dec"), plates, half).groupBy("plate_id").agg(F.count("*").alias("covered"))
+    return plates.select("id").join(n, F.col("id") == F.col("plate_id"), "left").select("id", F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+def per_plate_nearest(reference: DataFrame, detections: DataFrame, plates: DataFrame, half: float, radius: float) -> DataFrame:
+    """Of each reference row and each plate that covers it the nearest detection on that plate."""
+    at = boxed(reference.select("id", "ra", "dec"), plates, half).select("id", "plate_id", "ra", "dec")
+    return nearest(at, detections.select("plate_id", "id", "ra", "dec"), radius, ["id", "plate_id"], "id", ["plate_id"])
+
+
+def two_epochs(catalogue: DataFrame, detections: DataFrame, years: float, radius: float) -> DataFrame:
+    """Nearest detection of each catalogue row at its own and at its moved position, nulls without one."""
+    moved = sky.propagate("ra", "dec", "pmra", "pmdec", repr(float(years)))
+    out = catalogue.select("id")
+    for k, at in (("0", ("ra", "dec")), ("1", moved)):
+        placed = catalogue.select("id", F.expr(at[0]).alias("x"), F.expr(at[1]).alias("y")).toDF("id", "ra", "dec")
+        best = nearest(placed, detections.select("id", "ra", "dec"), radius, ["id"], "id")
+        out = out.join(best.select("id", F.col("r_id").alias(f"match{k}"), F.col("sep_arcsec").alias(f"sep{k}")), "id", "left")
+    return out
+
+
+def recovered(rows: DataFrame, catalogue: DataFrame, by: str, wide: float, narrow: float) -> DataFrame:
+    """Per group the median offset of nearest matches within `wide`, and the rows matched within `narrow` before and
+    after it is taken off."""
+    best = nearest(rows.select("id", by, "ra", "dec"), catalogue.select("id", "ra", "dec"), wide, ["id"], "id")
+    x, y = sky.tangent_offsets("r_ra", "r_dec", "ra", "dec")
+    best = best.select(by, "ra", "dec", "id", F.expr(x).alias("x"), F.expr(y).alias("y"))
+    offset = best.groupBy(by).agg(F.count("*").alias("n"), F.median("x").alias("mx"), F.median("y").alias("my"))
+    moved = best.join(offset, by).select("id", by, F.expr("ra + mx / 3600 / cos(radians(dec))").alias("ra"), F.expr("dec + my / 3600").alias("dec"))
+    hits = lambda t, name: matched_keys(t, catalogue, narrow, ["id"]).join(t.select("id", by), "id").groupBy(by).agg(F.count("*").alias(name))
+    out = offset.join(hits(best, "before"), by, "left").join(hits(moved, "after"), by, "left")
+    return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("before", "after")})
+
+
+def field_points(centres: DataFrame, times: int, reach: float, seed: int = 1) -> DataFrame:
+    """`times` points in a disc of `reach` degrees around each centre, uniform by area, from an arithmetic hash of
+    centre, number and seed, so that a rerun gives the same points."""
+    h = lambda m: f"(((CAST(id AS BIGINT) + 1) * {m} + CAST(k AS BIGINT) * 7919 + {seed} * 104729) * 48271 % 2147483647 * 48271 % 2147483647 / 2147483647e0)"
+    p = centres.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    ra, dec = sky.destination("ra", "dec", f"({reach}e0*sqrt({h(15485863)}))", f"(360*{h(32452843)})")
+    return p.select("id", "k", F.expr(ra).alias("ra"), F.expr(dec).alias("dec"))
+
+
+def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """Rows numbered from 0 in one order: a range sort, and the counts of the ranges before."""
+    from skyweave.sources.shared import written
+
+    dealt = written(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    counts, start = [], 0  # one number for each shuffle partition
+    for r in sorted(dealt.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
+        counts.append((r["_range"], start))
+        start += r["count"]
+    starts = df.sparkSession.createDataFrame(counts, "_range int, _start long")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + F.col("_start")
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, place).drop("_range", "_start")
+
+
+def batches(groups: DataFrame, key: str, size: str, most: int, rows: int) -> DataFrame:
+    """groups of a checked manifest in order of key, cut into batches of at most `most` groups and `rows` rows (a
+    group that is larger is a batch of its own)."""
+    listed = manifest(groups).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("long").alias("s")))).alias("a"))
+    full = f"x.n + 1 > {most} OR x.t + y.s > {rows}"
+    step = f"named_struct('b', if({full}, x.b + 1, x.b), 'n', if({full}, 1, x.n + 1), 't', if({full}, y.s, x.t + y.s), 'o', concat(x.o, array(struct(y.k AS k, if({full}, x.b + 1, x.b) AS b))))"
+    kind = groups.schema[key].dataType.simpleString()
+    start = f"named_struct('b', 0, 'n', 0, 't', 0L, 'o', CAST(array() AS array<struct<k:{kind},b:int>>))"
+    return listed.selectExpr(f"explode(aggregate(a, {start}, (x, y) -> {step}).o) AS o").selectExpr(f"o.k AS {key}", "o.b AS batch")
 
 
 def poly_fit(rows: DataFrame, by: str, degree: int = 1, clip: float = 3.0, rounds: int = 3, least: int = 6) -> DataFrame:

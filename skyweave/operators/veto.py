@@ -18,7 +18,8 @@ def veto(df: DataFrame, catalogue: DataFrame, radius: float, key: list[str], ena
 
 
 def chain_flags(df: DataFrame, catalogues: dict[str, DataFrame], radius: float, key: list[str]) -> DataFrame:
-    """For each row, in_<name> for each veto; a row is tested by a veto only if it survived those before."""
+    """For each row, in_<name> of each veto and the first that hit it. Every veto is tested on every row, so that
+    counterfactual chains can be read from the same flags; `chain_ledger` counts each only among those that survived."""
     out = df
     for name, catalogue in catalogues.items():
         hits = matched_keys(df, catalogue, radius, key).withColumn(f"in_{name}", F.lit(True))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from skyweave.functions import healpix, sky
 from skyweave.operators import dedup, filters, skyjoin, stages, validate
 from skyweave.operators import veto as vetoes
-from skyweave.sources import columns
+from skyweave.sources import catalogue, columns
+from skyweave.sources.shared import shared_folder
 from skyweave.sources.views import cte, view
 
 QUERIES: dict = {}
@@ -49,6 +50,7 @@ def sql(name: str, covers: str, views: str, text: str, duck: str | None = None)
 
 
 R6 = lambda x, n: f"round({x}, 6) AS {n}"
+R9 = lambda x, n: f"round({x}, 9) AS {n}"
 
 # --- radius joins -----------------------------------------------------------------------------------------------
 
@@ -150,21 +152,21 @@ def spike_mask(spark, d):
 
 
 sql("circle_cut", "C06", "det plates", f"SELECT a.id, b.id AS plate_id FROM det a JOIN plates b ON a.id % 25 = b.id WHERE {HAV} <= 360000")
-sql("catalogue_threshold", "C10 C11 C21 B18", "cat_a", f"SELECT id, n_detections, {sky.valid_magnitude('mag')} AS valid_mag FROM cat_a WHERE n_detections >= 3 AND id % 100 <> 1")
+sql("catalogue_threshold", "C10 C11 C21 B18", "cat_a", f"SELECT id, n_detections, {sky.valid_magnitude('mag')} AS valid_mag FROM cat_a WHERE n_detections >= 3 AND (id * 50) % 1000 % 100 = 0")
 sql("second_epoch", "C09 B10b", "cat_b", "SELECT id, " + R6(sky.propagate_stage("ra", "dec", "pmra", "pmdec", "-50")[0], "ra") + ", " + R6(sky.propagate_stage("ra", "dec", "pmra", "pmdec", "-50")[1], "dec") + " FROM cat_b WHERE pmra IS NOT NULL OR pmdec IS NOT NULL")
 sql("southern_cut", "C08", "det", "SELECT id, coalesce(dec < 0, false) AS cut FROM det")
 sql("plate_footprint", "C16", "plates", "SELECT count(*) AS plates, count(CASE WHEN dec >= -3 THEN 1 END) AS inside, count(CASE WHEN dec < -3 AND dec > -3.5e0 THEN 1 END) AS in_gap FROM plates")
-sql("cone_sanity", "C19 G05", "det plates", f"SELECT b.id, median({HAV}) / 3600 <= 200 AS covered FROM det a JOIN plates b ON a.id % 25 = b.id WHERE a.id < 2000 GROUP BY b.id")
+sql("cone_sanity", "C19 G05", "det plates", f"SELECT b.id, median({HAV}) / 3600 <= 200 AS covered FROM (SELECT *, row_number() OVER (PARTITION BY id % 25 ORDER BY id) AS place FROM det) a JOIN plates b ON a.id % 25 = b.id WHERE a.place <= 2000 GROUP BY b.id")
 sql("truncated_tiles", "C20", "det", "SELECT id % 10 AS g, count(*) AS n, count(*) = 1000 AS truncated FROM det GROUP BY id % 10")
 
 # --- positions and motions --------------------------------------------------------------------------------------
 _moved = sky.propagate("ra", "dec", "pmra", "pmdec", "-66")
-sql("pm_propagate", "B10 B11 T3", "cat_b", f"SELECT id, {R6(_moved[0], 'ra')}, {R6(_moved[1], 'dec')} FROM cat_b")
+sql("pm_propagate", "B10 T3", "cat_b", f"SELECT id, {R6(_moved[0], 'ra')}, {R6(_moved[1], 'dec')} FROM cat_b")
 sql("total_motion", "B12", "cat_b", f"SELECT id, {R6(sky.total_motion('pmra', 'pmdec'), 'pm')} FROM cat_b WHERE pmra IS NOT NULL")
-sql("hpm_flags", "D08 D22 D23", "cat_b", f"SELECT id, {R6(sky.haversine('ra', 'dec', *_moved), 'moved')}, {sky.haversine('ra', 'dec', *_moved)} > 5 AS hpm FROM cat_b")
+sql("hpm_flags", "D08", "cat_b", f"SELECT id, {R6(sky.haversine('ra', 'dec', *_moved), 'moved')}, {sky.haversine('ra', 'dec', *_moved)} > 5 AS hpm FROM cat_b")
 sql("tangent_offsets", "B05 B06", "cat_a", f"SELECT id, {R6(sky.tangent_offsets('ra', 'dec', '350e0', '5e0')[0], 'x')}, {R6(sky.tangent_offsets('ra', 'dec', '350e0', '5e0')[1], 'y')}, {R6(sky.wrap180('ra'), 'ra180')} FROM cat_a")
-sql("gnomonic", "B07", "cat_a", f"SELECT id, {R6(sky.gnomonic('ra', 'dec', '30e0', '5e0')[0], 'xi')}, {R6(sky.gnomonic('ra', 'dec', '30e0', '5e0')[1], 'eta')} FROM cat_a WHERE ra < 60")
-sql("flat_separation", "B08", "cat_a", f"SELECT id, {R6(sky.flat_separation('ra', 'dec', '30e0', '5e0', '(SELECT median(dec) FROM cat_a)'), 'sep')} FROM cat_a WHERE ra < 60")
+sql("gnomonic", "B07", "cat_a", "SELECT id, " + ", ".join(R6(f"CASE WHEN {sky.cosine_separation('ra', 'dec', '30e0', '5e0')} < 60 THEN {sky.gnomonic('ra', 'dec', '30e0', '5e0')[k]} END", n) for k, n in enumerate(("xi", "eta"))) + " FROM cat_a")
+sql("flat_separation", "B08", "cat_a", f"SELECT id, {R6(sky.flat_separation('ra', 'dec', '30e0', '5e0', '(SELECT median(dec) FROM cat_a)'), 'sep')} FROM cat_a")
 sql("destination", "B09", "cat_a", f"SELECT id, {R6(sky.destination('ra', 'dec', '0.5e0', '(id % 360)')[0], 'ra')}, {R6(sky.destination('ra', 'dec', '0.5e0', '(id % 360)')[1], 'dec')} FROM cat_a")
 sql("chebyshev_edge", "B26 B27 C15", "det plates", f"SELECT a.id, {R6(sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec'), 'cheb')}, {sky.edge_class('(3.3e0 - ' + sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec') + ')', '0.01e0', '0.5e0')} AS edge FROM det a JOIN plates b ON a.id % 25 = b.id")
 sql("polynomial_terms", "B22", "det", "SELECT id, " + ", ".join(R6(t, f"t{k}") for k, t in enumerate(sky.polynomial("dx", "dy", 2))) + " FROM det")
@@ -172,7 +174,15 @@ sql("ratio_metrics", "B25", "det", f"SELECT id, {R6(sky.ratio('fwhm', 'dx'), 'fw
 sql("wilson_interval", "B28", "det", f"SELECT id % 40 AS g, count(*) AS n, count(CASE WHEN flags = 0 THEN 1 END) AS k, {R6(sky.wilson('count(CASE WHEN flags = 0 THEN 1 END)', 'count(*)')[0], 'low')}, {R6(sky.wilson('count(CASE WHEN flags = 0 THEN 1 END)', 'count(*)')[1], 'high')} FROM det GROUP BY id % 40")
 sql("sexagesimal", "B15 T9", "det", "SELECT id, " + R6(sky.sexagesimal("(CASE WHEN id % 2 = 0 THEN '-' ELSE '' END || CAST(id % 3 + 1 AS STRING) || ':' || CAST(id % 60 AS STRING) || ':' || CAST((id * 7) % 60 AS STRING))"), "deg") + " FROM det", "SELECT id, " + R6(sky.sexagesimal("(CASE WHEN id % 2 = 0 THEN '-' ELSE '' END || CAST(id % 3 + 1 AS VARCHAR) || ':' || CAST(id % 60 AS VARCHAR) || ':' || CAST((id * 7) % 60 AS VARCHAR))"), "deg") + " FROM det")
 sql("source_ids", "B14 B32", "det", "SELECT src_id, split_part(src_id, ':', 1) AS tile, CAST(CAST(split_part(src_id, ':', 2) || '.0' AS double) AS bigint) AS object_id FROM det")
-sql("tile_id_parse", "B13", "cat_a", "SELECT id, CAST(substr(t, 8, 7) AS double) AS tile_ra FROM (SELECT id, 'tile_RA' || lpad(CAST(id % 360 AS STRING), 3, '0') || '.500_DECp05.000' AS t FROM cat_a)", "SELECT id, CAST(substr(t, 8, 7) AS double) AS tile_ra FROM (SELECT id, 'tile_RA' || lpad(CAST(id % 360 AS VARCHAR), 3, '0') || '.500_DECp05.000' AS t FROM cat_a)")
+_tile = "(SELECT id, dec, ra, {name} AS t FROM cat_a UNION ALL SELECT -1, 0e0, 0e0, 'plate_7')"
+_centre = "SELECT id, t AS tile, " + ", ".join(R6(c, n) for c, n in zip(sky.tile_centre("t"), ("tile_ra", "tile_dec"), strict=True)) + " FROM "
+sql("tile_id_parse", "B13", "cat_a", _centre + _tile.format(name=sky.tile_name("ra", "dec")), _centre + _tile.format(name=sky.tile_name("ra", "dec", "printf")))
+_obs = "(SELECT id, '1952-0' || CAST(id % 9 + 1 AS {0}) || '-1' || CAST(id % 10 AS {0}) || 'T' || lpad(CAST(id % 27 AS {0}), 2, '0') || ':' || lpad(CAST(id * 7 % 99 AS {0}), 2, '0') || ':' || lpad(CAST(id * 3 % 75 AS {0}), 2, '0') || CASE WHEN id % 5 = 0 THEN '.25' WHEN id % 11 = 0 THEN 'x' ELSE '' END AS t FROM det)"
+sql("overflow_times", "B16 B17", "det", f"SELECT id, {R9(sky.overflow_mjd('t', 'datediff({}, DATE 1970-01-01)'.replace('DATE 1970-01-01', chr(68) + 'ATE ' + chr(39) + '1970-01-01' + chr(39))), 'mjd')} FROM {_obs.format('STRING')}", f"SELECT id, {R9(sky.overflow_mjd('t', chr(100) + 'ate_diff(' + chr(39) + 'day' + chr(39) + ', DATE ' + chr(39) + '1970-01-01' + chr(39) + ', {})'), 'mjd')} FROM {_obs.format('VARCHAR')}")
+_deep = sky.space_motion("ra", "dec", "pmra", "pmdec", "-66")
+sql("rigorous_motion", "B11", "cat_b", f"SELECT id, {R6(_deep[0], 'ra')}, {R6(_deep[1], 'dec')} FROM cat_b")
+sql("number_texts", "B23", "cat_b", f"SELECT id, {sky.number_text('pmra')} AS pm FROM cat_b", f"SELECT id, {sky.number_text('pmra', text='printf')} AS pm FROM cat_b")
+sql("edge_distances", "B27", "det", f"SELECT id, {R6(sky.edge_distance('dx', 'dy', '6e0', '4e0'), 'd')} FROM det")
 sql("julian_dates", "B16 B17", "det", "SELECT id, round(unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 / 86400 + 40587, 6) AS mjd, year(ts) AS y FROM det", "SELECT id, round(epoch_us(ts) / 1e6 / 86400 + 40587, 6) AS mjd, CAST(year(ts) AS INTEGER) AS y FROM det")
 sql("fingerprint", "B31", "det", "SELECT id, substr(sha2(src_id, 256), 1, 10) AS print FROM det", "SELECT id, substr(sha256(src_id), 1, 10) AS print FROM det")
 
@@ -231,8 +241,15 @@ def shrink_keep(spark, d):
 
 
 sql("tile_psf", "E05 C17", "det", "SELECT id % 40 AS g, count(*) AS n_stars, " + R6("median(fwhm)", "psf_fwhm") + ", " + R6("median(spread)", "psf_spread") + ", CASE WHEN count(*) >= 60 THEN 'ok' ELSE 'few' END AS status FROM det WHERE flags = 0 AND elong < 1.3e0 GROUP BY id % 40")
-sql("tile_manifest", "J01 J02 T13", "det", "SELECT tile_id, count(*) AS rows_in, count(CASE WHEN flags = 0 THEN 1 END) AS rows_out, CASE WHEN count(CASE WHEN flags = 0 THEN 1 END) = 0 THEN 'no_valid_rows' ELSE 'ok' END AS status FROM det GROUP BY tile_id")
-sql("chunked_rows", "A21", "cat_a", "SELECT id, (row_number() OVER (ORDER BY id) - 1) % 100 AS place, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS bigint) AS chunk FROM cat_a")
+sql("tile_manifest", "J02 T13", "det", "SELECT tile_id, count(*) AS rows_in, count(CASE WHEN flags = 0 THEN 1 END) AS rows_out, CASE WHEN count(CASE WHEN flags = 0 THEN 1 END) = 0 THEN 'no_valid_rows' ELSE 'ok' END AS status FROM det GROUP BY tile_id")
+
+
+@query("A21", cte("cat_a") + " SELECT id, (row_number() OVER (ORDER BY id) - 1) % 100 AS place, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS bigint) AS chunk FROM cat_a")
+def chunked_rows(spark, d):
+    n = validate.numbered(view(spark, d, "cat_a").select("id"), "id")
+    return n.selectExpr("id", "n % 100 AS place", "CAST(floor(n / 100) AS bigint) AS chunk")
+
+
 sql("latest_per_key", "A23", "det", "SELECT tile_id, id, snr FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts DESC, id DESC) AS n FROM det) x WHERE n = 1")
 
 # --- validation -------------------------------------------------------------------------------------------------
@@ -274,25 +291,86 @@ def separation_histogram(spark, d):
 
 
 sql("decomposition", "E15", "det ref", f"SELECT count(CASE WHEN in_set THEN 1 END) AS in_set, count(CASE WHEN NOT in_set AND seen THEN 1 END) AS detected_only, count(CASE WHEN NOT seen THEN 1 END) AS not_detected FROM (SELECT id, id IN (SELECT id FROM det WHERE flags = 0) AS in_set, id IN (SELECT id FROM det) AS seen FROM ref) x")
-_plate = cte("det", "plates") + f", s AS (SELECT a.id, b.id AS plate_id, {HAV} / 3600 AS sep, row_number() OVER (PARTITION BY a.id ORDER BY {HAV}, b.id) AS n FROM det a, plates b)"
+_plate = cte("det", "plates") + f", s AS (SELECT a.id, list_sort(list({{'s': {HAV} / 3600, 'p': b.id}})) AS l FROM det a, plates b GROUP BY a.id)"
 
 
-@query("D11 F03 B29 D19", _plate + " SELECT x.id, x.plate_id AS primary_plate, y.plate_id AS neighbour_plate, round(x.sep, 6) AS sep1, round(1 - x.sep / greatest(y.sep, 1e-9), 4) AS sep_margin FROM s x JOIN s y USING (id) WHERE x.n = 1 AND y.n = 2")
+@query("D11 F03 B29", _plate + " SELECT id, l[1].p AS primary_plate, l[2].p AS neighbour_plate, round(l[1].s, 6) AS sep1, round(1 - l[1].s / greatest(l[2].s, 1e-9), 4) AS sep_margin FROM s")
 def primary_plate(spark, d):
     n = validate.nearest_plates(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "plates"), 2)
     a, b = F.col("near")[0], F.col("near")[1]
     return n.select("id", a["plate_id"].alias("primary_plate"), b["plate_id"].alias("neighbour_plate"), F.round(a["sep"], 6).alias("sep1"), F.round(1 - a["sep"] / F.greatest(b["sep"], F.lit(1e-9)), 4).alias("sep_margin"))
 
 
-sql("plate_coverage", "D12 A07b T14", "plates det", f"SELECT b.id, count(CASE WHEN {sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec')} <= 3.3e0 THEN 1 END) AS covered FROM plates b CROSS JOIN det a GROUP BY b.id")
+_cheb = sky.chebyshev("a.ra", "a.dec", "b.ra", "b.dec")
+
+
+@query("D12 A07b T14", cte("det", "plates") + f" SELECT b.id, count(a.id) AS covered FROM plates b LEFT JOIN det a ON {_cheb} <= 3.3e0 GROUP BY b.id")
+def plate_coverage(spark, d):
+    return validate.coverage(view(spark, d, "plates"), view(spark, d, "det"), 3.3)
+
+
+_on = "SELECT id % 25 AS plate_id, id, ra, dec FROM det"
+
+
+@query("D12b", cte("det", "ref", "plates") + f", o AS ({_on}), m AS (SELECT a.id, b.id AS plate_id, a.ra, a.dec FROM ref a JOIN plates b ON {_cheb} <= 20e0), p AS (SELECT a.id, a.plate_id, b.id AS r_id, {HAV} AS s FROM m a JOIN o b ON a.plate_id = b.plate_id AND {near(600)}) SELECT id, plate_id, arg_min(r_id, (s, r_id)) AS r_id, round(min(s), 6) AS sep_arcsec FROM p GROUP BY id, plate_id")
+def per_plate_nearest(spark, d):
+    det = view(spark, d, "det").selectExpr("id % 25 AS plate_id", "id", "ra", "dec")
+    n = validate.per_plate_nearest(view(spark, d, "ref"), det, view(spark, d, "plates"), 20.0, 600)
+    return n.select("id", "plate_id", "r_id", F.round("sep_arcsec", 6).alias("sep_arcsec"))
+
+
+_at = [("ra", "dec"), sky.propagate("ra", "dec", "pmra", "pmdec", "-50.0")]
+_epochs = ", ".join(f"c{k} AS (SELECT id, {x} AS ra, {y} AS dec FROM cat_b), e{k} AS (SELECT a.id, arg_min(b.id, ({HAV}, b.id)) AS m, min({HAV}) AS s FROM c{k} a JOIN det b ON {near(10)} GROUP BY a.id)" for k, (x, y) in enumerate(_at))
+
+
+@query("D22 D23", cte("cat_b", "det") + f", {_epochs} SELECT c.id, e0.m AS match0, round(e0.s, 6) AS sep0, e1.m AS match1, round(e1.s, 6) AS sep1 FROM cat_b c LEFT JOIN e0 ON e0.id = c.id LEFT JOIN e1 ON e1.id = c.id")
+def two_epoch_matches(spark, d):
+    m = validate.two_epochs(view(spark, d, "cat_b"), view(spark, d, "det"), -50, 10)
+    return m.select("id", "match0", F.round("sep0", 6).alias("sep0"), "match1", F.round("sep1", 6).alias("sep1"))
+
+
+_h = lambda m: f"(((CAST(id AS BIGINT) + 1) * {m} + CAST(k AS BIGINT) * 7919 + 104729) * 48271 % 2147483647 * 48271 % 2147483647 / 2147483647e0)"
+_point = sky.destination("ra", "dec", f"(2.5e0*sqrt({_h(15485863)}))", f"(360*{_h(32452843)})")
+
+
+@query("L01", cte("plates") + f", g AS (SELECT *, CAST(unnest(range(1, 51)) AS BIGINT) AS k FROM plates) SELECT id, CAST(k AS INTEGER) AS k, {R6(_point[0], 'ra')}, {R6(_point[1], 'dec')} FROM g")
+def field_points(spark, d):
+    return validate.field_points(view(spark, d, "plates"), 50, 2.5).select("id", "k", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"))
+
+
+@query("F05", cte("det") + ", t AS (SELECT tile_id, count(*) AS n, row_number() OVER (ORDER BY tile_id) AS i FROM det GROUP BY tile_id)")
+def tile_batches(spark, d):
+    return validate.batches(view(spark, d, "det").groupBy("tile_id").agg(F.count("*").alias("n")), "tile_id", "n", 40, 150)
+
+
+ORACLES["tile_batches"] = ORACLES["tile_batches"].replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT i, tile_id, 0 AS batch, 1 AS c, n AS s FROM t WHERE i = 1 UNION ALL SELECT t.i, t.tile_id, CASE WHEN r.c + 1 > 40 OR r.s + t.n > 150 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.c + 1 > 40 OR r.s + t.n > 150 THEN 1 ELSE r.c + 1 END, CASE WHEN r.c + 1 > 40 OR r.s + t.n > 150 THEN t.n ELSE r.s + t.n END FROM r JOIN t ON t.i = r.i + 1) SELECT tile_id, CAST(batch AS INTEGER) AS batch FROM r"
+
+
+@query("J01", cte("det") + ", s AS (SELECT tile_id, CASE WHEN min(id) % 3 = 0 THEN 'ok' WHEN min(id) % 3 = 1 THEN 'failed' END AS status FROM det GROUP BY tile_id) SELECT DISTINCT tile_id FROM det WHERE tile_id NOT IN (SELECT tile_id FROM s WHERE status = 'ok')")
+def undone_tiles(spark, d):
+    det = view(spark, d, "det")
+    state = det.groupBy("tile_id").agg(F.expr("CASE WHEN min(id) % 3 = 0 THEN 'ok' WHEN min(id) % 3 = 1 THEN 'failed' END").alias("status"))
+    return catalogue.undone(det.select("tile_id").distinct(), state, "tile_id")
+
+
+@query("A01 A03 A04 A05 A06 A17 A18", cte("cat_a") + f" SELECT id, n_detections, CASE WHEN mag > -999 THEN mag END AS mag, NULL::DOUBLE AS plx, round({sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60, 4) AS r_arcmin FROM cat_a WHERE n_detections >= 3 AND {sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60 <= 900")
+def catalogue_cone(spark, d):
+    folder = f"{shared_folder(spark)}/catalogue-{abs(hash(d))}"
+    catalogue.ingest(view(spark, d, "cat_a"), folder, {"id": "id AS long", "ra": "ra AS double", "dec": "dec AS double", "mag": "mag AS double", "n_detections": "n_detections AS int"}, nside=4)
+    out = catalogue.cone(catalogue.opened(spark, folder), 30.0, 5.0, 900.0, ["id", "ra", "dec", "mag", "n_detections"], "n_detections >= 3", ("mag",), ("plx",), nside=4)
+    return out.select("id", "n_detections", "mag", "plx", F.round("_r", 4).alias("r_arcmin"))
+
+
+sql("strata_density", "E21", "cat_b", "SELECT stratum, count(*) AS n, round(count(*) / (max(dec) - min(dec) + 1), 6) AS density, round((SELECT count(*) FROM cat_b) / (count(*) * 1e0), 6) AS overclaim FROM (SELECT dec, CASE WHEN pmra IS NULL THEN 'indeterminate' WHEN sqrt(pmra * pmra + pmdec * pmdec) > 150 THEN 'genuine' ELSE 'fabricated' END AS stratum FROM cat_b) x GROUP BY stratum")
+sql("cross_run_funnel", "E22", "det", "SELECT run, count(*) AS n, count(CASE WHEN place = 1 THEN 1 END) AS firsts, count(DISTINCT tile_id) AS tiles FROM (SELECT *, id % 4 AS run, row_number() OVER (PARTITION BY ra, dec ORDER BY id % 4, id) AS place FROM det) x GROUP BY run")
 sql("edge_yield", "E12", "det plates", "SELECT count(*) AS n, " + ", ".join(f"count(CASE WHEN {sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec')} > {r} THEN 1 END) AS beyond_{r}" for r in (1, 3, 10, 30)) + " FROM det a JOIN plates b ON a.id % 25 = b.id")
-sql("funnel", "D20 F02 E13 T19", "det", "SELECT stage, count(*) AS n FROM (SELECT CASE WHEN flags <> 0 THEN 'extract' WHEN snr <= 30 THEN 'snr' WHEN elong >= 1.3e0 THEN 'morph' ELSE 'kept' END AS stage FROM det) x GROUP BY stage")
-sql("class_breakdown", "E20 E21", "cat_b", "SELECT CASE WHEN pmra IS NULL THEN 'indeterminate' WHEN abs(pmra) > 150 THEN 'fast' WHEN band < 5 THEN 'blue' ELSE 'other' END AS class, count(*) AS n FROM cat_b GROUP BY 1")
+sql("funnel", "D20 E13 T19", "det", "SELECT stage, count(*) AS n FROM (SELECT CASE WHEN flags <> 0 THEN 'extract' WHEN snr <= 30 THEN 'snr' WHEN elong >= 1.3e0 THEN 'morph' ELSE 'kept' END AS stage FROM det) x GROUP BY stage")
+sql("class_breakdown", "E20", "cat_b", "SELECT CASE WHEN pmra IS NULL THEN 'indeterminate' WHEN abs(pmra) > 150 THEN 'fast' WHEN band < 5 THEN 'blue' ELSE 'other' END AS class, count(*) AS n FROM cat_b GROUP BY 1")
 sql("field_grid", "E10", "det", "SELECT CAST(floor(dec / 5) AS bigint) AS dec_cell, CAST(floor(ra * cos(radians(floor(dec / 5) * 5 + 2.5e0)) / 5) AS bigint) AS ra_cell, count(*) AS n, " + R6("median(ra)", "ra0") + ", " + R6("median(dec)", "dec0") + " FROM det GROUP BY 1, 2")
 sql("percentile_profile", "E16", "det", "SELECT flags, " + ", ".join(f"round(percentile(fwhm, {p}), 6) AS p{int(float(p) * 100)}" for p in ("0.25", "0.5", "0.75", "0.9", "0.99")) + ", round(avg(CASE WHEN fwhm > 5 THEN 1e0 ELSE 0e0 END), 6) AS beyond_5 FROM det GROUP BY flags", "SELECT flags, " + ", ".join(f"round(quantile_cont(fwhm, {p}), 6) AS p{int(float(p) * 100)}" for p in ("0.25", "0.5", "0.75", "0.9", "0.99")) + ", round(avg(CASE WHEN fwhm > 5 THEN 1e0 ELSE 0e0 END), 6) AS beyond_5 FROM det GROUP BY flags")
 sql("stratified_stats", "E18", "det", "SELECT CAST(floor(dec / 10) AS bigint) AS bin, count(*) AS n, round(avg(fwhm), 6) AS mean_fwhm, round(median(fwhm), 6) AS median_fwhm FROM det GROUP BY 1")
 sql("correlation", "E19", "det", "SELECT round(corr(fwhm, snr), 6) AS r FROM det")
-sql("crosstab", "E19 E22", "det", "SELECT flags, count(CASE WHEN snr > 30 THEN 1 END) AS bright, count(CASE WHEN snr <= 30 THEN 1 END) AS faint FROM det GROUP BY flags")
+sql("crosstab", "E19", "det", "SELECT flags, count(CASE WHEN snr > 30 THEN 1 END) AS bright, count(CASE WHEN snr <= 30 THEN 1 END) AS faint FROM det GROUP BY flags")
 sql("veto_bias", "E23", "det", "SELECT id % 40 AS g, round(avg(CASE WHEN snr > 30 THEN 1e0 ELSE 0e0 END) - avg(CASE WHEN snr > 50 THEN 1e0 ELSE 0e0 END), 6) AS excess FROM det GROUP BY id % 40")
 sql("displacement", "E26", "det", "SELECT id % 40 AS g, round(median(dx), 6) AS mx, round(median(dy), 6) AS my, round(sqrt(pow(stddev_pop(dx), 2) + pow(stddev_pop(dy), 2)), 6) AS scatter FROM det GROUP BY id % 40")
 sql("contamination", "E11", "det", "SELECT id % 40 AS g, count(*) AS n, round(avg(CASE WHEN snr > 90 THEN 1e0 ELSE 0e0 END), 6) AS fraction, count(*) < 5 OR avg(CASE WHEN snr > 90 THEN 1e0 ELSE 0e0 END) <= 0.2e0 AS pass FROM det GROUP BY id % 40")
@@ -308,14 +386,24 @@ def unique_mapping_conflicts(spark, d):
 
 
 # --- scans ------------------------------------------------------------------------------------------------------
-@query("A01 A02 A03 A04 A05 A06 B02 R5", cte("cat_a") + f" SELECT id, round({sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60, 4) AS r_arcmin FROM cat_a WHERE {sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60 <= 600")
+@query("A02 B02 R5", cte("cat_a") + f" SELECT id, round({sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60, 4) AS r_arcmin FROM cat_a WHERE {sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60 <= 600")
 def cone_scan(spark, d):
     cat = view(spark, d, "cat_a").withColumn("healpix_5", healpix.nested_id(F.col("ra"), F.col("dec"), 32))
     return skyjoin.cone(cat, 30.0, 5.0, 600.0, ["id", "ra", "dec"], cell="healpix_5").select("id", F.round("_r", 4).alias("r_arcmin"))
 
 
-sql("bbox_plate_scan", "A07 T21", "plates cat_a", "SELECT b.id AS plate_id, a.id FROM plates b JOIN cat_a a ON a.ra BETWEEN b.ra - 3 AND b.ra + 3 AND a.dec BETWEEN b.dec - 3 AND b.dec + 3 WHERE a.id % 100 <> 0")
-sql("dec_zones", "A19", "cat_a", "SELECT CAST(floor((dec + 90) / 0.1e0) AS bigint) AS zone, count(*) AS n FROM cat_a GROUP BY 1")
+@query("A07 T21", cte("cat_a", "plates") + f" SELECT b.id AS plate_id, a.id FROM cat_a a JOIN plates b ON {_cheb} <= 3e0 WHERE (a.id * 50) % 1000 % 100 = 0")
+def bbox_plate_scan(spark, d):
+    clean = view(spark, d, "cat_a").where("(id * 50) % 1000 % 100 = 0")
+    return validate.boxed(clean, validate.manifest(view(spark, d, "plates")), 3.0).select("plate_id", "id")
+
+
+@query("A19", cte("cat_a") + " SELECT CAST(least(floor((dec + 90) / 0.1e0), 1799) AS INTEGER) AS zone, count(*) AS n FROM cat_a GROUP BY 1")
+def dec_zones(spark, d):
+    return view(spark, d, "cat_a").groupBy(catalogue.dec_zone(F.col("dec")).alias("zone")).agg(F.count("*").alias("n"))
+
+
+
 sql("source_id_pixel", "A17", "det", "SELECT id, shiftright(id * 562949953421 , 40) AS pixel FROM det", "SELECT id, (id * 562949953421) >> 40 AS pixel FROM det")
 
 
@@ -324,7 +412,7 @@ def pixel_counts(spark, d):
     return view(spark, d, "det").groupBy(healpix.nested_id(F.col("ra"), F.col("dec"), 32).alias("pixel")).agg(F.count("*").alias("n"))
 
 
-@query("E04 L04 B22")
+@query("E04 B22")
 def wcs_poly_fit(spark, d):
     det = view(spark, d, "det").select(F.expr("id % 40").alias("g"), (F.col("ra") / 360).alias("x"), (F.col("dec") / 60).alias("y"), F.expr("0.5e0 + 2e0 * ra / 360 + spread").alias("ox"), F.expr("1e0 - dec / 60 + spread").alias("oy"))
     return validate.poly_fit(det, "g")
@@ -335,7 +423,7 @@ def bootstrap_mean(spark, d):
     return validate.bootstrap(view(spark, d, "det"), "tile_id", "fwhm", 200)
 
 
-@query("L01 L02 F04")
+@query("L02 F04")
 def stratified_sample(spark, d):
     return validate.stratified_sample(view(spark, d, "det").withColumn("bin", F.floor(F.col("dec") / 10)), ["bin"], "id", 20).select("bin", "id")
 
@@ -367,3 +455,18 @@ def dedup_representatives(spark, d):
 def peak_significance(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     return validate.peak_significance(e, "embedding").select("vec_id", F.round("peak_sigma", 6).alias("peak_sigma"))
+
+
+_best = cte("det", "cat_a") + f", p AS (SELECT a.id, a.id % 40 AS g, a.ra, a.dec, b.ra AS r_ra, b.dec AS r_dec, b.id AS r_id, {HAV} AS s FROM det a JOIN cat_a b ON {near(10)}), q AS (SELECT id, any_value(g) AS g, any_value(ra) AS ra, any_value(dec) AS dec, arg_min(r_ra, (s, r_id)) AS r_ra, arg_min(r_dec, (s, r_id)) AS r_dec FROM p GROUP BY id), o AS (SELECT g, count(*) AS n, median({sky.tangent_offsets('r_ra', 'r_dec', 'ra', 'dec')[0]}) AS mx, median({sky.tangent_offsets('r_ra', 'r_dec', 'ra', 'dec')[1]}) AS my FROM q GROUP BY g), w AS (SELECT id, g, ra + mx / 3600 / cos(radians(dec)) AS ra, dec + my / 3600 AS dec FROM q JOIN o USING (g))"
+
+
+@query("L04", _best + f" SELECT o.g, o.n, round(mx, 4) AS mx, round(my, 4) AS my, (SELECT count(*) FROM q a WHERE a.g = o.g AND EXISTS (SELECT 1 FROM cat_a b WHERE {near(4)})) AS before, (SELECT count(*) FROM w a WHERE a.g = o.g AND EXISTS (SELECT 1 FROM cat_a b WHERE {near(4)})) AS after FROM o")
+def offset_recovery(spark, d):
+    r = validate.recovered(view(spark, d, "det").withColumn("g", F.expr("id % 40")), view(spark, d, "cat_a"), "g", 10, 4)
+    return r.select("g", "n", F.round("mx", 4).alias("mx"), F.round("my", 4).alias("my"), "before", "after")
+
+
+_once = "SELECT src_id, component, component = src_id AS kept FROM r"
+ORACLES["dedup_sweep"] = cte("det", "cat_a") + _both + ", " + ", ".join(
+    f"e{k} AS (SELECT a.src_id AS i, b.src_id AS j, a.tile_id <> b.tile_id AS x FROM u a JOIN u b ON {near(r)} AND a.src_id <> b.src_id), r{k} AS (SELECT u.src_id, least(u.src_id, min(e{k}.j)) AS component FROM u LEFT JOIN e{k} ON e{k}.i = u.src_id GROUP BY u.src_id), s{k} AS (SELECT component, count(*) AS size FROM r{k} GROUP BY component)" for k, r in enumerate((0.3, 1.0, 3.0))
+) + " " + " UNION ALL ".join(f"SELECT {r}::DOUBLE AS radius, (SELECT count(*) // 2 FROM e{k}) AS pairs, (SELECT count(*) // 2 FROM e{k} WHERE x) AS cross_tile, (SELECT count(*) // 2 FROM e{k} WHERE NOT x) AS intra_tile, (SELECT count(*) FROM s{k}) AS kept, (SELECT max(size) FROM s{k}) AS max_cluster" for k, r in enumerate((0.3, 1.0, 3.0)))

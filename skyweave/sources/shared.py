@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; a temporary folder only where it is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="skyweave-")
-        spark.conf.set("spark.checkpoint.dir", at)
+    """spark.checkpoint.dir as the session names it; without it the folder of the session's warehouse, which is shared
+    by definition."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/skyweave-tables"
     return at.rstrip("/")
 
 

@@ -10,7 +10,7 @@ from skyweave.functions import healpix, sky
 from skyweave.operators import dedup, filters, skyjoin, stages, validate
 from skyweave.operators.components import connected_components
 from skyweave.plans import registry
-from skyweave.sources import columns, export
+from skyweave.sources import catalogue, columns, export
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,3 +119,40 @@ def test_peak_significance_of_odd_arrays(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, None, 9.0]), (2, []), (3, None), (4, [5.0, 5.0])], "k int, v array<double>")
     got = {r.k: r.peak_sigma for r in validate.peak_significance(df, "v").collect()}
     assert got[1] == pytest.approx((9 - 2.5) / 1.4826) and got[2] is got[3] is got[4] is None
+
+
+def test_wide_cells_equal_brute_force(spark):
+    """Points about many cell faces, at the pole and across RA 0; each pair once."""
+    random.seed(8)
+    rows = [(i, random.choice([0.0, 359.999, 45.0]) + random.uniform(0, 0.004), random.choice([0.0, 35.26, 89.999, -90.0]) + random.uniform(0, 0.001)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, ra double, dec double")
+    got = [(r.id, r.r_id) for r in skyjoin.pairs(df, df, 2).select("id", "r_id").collect()]
+    sep = F.expr(sky.haversine("a.ra", "a.dec", "b.ra", "b.dec"))
+    want = {(r[0], r[1]) for r in df.alias("a").crossJoin(df.alias("b")).where(sep <= 2).select("a.id", "b.id").collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_catalogue_ingest_cone_and_state(spark, tmp_path):
+    rows = [(i, 10 + i / 100, 2.0, -999.0 if i % 3 else 15.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, ra double, dec double, m double")
+    for _ in range(2):  # a rerun gives the same table
+        catalogue.ingest(df, f"{tmp_path}/c", {"id": "id AS long", "ra": "ra AS double", "dec": "dec AS double", "mag": "m AS float"})
+    c = catalogue.opened(spark, f"{tmp_path}/c")
+    assert c.count() == 300
+    got = catalogue.cone(c, 11.0, 2.0, 6.05, ["id", "ra", "dec", "mag"], "id >= 0", ("mag",), ("plx",)).collect()
+    assert {r.id for r in got} == set(range(90, 111)) and all(r.plx is None and (r.mag is None) == (r.id % 3 > 0) for r in got)
+    (tmp_path / "t.ecsv").write_text("# %ECSV 1.0\n# meta\nra dec\n1.5 -2\n")
+    assert [tuple(r) for r in catalogue.read_ecsv(spark, f"{tmp_path}/t.ecsv", "ra double, dec double").collect()] == [(1.5, -2.0)]
+    state = spark.createDataFrame([(1, "ok"), (2, "failed")], "t long, status string")
+    assert sorted(r.t for r in catalogue.undone(spark.createDataFrame([(1,), (2,), (3,)], "t long"), state, "t").collect()) == [2, 3]
+
+
+def test_scalar_cases(spark):
+    one = lambda e: spark.sql(f"SELECT {e} AS x").first().x
+    days = "datediff({}, DATE '1970-01-01')"
+    assert one(sky.overflow_mjd("'1952-01-02T23:77:61'", days)) == pytest.approx(34013 + (18 * 60 + 1) / 86400)
+    assert one(sky.overflow_mjd("'1952-01-02 x'", days)) is None
+    assert one(sky.tile_centre("'tile_RA370.000_DECm05.500'")[0]) == 10.0 and one(sky.tile_centre("'tile_RA370.000_DECm05.500'")[1]) == -5.5
+    assert one(sky.tile_centre("'tile'")[1]) is None and one(sky.tile_name("-10e0", "-5.25e0")) == "tile_RA350.000_DECm5.250"
+    assert one(sky.space_motion("0e0", "90e0", "0", "3.6e6", "1")[1]) == pytest.approx(89.0, abs=2e-3)
+    assert one(sky.number_text("double('NaN')")) == "" and one(sky.number_text("1.5e0", 2)) == "1.50"
