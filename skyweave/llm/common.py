@@ -21,6 +21,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on in this session (fewer stay fewer): a batch of texts is
+    held several times over, in the JVM's buffers and in the worker."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def text_buffers(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of whole values of about `limit` bytes (one value at least).
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import plain, text_buffers
+from .common import modest_batches, plain, text_buffers
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -77,6 +77,7 @@ def joined_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def scored(docs: DataFrame, score, modulus: int, held: int, run: int = 256 << 10, carried: tuple[str, ...] = ()) -> DataFrame:
     """score(bytes, bounds) -> probabilities of a run of whole texts; contract columns of the result, and of each row
     the text and the columns `carried` if any are."""
+    modest_batches(docs.sparkSession)
     more = [c for c in carried if c not in ("doc_id", "text")]
     kept = ["text", *more] if carried else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_key, mix64, partitions, text_buffers, written
+from .common import NO_ID, doc_key, mix64, modest_batches, partitions, text_buffers, written
 
 SEQUENCE, END = 4096, 2
 DIMS, BITS, SCALE = 4, 6, 0.12
@@ -212,6 +212,7 @@ def _laid():
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
+    modest_batches(spark)
     path = tokenizer or default_tokenizer()
     docs = docs.select(doc_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = written(docs.mapInArrow(_keyed(path), "key long, doc_id long, n long, ids binary"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, joined, mix64, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import doc_key, joined, mix64, modest_batches, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM
@@ -381,6 +381,7 @@ def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text, without the
     rests of characters that were cut in two)."""
     spark = docs.sparkSession
+    modest_batches(spark)
     docs = plain(docs)
     apart = docs.where("doc_id IS NULL").withColumn("text", F.coalesce("text", F.lit("")))
     apart = apart.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if texts else []))
