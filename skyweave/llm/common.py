@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release_memory() -> None:
+    """Give freed memory of a task back to the system, as Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 BATCH_ROWS = 2000
 
 
@@ -108,6 +118,7 @@ def packed(docs: DataFrame, parts: int) -> DataFrame:
                 order, runs = runs_of(part)
                 blobs = [squeeze(ids[order[a:b]], np.diff(bounds)[order[a:b]], np.concatenate([data[bounds[i] : bounds[i + 1]] for i in order[a:b]])) for _, a, b in runs]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+        release_memory()
 
     return docs.select(part_of(parts).alias("part"), doc_key().alias("doc_id"), "text").mapInArrow(pack, "part int, blob binary")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import modest_batches, plain, text_buffers
+from .common import modest_batches, plain, release_memory, text_buffers
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -89,5 +89,6 @@ def scored(docs: DataFrame, score, modulus: int, held: int, run: int = 256 << 10
             for lo, hi, data, bounds in text_buffers(batch.column(2), run):
                 p = score(data, bounds).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(batch.column(2 + k).slice(lo, hi - lo) for k in range(len(kept)))], ["doc_id", "held_out", "score", "predicted", *kept])
+        release_memory()
 
     return rows.mapInArrow(apply, schema)

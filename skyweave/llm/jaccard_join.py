@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.components import connected_components
 
-from .common import NO_ID, mix64, modest_batches, packed, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import NO_ID, mix64, modest_batches, packed, partitions, plain, release_memory, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WORDS, MOST, SMALL, TOGETHER, PIVOTS, WORK = 5, 4, 8, 2000, 8, 400_000_000
 #: Estimated postings of a token from which its group is dealt over pairs of blocks.
@@ -197,6 +197,7 @@ def _prefixes(rank: np.ndarray, cost: np.ndarray, usual: float, buckets: int):
                     got, held = [], 0
             if held:
                 yield packed_up(got)
+        release_memory()
 
     return send
 
@@ -287,6 +288,7 @@ def _meet(table: pa.Table) -> pa.Table:
     own, count = np.unique(node, return_counts=True)
     planes = np.ascontiguousarray(token.astype("<u8").view("u1").reshape(-1, 8)[:, :6].T)
     blob = squeeze(planes, node, n.astype("<u4"), pos.astype("<u4"), (many + 16 * role).astype("u1"))
+    release_memory()
     return pa.concat_tables([_met(bucket, 0, a, b, l, c), _met(bucket, 1, 0, 0, 0, 0, [blob]), _met(bucket, 2, own, 0, 0, count)])
 
 
@@ -347,6 +349,7 @@ def _cross(postings: pa.Table, nodes: pa.Table) -> pa.Table:
                 add()
                 rows = 0
     add()
+    release_memory()
     if not out:
         return none
     return pa.Table.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_key, mix64, modest_batches, partitions, text_buffers, written
+from .common import NO_ID, doc_key, mix64, modest_batches, partitions, release_memory, text_buffers, written
 
 SEQUENCE, END = 4096, 2
 DIMS, BITS, SCALE = 4, 6, 0.12
-RANGE_TOKENS, KNOWN, SUPER = 2 << 20, 400_000, 4096
+RANGE_TOKENS, KNOWN, SUPER = 2 << 20, 200_000, 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 TOGETHER, TEXT_BYTES = 200, 1 << 20
 #: The tokenizer's own mark between texts, by which units are told apart that are encoded in one call.
@@ -183,6 +183,7 @@ def _keyed(path: str):
                 key = (hilbert_key(points, BITS) << 28) | (mix64(doc.astype(np.uint64)) >> np.uint64(36)).astype(np.int64)
                 blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n), blobs], ["key", "doc_id", "n", "ids"])
+        release_memory()
 
     return keyed
 

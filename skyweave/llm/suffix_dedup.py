@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, joined, mix64, modest_batches, packed, part_of, partitions, plain, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import doc_key, joined, mix64, modest_batches, packed, part_of, partitions, plain, release_memory, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM
@@ -311,6 +311,7 @@ def _settle(table: pa.Table) -> pa.Table:
     seg, row = seg[keep], row[keep]
     order, runs = runs_of(part[row])
     seg, row = seg[order], row[order]
+    release_memory()
     blobs = [squeeze(digest[row[a:b]], from_[seg[a:b]].astype("u1"), to[seg[a:b]].astype("u1"), best[seg[a:b]]) for _, a, b in runs]
     return pa.table({"part": pa.array([r[0] for r in runs], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -352,6 +353,7 @@ def _apply(texts: bool):
                     to_list.append(x)
         columns = [pa.array(np.array(out[0], np.int64)), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        release_memory()
         if texts:
             columns.append(pa.array(out[5], pa.string()))
             names.append("kept")
