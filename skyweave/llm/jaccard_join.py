@@ -13,7 +13,8 @@ listed pair by pair; nodes are joined up in two steps:
 1. Stars (`_meet`). In a token's group each node is paired only with a hub: of the nodes of its own and of the next
    smaller length class the one with the fewest rarer tokens. Every node is verified against the hub that it shares
    most prefix tokens with; those that come together at a hub (in blocks of TOGETHER) are also compared with further
-   pivots among them, if it is not too much work until no pair between components is open there (`_stars`). A group
+   pivots among them, if it is not too much work until no pair between components is open there (`_stars`). Of hubs
+   with several blocks, nodes outside the hub's component are then compared with the other blocks (`_across`). A group
    gives as many rows as it has nodes.
 2. Crossing pairs (`_cross`). Each posting then knows its node's component and how many shared prefix tokens the node
    has in all. All pairs of *different* components that were not settled together at a hub, pass the filters, and
@@ -217,6 +218,7 @@ def _passes(n1, p1, l1, n2, p2, l2):
 
 MET = "kind int, bucket long, a long, b long, l int, c int, blob binary"
 CROSSED = "a long, b long, ra long, rb long, l int, c int"
+STARS = ["src", "dst", "star", "hub", "block", "lone"]
 
 
 def _postings(blobs) -> tuple[np.ndarray, ...]:
@@ -412,21 +414,34 @@ def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
-def _pivot_links(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], bool]:
-    """Links of the first node, the hub, and of further pivots with all others, until all are joined up or every node
-    outside the largest component has been a pivot: then no pair between components is left open (True). Groups that
-    would take more than WORK token comparisons are left open after PIVOTS."""
+def _linking(sets: list[np.ndarray]):
+    """A function that tells of a set's number which sets reach the threshold with it, and the work of a call."""
     size = np.array([len(x) for x in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     owner, ends = np.repeat(np.arange(len(sets)), size), np.cumsum(size)
-    label, links, pivot = np.arange(len(sets)), [], 0
-    tried, mark = np.zeros(len(sets), bool), np.zeros(len(flat) + 1, bool)
-    for k in range(1 << 62):
+    mark = np.zeros(len(flat) + 1, bool)
+
+    def linking(pivot: int) -> np.ndarray:
         own = flat[ends[pivot] - size[pivot] : ends[pivot]]
-        tried[pivot] = mark[own] = True
+        mark[own] = True
         both = np.bincount(owner[mark[flat]], minlength=len(sets))
         mark[own] = False
-        hit = np.flatnonzero((100 * both >= 75 * (size + len(own) - both)) & (label != label[pivot]))
+        return 100 * both >= 75 * (size + len(own) - both)
+
+    return linking, len(flat)
+
+
+def _pivot_links(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], bool, np.ndarray]:
+    """Links of the first node, the hub, and of further pivots with all others, until all are joined up or every node
+    outside the largest component has been a pivot: then no pair between components is left open (True). Groups that
+    would take more than WORK token comparisons are left open after PIVOTS. Of each node also whether it is in the
+    largest component (0) or not (1); 2 for all if the hub is not in it."""
+    linking, work = _linking(sets)
+    label, links, pivot = np.arange(len(sets)), [], 0
+    tried = np.zeros(len(sets), bool)
+    for k in range(1 << 62):
+        tried[pivot] = True
+        hit = np.flatnonzero(linking(pivot) & (label != label[pivot]))
         if len(hit):
             links += [(nodes[pivot], nodes[j]) for j in hit]
             joined = np.isin(label, np.append(label[hit], label[pivot]))
@@ -434,9 +449,9 @@ def _pivot_links(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[tuple[i
         most = label == np.bincount(label).argmax()
         rest = np.flatnonzero(~tried & ~most)
         if not len(rest):
-            return links, True
-        if k + 1 >= PIVOTS and (k + 1 + len(rest)) * len(flat) > WORK:
-            return links, False
+            return links, True, (~most).astype(int) if most[0] else np.full(len(sets), 2)
+        if k + 1 >= PIVOTS and (k + 1 + len(rest)) * work > WORK:
+            return links, False, np.full(len(sets), 2)
         if k % 2 and k < PIVOTS and (~tried & most).any():
             rest = np.flatnonzero(~tried & most)
         pivot = int(rest[len(rest) // 2])
@@ -444,7 +459,7 @@ def _pivot_links(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[tuple[i
 
 def _stars(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     """Links (src, dst) of a group's hubs (a), with those that come to them (b), and of further pivots; of what came to
-    a hub and has no open pair there also its star (node, star)."""
+    a hub and has no open pair there also its star, hub and block, and how it stands there (lone, by `_pivot_links`)."""
     links, settled = [], []
     tokens = sets.column("tokens").combine_chunks()
     at = {m: k for k, m in enumerate(sets.column("node").to_pylist())}
@@ -453,12 +468,39 @@ def _stars(sets: pa.Table, pairs: pa.Table) -> pa.Table:
         members.setdefault((a, block), []).append(b)
     for (a, block), those in sorted(members.items()):
         nodes = [a, *sorted(those)]
-        found, closed = _pivot_links(nodes, [_tokens(tokens[at[m]]) for m in nodes])
-        links += [(*x, None) for x in found]
+        found, closed, lone = _pivot_links(nodes, [_tokens(tokens[at[m]]) for m in nodes])
+        links += [(*x, None, None, None, None) for x in found]
         star = int(mix64(np.array([a], np.int64).view(np.uint64) + np.uint64(block)).view(np.int64)[0])
-        settled += [(m, None, star) for m in those] if closed else []
-    src, dst, star = zip(*links, *settled, strict=True) if links or settled else ((), (), ())
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "star": pa.array(star, pa.int64())})
+        settled += [(m, None, star, a, block, int(k)) for m, k in zip(nodes[1:], lone[1:], strict=True)] if closed else []
+    columns = zip(*links, *settled, strict=True) if links or settled else [()] * 6
+    return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(STARS, columns, strict=True)})
+
+
+def _across(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Links (src, dst) of a hub's lone nodes of other blocks (guest) with this block's nodes, as many as join them up."""
+    links = []
+    tokens = sets.column("tokens").combine_chunks()
+    at = {m: k for k, m in enumerate(sets.column("node").to_pylist())}
+    members: dict[tuple[int, int], list[tuple[bool, int, int]]] = {}
+    for a, b, block, lone, guest in zip(*(pairs.column(k).to_pylist() for k in ("a", "b", "block", "lone", "guest")), strict=True):
+        members.setdefault((a, block), []).append((guest, lone, b))
+    for _, those in sorted(members.items()):
+        those = sorted(those)
+        guest, lone = (np.array([x[k] for x in those], bool) for k in (0, 1))
+        if guest.all() or not guest.any():
+            continue
+        linking, _ = _linking([_tokens(tokens[at[x[2]]]) for x in those])
+        label = np.arange(len(those))
+        label[~lone] = 0  # those in the hub's component come first
+        for pivot in np.flatnonzero(guest):
+            hit = np.flatnonzero(linking(pivot) & ~guest & (label != label[pivot]))
+            if len(hit):
+                _, one = np.unique(label[hit], return_index=True)
+                links += [(those[pivot][2], those[j][2]) for j in hit[one]]
+                joined = np.isin(label, np.append(label[hit], label[pivot]))
+                label[joined] = label[joined].min()
+    src, dst = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
 def _part(parts: int):
@@ -497,10 +539,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     met = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, MET))
 
     stars = met.where("kind = 0").groupBy("a", "b", "l").agg(F.sum("c").alias("c")).where("4 * c >= l")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    links = _compared(_blocks(best, "a", "b"), "a", docs, places, parts, parts, _stars, "src long, dst long, star long")
-    roots = connected_components(links.where("dst is not null")).withColumnRenamed("id", "node")
-    settled = links.where("star is not null").select(F.col("src").alias("node"), "star")
+    best = written(stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")))
+    links = _compared(_blocks(best, "a", "b"), "a", docs, places, parts, parts, _stars, ", ".join(f"{k} long" for k in STARS))
+    settled, joined_up = links.where("star is not null").withColumnRenamed("src", "node"), links.where("dst is not null").select("src", "dst")
+    # hubs of several blocks that are settled each: lone nodes meet the other blocks
+    known = settled.groupBy("hub").agg(F.max("lone").alias("worst"), F.count("*").alias("n"))
+    all_of = best.groupBy(F.col("a").alias("hub")).agg(F.count("*").alias("d"))
+    several = written(all_of.where(F.col("d") > TOGETHER).join(known, "hub").where("n = d and worst < 2").select("hub", F.ceil(F.col("d") / TOGETHER).alias("blocks")))
+    if not several.isEmpty():
+        own = settled.join(several, "hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "block", "lone", "blocks")
+        guests = own.where("lone = 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block")
+        rows = own.select("a", "b", "block", "lone", F.lit(False).alias("guest")).union(guests.select("a", "b", "to", "lone", F.lit(True)))
+        joined_up = joined_up.union(_compared(rows, "a", docs, places, parts, parts, _across))
+        settled = settled.join(several, "hub", "left").withColumn("star", F.when(F.col("blocks").isNotNull(), F.xxhash64("hub")).otherwise(F.col("star")))
+    roots = connected_components(joined_up).withColumnRenamed("id", "node")
+    settled = settled.select("node", "star")
 
     counts = met.where("kind = 2").select(F.col("a").alias("node"), F.col("bucket").alias("bucket"), "c")
     nodes = counts.groupBy("node").agg(F.sum("c").alias("tot")).join(roots, "node", "left").join(settled, "node", "left")
