@@ -1,11 +1,13 @@
 """License scan with DataFrame functions only.
 
-Base: places where a phrase's words stand consecutively. Method: an exact set-similarity join of text blocks (lines)
-with license templates by containment, |block and template| / |template| >= CONTAINMENT. Template tokens are ordered by
-their frequency over all blocks of the corpus, rarest first. A block can reach the threshold only if it holds one of a
-template's first |T| - need + 1 tokens (prefix), has `need` template tokens at all (length), and enough of the template
-is left from the first one it holds on (position); blocks that pass are intersected with the whole template. Templates
-are a fixed list, so they are literals: the join needs no shuffle; only the few dozen frequencies are aggregated.
+Base: places where a phrase's words stand consecutively. Method: an exact set-similarity join of text blocks with
+license templates by containment, |block and template| / |template| >= CONTAINMENT. A block is a line; a line of at most
+WIDE characters that such a line follows is taken together with up to two of those that follow, as notices are wrapped.
+Template tokens are ordered by their frequency over all lines of the corpus, rarest first, in blocks and templates alike.
+A block can reach the threshold only if it has `need` template tokens at all (length) and holds one of a template's
+first |T| - need + 1 tokens (prefix) such that, from there on, both still have enough tokens for `need` with it
+(position); blocks that pass are intersected with the whole template. Templates are a fixed list, so they are literals:
+the join needs no shuffle; only the few dozen frequencies are aggregated.
 
 Null text counts as empty: no words, no labels, score 0, null first and last word. Every row is scanned by itself, so
 repeated rows and null ids are no special case; an empty table gives an empty result; other columns are not read.
@@ -36,6 +38,7 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
 ]
 CONTAINMENT = 0.8
+WIDE = 100
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -59,15 +62,29 @@ def _words(spaced: Column) -> Column:
     return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def _blocks(vocabulary: list[str]) -> Column:
-    """Of each line of the text the template words it holds, if any."""
-    held = lambda line: F.array_intersect(F.split(F.regexp_replace(line, BETWEEN, " "), " "), F.array(*map(F.lit, vocabulary)))
-    return F.filter(F.transform(F.split(_lower(), "\n"), held), lambda b: F.size(b) > 0)
+def _held(line: Column, vocabulary: list[str]) -> Column:
+    return F.array_intersect(F.split(F.regexp_replace(line, BETWEEN, " "), " "), F.array(*map(F.lit, vocabulary)))
+
+
+def _lines(vocabulary: list[str]) -> Column:
+    """Of each line of the text the template words it holds, and whether it may be part of a wrapped notice."""
+    return F.transform(F.split(_lower(), "\n"), lambda x: F.struct(_held(x, vocabulary).alias("words"), (F.length(x) <= WIDE).alias("narrow")))
+
+
+def _blocks(lines: Column, ordered: list[str], least: int) -> Column:
+    """Blocks of at least `least` template words (a length filter), each in the order of `ordered`."""
+    none = F.array().cast("array<string>")
+    after = lambda k: F.slice(lines, 1 + k, 1 << 30)
+    more = F.zip_with(after(1), after(2), lambda b, c: F.when(b.narrow, F.concat(b.words, F.when(c.narrow, c.words).otherwise(none))).otherwise(none))
+    blocks = F.zip_with(lines, more, lambda a, m: F.when(a.narrow & m.isNotNull(), F.concat(a.words, m)).otherwise(a.words))
+    blocks = F.filter(blocks, lambda b: F.size(b) >= least)
+    in_order = F.transform(blocks, lambda b: F.array_intersect(F.array(*map(F.lit, ordered)), b))
+    return F.filter(in_order, lambda b: F.size(b) >= least)
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Of each template word the number of blocks of the corpus that hold it."""
-    words = docs.select(F.explode(F.flatten(_blocks(vocabulary))).alias("word"))
+    """Of each template word the number of lines of the corpus that hold it."""
+    words = docs.select(F.explode(F.flatten(F.transform(F.split(_lower(), "\n"), lambda x: _held(x, vocabulary)))).alias("word"))
     return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
@@ -77,7 +94,7 @@ def _containment(tokens: list[str]) -> Column:
     need = needed(size)
 
     def passes(block: Column) -> Column:
-        at = [F.array_contains(block, t) & (F.least(F.lit(size - p), F.size(block)) >= need) for p, t in enumerate(tokens[: size - need + 1])]
+        at = [(F.array_position(block, t) > 0) & (1 + F.least(F.lit(size - p - 1), F.size(block) - F.array_position(block, t)) >= need) for p, t in enumerate(tokens[: size - need + 1])]
         ok = at[0]
         for x in at[1:]:
             ok = ok | x
@@ -93,8 +110,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     templates = [(label, sorted(set(text.split()))) for label, text in TEMPLATES]
     vocabulary = sorted({w for _, words in templates for w in words})
     seen = frequencies(docs, vocabulary)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lower().alias("low"), _blocks(vocabulary).alias("blocks"))
-    rows = rows.select("doc_id", _spaced(F.col("low")).alias("s"), *(_containment(sorted(words, key=lambda w: (seen.get(w, 0), w))).alias(f"t{k}") for k, (_, words) in enumerate(templates)))
+    rarity = lambda w: (seen.get(w, 0), w)
+    least = min(needed(len(words)) for _, words in templates)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lower().alias("low"), _lines(vocabulary).alias("lines"))
+    rows = rows.select("doc_id", "low", _blocks(F.col("lines"), sorted(vocabulary, key=rarity), least).alias("blocks"))
+    rows = rows.select("doc_id", _spaced(F.col("low")).alias("s"), *(_containment(sorted(words, key=rarity)).alias(f"t{k}") for k, (_, words) in enumerate(templates)))
     marks = {p: " " + "  ".join(p.split()) + " " for p in PHRASES}
     s = F.col("s")
     rows = rows.select("*", _words(s).alias("n_words"), *(((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(m), F.lit("")))) / len(m)).cast("long").alias(f"c{k}") for k, m in enumerate(marks.values())))
@@ -127,8 +147,10 @@ def oracle_sql() -> str:
     own = ", ".join(f"CASE WHEN t{k} > 0 THEN '{label.removesuffix('-short')}' END" for k, (label, _) in enumerate(lists))
     joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda v: v IS NOT NULL))), ',')"
     return f"""
-WITH a AS (SELECT doc_id, trim(regexp_replace({low}, '{between}', '  ', 'g'), ' ') AS w,
-  list_transform(string_split({low}, chr(10)), lambda x: list_distinct(string_split(regexp_replace(x, '{between}', ' ', 'g'), ' '))) AS blocks FROM documents),
+WITH l AS (SELECT doc_id, trim(regexp_replace({low}, '{between}', '  ', 'g'), ' ') AS w,
+  list_transform(string_split({low}, chr(10)), lambda x: {{'words': string_split(regexp_replace(x, '{between}', ' ', 'g'), ' '), 'narrow': length(x) <= {WIDE}}}) AS lines FROM documents),
+a AS (SELECT doc_id, w, list_transform(range(1, len(lines) + 1), lambda i: list_distinct(CASE WHEN lines[i].narrow AND lines[i + 1].narrow
+  THEN lines[i].words || lines[i + 1].words || CASE WHEN lines[i + 2].narrow THEN lines[i + 2].words ELSE [] END ELSE lines[i].words END)) AS blocks FROM l),
 b AS (SELECT doc_id, CASE WHEN w = '' THEN '' ELSE ' ' || w || ' ' END AS s, {best} FROM a),
 c AS (SELECT doc_id, s, {cuts}, {share} FROM b)
 SELECT doc_id, {words('s')}::BIGINT AS n_words, {n}::BIGINT AS n_base, least({first})::BIGINT AS first_word, greatest({last})::BIGINT AS last_word,

@@ -259,6 +259,12 @@ def test_licenses(spark, docs):
     r = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r.n_base, r.first_word, r.last_word, r.labels) == (2, 1, 3, "mit")
     assert licenses.license_scan(docs.limit(0)).count() == 0
+    mit = ["# Permission is hereby granted, free of charge, to any person obtaining a copy", "# of this software and associated documentation files (the Software), to deal"]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    long = "x" * (licenses.WIDE + 1)
+    texts = ["\n".join(mit), "\n".join(["a b", *mit]), "\n".join(bsd), "\n".join([mit[0], long, mit[1]]), mit[0], "all\nrights\n\nreserved", "all\nrights\nreserved"]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["mit", "mit", "bsd", "", "", "", "all-rights-reserved"]
 
 
 def test_html(spark):
