@@ -328,3 +328,18 @@ def test_pipeline(spark):
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] >= sizes[2] > 0
     assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() >= sizes[2]
+
+
+def test_bound_refuses_most_pairs_of_spread_vectors():
+    """Offsets from the mean of a single cell are short enough for the bound; no linked pair is refused."""
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=(1500, 64))
+    u[750:] = u[:750] + 0.05 * rng.normal(size=(750, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = embedding_dedup.centres(u, embedding_dedup.fit_centroids(u, 1))[0]
+    turn = embedding_dedup.rotation(64, 17)
+    code, length, factor, direction = embedding_dedup.binary_codes(u - c, turn)
+    held, wanted = embedding_dedup.bound_rows(code, length, factor, direction, u @ c, float(c @ c), 64)
+    maybe = held @ wanted.T >= embedding_dedup.COSINE - 1e-5
+    assert maybe[u @ u.T >= embedding_dedup.COSINE].all()
+    assert maybe.mean() < 0.1
