@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import licenses, merkle, spelling
 from .common import table
 from .embedding_dedup import embedding_links
+from .fit_packing import fit_pack
 from .html_text import extract
 from .jaccard_join import jaccard_components
 from .neighbours import nearest
@@ -35,6 +36,13 @@ QUERIES = {
     "op8_packing": _over("documents", pack),
     "op9_toxicity_cnn": _over("documents", toxicity_scores, "labels"),
     "op10_jaccard_join": _over("documents", jaccard_components),
+    "op11_fit_packing": _over("documents", fit_pack),
+    "op12_merkle_manifest": _over("documents", merkle.manifest),
+    "op13_spelling_variants": _over("documents", spelling.variants),
 }
 
-ORACLES = {"op6_licenses": licenses.oracle_sql()}
+ORACLES = {
+    "op6_licenses": licenses.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
+    "op13_spelling_variants": spelling.oracle_sql(),
+}
