@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import modest_batches, release_memory, written
 
 SEQUENCE, END = 1024, 2
-GROUP, SLACK, TURNS = 32_768, 16, 3
+GROUP, SLACK, TURNS = 65_536, 16, 3
 LONGEST = 1 << 20  #: characters that go to the splitting pattern at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, object] = {}
