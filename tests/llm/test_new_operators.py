@@ -239,6 +239,7 @@ def test_variants_of_crowded_words(spark, size):
     front = "prefix" * 3  # all words begin alike, so that slices part them by what follows
     words = [front * (i % 2) + "".join(rng.choice("abéñ") for _ in range(rng.randint(5, 7))) for i in range(160)]
     rows = [(i, "; ".join(w.upper() if rng.random() < 0.1 else w for w in rng.choices(words, weights=[1.05**k for k in range(160)], k=60))) for i in range(120)]
+    rows += [(400 + i, "lantern " * 40 + "lanterm " * 18 + "lantrm " * 7) for i in range(2)]
     rows += [(500 + i, ("k" * 3000 + "a" * i + " ") * 3) for i in range(3)]
     got = spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"), size).collect()
     assert ordered(got) == ordered(brute_variants(rows))
