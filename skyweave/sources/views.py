@@ -28,8 +28,7 @@ VIEWS = {
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = VIEWS[name]
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    df.createOrReplaceTempView(f"_skyweave_{name}_source")
-    return spark.sql(f"SELECT {columns} FROM _skyweave_{name}_source")
+    return spark.sql(f"SELECT {columns} FROM {{source}}", source=df)
 
 
 def cte(*names: str) -> str:
