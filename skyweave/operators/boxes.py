@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyweave.sources.shared import written
+
 from . import cells
 from .skyjoin import pairs
 from .validate import manifest
@@ -49,7 +51,10 @@ def plate_scan(spark: SparkSession, folder: str, rows: DataFrame, key: str, boxe
     r_ before them, magnitudes in magnitudes, sep_arcsec; nearest first by orderBy of the caller.
     """
     want = overlapping(rows, key, manifest(boxes), radius)
-    objects = spark.read.parquet(folder).join(F.broadcast(want.select("plate_id").distinct()), "plate_id", "left_semi")
+    objects = spark.read.parquet(folder)
+    needed = written(want.groupBy(F.col("plate_id").cast(objects.schema["plate_id"].dataType).alias("plate_id")).agg(F.count("*").alias("asked")))
+    needed = needed.where("asked > 0").select("plate_id")  # a filter, so that Catalyst takes it for one that prunes
+    objects = objects.join(F.broadcast(needed), "plate_id", "left_semi")
     if clean_only:
         objects = objects.where("flag % 100 = 0")
     objects = objects.withColumns({m: F.col(m) / THOUSANDTHS for m in magnitudes}) if magnitudes else objects

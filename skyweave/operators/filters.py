@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions import sky
 
+from .segment import running
 from .skyjoin import nearest
 
 
@@ -63,5 +64,5 @@ def spike_mask(df: DataFrame, bright: DataFrame, key: list[str], radius: float =
 
 
 def every_nth(df: DataFrame, order: str, step: int) -> DataFrame:
-    """F06 over a small table (tiles): numbers all rows in one order."""
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(order))).where((F.col("_n") - 1) % step == 0).drop("_n")
+    """the first row in order of a unique column, and every step-th after it."""
+    return running(df, [order], {"_n": F.lit(1)}).where((F.col("_n") - 1) % step == 0).drop("_n")

@@ -73,20 +73,57 @@ def anti(left: DataFrame, right: DataFrame, radius: float, left_key: list[str],
     return left.join(matched_keys(left, right, radius, left_key, on), left_key, "left_anti")
 
 
-def best_symmetric(left: DataFrame, right: DataFrame, radius: float, left_key: str, right_key: str) -> DataFrame:
-    """One-to-one pairs, greedily by separation: mutual nearest pairs are taken, their rows go, until none is left."""
+ALONE = 200_000  #: pairs of a component that one task takes
+
+
+def _greedy(table):
+    """Pairs of a component, nearest first, of which both rows are still free."""
+    table = table.sort_by([("sep_arcsec", "ascending"), ("_l", "ascending"), ("_r", "ascending")])
+    taken, rows = set(), []
+    for k, ends in enumerate(zip(table.column("_l").to_pylist(), table.column("_r").to_pylist(), strict=True)):
+        ends = {("l", ends[0]), ("r", ends[1])}
+        if not ends & taken:
+            taken |= ends
+            rows.append(k)
+    return table.take(rows).select(["_l", "_r", "sep_arcsec"])
+
+
+def best_symmetric(left: DataFrame, right: DataFrame, radius: float, left_key: str, right_key: str, alone: int = ALONE) -> DataFrame:
+    """One-to-one pairs, greedily by separation (ties by left, then right key).
+
+    A round takes the pairs that are nearest for both their rows, and drops these rows' others; two rounds settle most. What is
+    left falls into components of the pair graph: each of up to `alone` pairs is settled in one task, whatever the length of
+    its chains, and only larger ones go on by rounds.
+    """
     from skyweave.sources.shared import written
 
-    order = F.struct("sep_arcsec", left_key, f"r_{right_key}")
-    rest, taken = written(pairs(left, right, radius).select(left_key, f"r_{right_key}", "sep_arcsec")), None
-    while True:
-        by_left = rest.groupBy(left_key).agg(F.min(order).alias("b")).select("b.*")
-        by_right = rest.groupBy(f"r_{right_key}").agg(F.min(order).alias("b")).select("b.*")
-        mutual = written(by_left.join(by_right, [left_key, f"r_{right_key}", "sep_arcsec"], "left_semi"))
-        taken = mutual if taken is None else taken.union(mutual)
-        rest = written(rest.join(mutual, left_key, "left_anti").join(mutual, f"r_{right_key}", "left_anti"))
-        if rest.isEmpty():
-            return taken
+    from .components import connected_components
+
+    kinds = f"_l {left.schema[left_key].dataType.simpleString()}, _r {right.schema[right_key].dataType.simpleString()}, sep_arcsec double"
+    rest = written(pairs(left, right, radius).select(F.col(left_key).alias("_l"), F.col(f"r_{right_key}").alias("_r"), "sep_arcsec"))
+    order, taken = F.struct("sep_arcsec", "_l", "_r"), []
+
+    def one_round(rest):
+        by_left = rest.groupBy("_l").agg(F.min(order).alias("b")).select("b.*")
+        by_right = rest.groupBy("_r").agg(F.min(order).alias("b")).select("b.*")
+        mutual = written(by_left.join(by_right, ["_l", "_r", "sep_arcsec"], "left_semi"))
+        taken.append(mutual)
+        return written(rest.join(mutual, "_l", "left_anti").join(mutual, "_r", "left_anti"))
+
+    rest = one_round(one_round(rest))
+    if not rest.isEmpty():
+        ends = rest.select("*", F.concat(F.lit("l"), F.col("_l").cast("string")).alias("_a"), F.concat(F.lit("r"), F.col("_r").cast("string")).alias("_b"))
+        named = written(ends.join(connected_components(ends, "_a", "_b").select(F.col("id").alias("_a"), "component"), "_a").select("_l", "_r", "sep_arcsec", "component"))
+        large = named.groupBy("component").count().where(F.col("count") > alone).select("component")
+        small = named.join(large, "component", "left_anti")
+        taken.append(written(small.groupBy("component").applyInArrow(_greedy, kinds)))
+        rest = written(named.join(large, "component", "left_semi").drop("component"))
+        while not rest.isEmpty():
+            rest = one_round(rest)
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.union(t.select(out.columns))
+    return out.select(F.col("_l").alias(left_key), F.col("_r").alias(f"r_{right_key}"), "sep_arcsec")
 
 
 def cone(catalogue: DataFrame, ra: float, dec: float, radius_arcmin: float, columns: list[str] | None = None, cell: str | None = None, nside: int = 32) -> DataFrame:

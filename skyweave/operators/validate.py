@@ -1,14 +1,13 @@
-"""Validation analytics: recall (E06), null controls (D14), histograms (E07), coverage (D11, D12, D19), fits."""
+"""Validation analytics: recall (E06), null controls (D14), histograms (E07), coverage."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions import sky
 
+from .segment import running
 from .skyjoin import matched_keys, nearest, pairs
 
 
@@ -111,53 +110,8 @@ def field_points(centres: DataFrame, times: int, reach: float, seed: int = 1) ->
 
 
 def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
-    """Rows numbered from 0 in one order: a range sort, and the counts of the ranges before."""
-    from skyweave.sources.shared import written
-
-    dealt = written(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
-    counts, start = [], 0  # one number for each shuffle partition
-    for r in sorted(dealt.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
-        counts.append((r["_range"], start))
-        start += r["count"]
-    starts = df.sparkSession.createDataFrame(counts, "_range int, _start long")
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + F.col("_start")
-    return dealt.join(F.broadcast(starts), "_range").withColumn(name, place).drop("_range", "_start")
-
-
-def batches(groups: DataFrame, key: str, size: str, most: int, rows: int) -> DataFrame:
-    """groups of a checked manifest in order of key, cut into batches of at most `most` groups and `rows` rows (a
-    group that is larger is a batch of its own)."""
-    listed = manifest(groups).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("long").alias("s")))).alias("a"))
-    full = f"x.n + 1 > {most} OR x.t + y.s > {rows}"
-    step = f"named_struct('b', if({full}, x.b + 1, x.b), 'n', if({full}, 1, x.n + 1), 't', if({full}, y.s, x.t + y.s), 'o', concat(x.o, array(struct(y.k AS k, if({full}, x.b + 1, x.b) AS b))))"
-    kind = groups.schema[key].dataType.simpleString()
-    start = f"named_struct('b', 0, 'n', 0, 't', 0L, 'o', CAST(array() AS array<struct<k:{kind},b:int>>))"
-    return listed.selectExpr(f"explode(aggregate(a, {start}, (x, y) -> {step}).o) AS o").selectExpr(f"o.k AS {key}", "o.b AS batch")
-
-
-def poly_fit(rows: DataFrame, by: str, degree: int = 1, clip: float = 3.0, rounds: int = 3, least: int = 6) -> DataFrame:
-    """Per group a clipped least-squares fit of offsets (ox, oy) on a polynomial of (x, y)."""
-    terms = 3 if degree == 1 else 6
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna()
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        a = np.stack([np.ones_like(x), x, y, x * x, x * y, y * y][:terms], 1)
-        ok, c = np.ones(len(x), bool), np.zeros((terms, 2))
-        for _ in range(rounds):
-            if ok.sum() < max(least, terms):
-                return pd.DataFrame()
-            c = np.linalg.lstsq(a[ok], pdf[["ox", "oy"]].to_numpy()[ok], rcond=None)[0]
-            r = np.hypot(*(pdf[["ox", "oy"]].to_numpy() - a @ c).T)
-            mad = 1.4826 * np.median(np.abs(r[ok] - np.median(r[ok])))
-            new = r <= np.median(r[ok]) + clip * mad if mad > 0 else ok
-            if (new == ok).all():
-                break
-            ok = new
-        return pd.DataFrame([[pdf[by].iloc[0], int(ok.sum()), c[:, 0].tolist(), c[:, 1].tolist()]], columns=[by, "n", "cx", "cy"])
-
-    kind = dict(rows.dtypes)[by]
-    return rows.groupBy(by).applyInPandas(fit, f"{by} {kind}, n long, cx array<double>, cy array<double>")
+    """Rows numbered from 0 in one order."""
+    return running(df, [order], {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
 def bootstrap(rows: DataFrame, by: str, value: str, times: int, seed: int = 1) -> DataFrame:

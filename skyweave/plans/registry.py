@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyweave.functions import healpix, sky
-from skyweave.operators import dedup, filters, skyjoin, stages, validate
+from skyweave.operators import dedup, filters, segment, skyjoin, stages, validate
 from skyweave.operators import veto as vetoes
 from skyweave.sources import catalogue, columns
 from skyweave.sources.shared import shared_folder
@@ -178,7 +178,8 @@ _tile = "(SELECT id, dec, ra, {name} AS t FROM cat_a UNION ALL SELECT -1, 0e0, 0
 _centre = "SELECT id, t AS tile, " + ", ".join(R6(c, n) for c, n in zip(sky.tile_centre("t"), ("tile_ra", "tile_dec"), strict=True)) + " FROM "
 sql("tile_id_parse", "B13", "cat_a", _centre + _tile.format(name=sky.tile_name("ra", "dec")), _centre + _tile.format(name=sky.tile_name("ra", "dec", "printf")))
 _obs = "(SELECT id, '1952-0' || CAST(id % 9 + 1 AS {0}) || '-1' || CAST(id % 10 AS {0}) || 'T' || lpad(CAST(id % 27 AS {0}), 2, '0') || ':' || lpad(CAST(id * 7 % 99 AS {0}), 2, '0') || ':' || lpad(CAST(id * 3 % 75 AS {0}), 2, '0') || CASE WHEN id % 5 = 0 THEN '.25' WHEN id % 11 = 0 THEN 'x' ELSE '' END AS t FROM det)"
-sql("overflow_times", "B16 B17", "det", f"SELECT id, {R9(sky.overflow_mjd('t', 'datediff({}, DATE 1970-01-01)'.replace('DATE 1970-01-01', chr(68) + 'ATE ' + chr(39) + '1970-01-01' + chr(39))), 'mjd')} FROM {_obs.format('STRING')}", f"SELECT id, {R9(sky.overflow_mjd('t', chr(100) + 'ate_diff(' + chr(39) + 'day' + chr(39) + ', DATE ' + chr(39) + '1970-01-01' + chr(39) + ', {})'), 'mjd')} FROM {_obs.format('VARCHAR')}")
+_spark_days, _duck_days = "datediff({}, DATE '1970-01-01')", "date_diff('day', DATE '1970-01-01', {})"
+sql("overflow_times", "B16 B17", "det", f"SELECT id, {R9(sky.overflow_mjd('t', _spark_days), 'mjd')} FROM {_obs.format('STRING')}", f"SELECT id, {R9(sky.overflow_mjd('t', _duck_days), 'mjd')} FROM {_obs.format('VARCHAR')}")
 _deep = sky.space_motion("ra", "dec", "pmra", "pmdec", "-66")
 sql("rigorous_motion", "B11", "cat_b", f"SELECT id, {R6(_deep[0], 'ra')}, {R6(_deep[1], 'dec')} FROM cat_b")
 sql("number_texts", "B23", "cat_b", f"SELECT id, {sky.number_text('pmra')} AS pm FROM cat_b", f"SELECT id, {sky.number_text('pmra', text='printf')} AS pm FROM cat_b")
@@ -340,7 +341,7 @@ def field_points(spark, d):
 
 @query("F05", cte("det") + ", t AS (SELECT tile_id, count(*) AS n, row_number() OVER (ORDER BY tile_id) AS i FROM det GROUP BY tile_id)")
 def tile_batches(spark, d):
-    return validate.batches(view(spark, d, "det").groupBy("tile_id").agg(F.count("*").alias("n")), "tile_id", "n", 40, 150)
+    return segment.batches(view(spark, d, "det").groupBy("tile_id").agg(F.count("*").alias("n")), "tile_id", "n", 40, 150)
 
 
 ORACLES["tile_batches"] = ORACLES["tile_batches"].replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT i, tile_id, 0 AS batch, 1 AS c, n AS s FROM t WHERE i = 1 UNION ALL SELECT t.i, t.tile_id, CASE WHEN r.c + 1 > 40 OR r.s + t.n > 150 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.c + 1 > 40 OR r.s + t.n > 150 THEN 1 ELSE r.c + 1 END, CASE WHEN r.c + 1 > 40 OR r.s + t.n > 150 THEN t.n ELSE r.s + t.n END FROM r JOIN t ON t.i = r.i + 1) SELECT tile_id, CAST(batch AS INTEGER) AS batch FROM r"
@@ -412,12 +413,6 @@ def pixel_counts(spark, d):
     return view(spark, d, "det").groupBy(healpix.nested_id(F.col("ra"), F.col("dec"), 32).alias("pixel")).agg(F.count("*").alias("n"))
 
 
-@query("E04 B22")
-def wcs_poly_fit(spark, d):
-    det = view(spark, d, "det").select(F.expr("id % 40").alias("g"), (F.col("ra") / 360).alias("x"), (F.col("dec") / 60).alias("y"), F.expr("0.5e0 + 2e0 * ra / 360 + spread").alias("ox"), F.expr("1e0 - dec / 60 + spread").alias("oy"))
-    return validate.poly_fit(det, "g")
-
-
 @query("E17 L03")
 def bootstrap_mean(spark, d):
     return validate.bootstrap(view(spark, d, "det"), "tile_id", "fwhm", 200)

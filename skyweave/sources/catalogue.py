@@ -47,11 +47,6 @@ def cone(catalogue: DataFrame, ra: float, dec: float, radius_arcmin: float, colu
     return out.withColumns({e: F.lit(None).cast("double") for e in empty}) if empty else out
 
 
-def read_ecsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table whose header lines start with # and whose first other line names the columns."""
-    return spark.read.option("comment", "#").option("header", True).option("sep", " ").schema(schema).csv(path)
-
-
 def undone(tasks: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Tasks whose state is not ok; failed and unknown ones are run again."""
     return tasks.join(state.where("status = 'ok'").select(key), key, "left_anti")

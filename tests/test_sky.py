@@ -141,8 +141,6 @@ def test_catalogue_ingest_cone_and_state(spark, tmp_path):
     assert c.count() == 300
     got = catalogue.cone(c, 11.0, 2.0, 6.05, ["id", "ra", "dec", "mag"], "id >= 0", ("mag",), ("plx",)).collect()
     assert {r.id for r in got} == set(range(90, 111)) and all(r.plx is None and (r.mag is None) == (r.id % 3 > 0) for r in got)
-    (tmp_path / "t.ecsv").write_text("# %ECSV 1.0\n# meta\nra dec\n1.5 -2\n")
-    assert [tuple(r) for r in catalogue.read_ecsv(spark, f"{tmp_path}/t.ecsv", "ra double, dec double").collect()] == [(1.5, -2.0)]
     state = spark.createDataFrame([(1, "ok"), (2, "failed")], "t long, status string")
     assert sorted(r.t for r in catalogue.undone(spark.createDataFrame([(1,), (2,), (3,)], "t long"), state, "t").collect()) == [2, 3]
 
