@@ -87,7 +87,7 @@ def robust_fit(rows: DataFrame, by: list[str], rules: Rules = Rules()) -> DataFr
         sigma = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).when(F.col("m") > 10, F.col("std")).otherwise(0.0)
         limit = F.least(F.lit(rules.clip_max), F.when(F.col("sigma") > 0, F.greatest(F.lit(rules.clip_min), rules.clip_sigma * F.col("sigma"))).otherwise(rules.clip_max))
         info = written(spread.withColumn("sigma", sigma).select(*by, "sigma", limit.alias("limit")))
-        clipped = left.join(info, by).select(*by, "x", "y", "ox", "oy", (F.col("inside") & F.coalesce(F.col("r") <= F.col("limit"), F.lit(False))).alias("inside"))
+        clipped = left.join(info, by).select(*by, "x", "y", "ox", "oy", (F.col("inside") & F.coalesce(F.col("r") <= F.col("limit"), F.lit(True))).alias("inside"))  # no residual: singular
         now = written(clipped)  # groups without enough rows are gone
     kept = now.groupBy(*by).agg(F.count(F.when(F.col("inside"), 1)).alias("kept"))
     last = solve(now.where("inside"), by, rules.degree).select(*by, "cx", "cy")

@@ -43,9 +43,10 @@ def _exits(block: int):
 def _starts(_, table: pa.Table, entry: pa.Table) -> pa.Table:
     """Of each group of a block the batches that have begun in the block up to it, given where the chain enters it."""
     table = table.sort_by("i")
-    first, to = table.column("i")[0].as_py(), table.column("next").to_pylist()
+    to = table.column("next").to_pylist()
+    first = table.column("i")[0].as_py() if to else 0  # the end of all may lie in a block of its own
     begun = [0] * len(to)
-    at = min(entry.column("node").to_pylist(), default=first + len(to)) - first  # the end of all may lie in the last block, too
+    at = min(entry.column("node").to_pylist(), default=first + len(to)) - first
     while at < len(to):
         begun[at] = 1
         at = to[at] - first

@@ -128,8 +128,8 @@ class EcsvReader(DataSourceReader):
         want = [(place[f.name], f.dataType) for f in self.schema.fields]
 
         def owned(f):
+            f.seek(max(begin, partition.begin - 1))
             if partition.begin > begin:
-                f.seek(partition.begin - 1)
                 f.readline()  # the end of a line that began before
             while f.tell() < partition.end:
                 line = f.readline()
