@@ -14,7 +14,7 @@ def _zone(dec: str, width: float) -> str:
     return f"CAST(floor((({dec})+90e0)/{width!r}) AS BIGINT)"
 
 
-def _parts(zone: str, width: float) -> str:
+def parts(zone: str, width: float) -> str:
     """Cells of a zone: by the cosine at its end nearer to a pole."""
     end = f"least(90e0,greatest(abs({zone}*{width!r}-90),abs(({zone}+1)*{width!r}-90)))"
     return f"greatest(1,CAST(floor(360*cos(radians({end}))/{width!r}) AS BIGINT))"
@@ -23,15 +23,15 @@ def _parts(zone: str, width: float) -> str:
 def own(ra: str, dec: str, width: float) -> str:
     """The cell of a position."""
     zone = _zone(dec, width)
-    parts = _parts(zone, width)
-    return f"({zone}*1048576+pmod(CAST(floor(pmod({ra},360e0)*{parts}/360e0) AS BIGINT),{parts}))"
+    n = parts(zone, width)
+    return f"({zone}*1048576+pmod(CAST(floor(pmod({ra},360e0)*{n}/360e0) AS BIGINT),{n}))"
 
 
 def touched(ra_lo: str, ra_hi: str, dec_lo: str, dec_hi: str, width: float) -> str:
     """An array of the cells of a box, each once."""
-    parts = _parts("z", width)
-    first, last = f"CAST(floor((({ra_lo})-{SLOP})*{parts}/360e0) AS BIGINT)", f"CAST(floor((({ra_hi})+{SLOP})*{parts}/360e0) AS BIGINT)"
-    cells = f"transform(sequence({first},least({last},{first}+{parts}-1)),r -> z*1048576+pmod(r,{parts}))"
+    n = parts("z", width)
+    first, last = f"CAST(floor((({ra_lo})-{SLOP})*{n}/360e0) AS BIGINT)", f"CAST(floor((({ra_hi})+{SLOP})*{n}/360e0) AS BIGINT)"
+    cells = f"transform(sequence({first},least({last},{first}+{n}-1)),r -> z*1048576+pmod(r,{n}))"
     return f"flatten(transform(sequence({_zone(f'greatest(-90e0,({dec_lo})-{SLOP})', width)},{_zone(f'least(90e0,({dec_hi})+{SLOP})', width)}),z -> {cells}))"
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skyjoin import pairs
+from .skyjoin import tagged_matches
 
 
 @dataclass(frozen=True)
@@ -49,21 +49,6 @@ class Stage:
     shows: list[str] = field(default_factory=list)
 
 
-def tagged_matches(rows: DataFrame, key: str, catalogues: dict[str, DataFrame], radius: float) -> DataFrame:
-    """Of each row that matches any of the catalogues: <name>_match_id, _sep and _count of each; one radius join."""
-    both = None
-    for name, c in catalogues.items():
-        one = c.select(F.lit(name).alias("tag"), F.col("id").cast("string").alias("id"), "ra", "dec")
-        both = one if both is None else both.union(one)
-    p = pairs(rows.select(key, "ra", "dec"), both, radius)
-    of = lambda n, c: F.when(F.col("r_tag") == n, c)
-    out = []
-    for n in catalogues:
-        best = F.min(of(n, F.struct("sep_arcsec", F.length("r_id"), "r_id")))  # numbers in order of size
-        out += [best["r_id"].alias(f"{n}_match_id"), best["sep_arcsec"].alias(f"{n}_sep"), F.count(of(n, F.lit(1))).alias(f"{n}_count")]
-    return p.groupBy(key).agg(*out)
-
-
 class Chain:
     """Stages in the order in which they are given; a stage without `after` takes all rows."""
 

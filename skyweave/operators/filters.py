@@ -21,17 +21,17 @@ def extract_filter(df: DataFrame, snr: float = 30) -> DataFrame:
 def sigma_clip(df: DataFrame, columns: list[str], by: str, k: float = 2.0) -> DataFrame:
     """Keep abs(x - median) <= k * 1.4826 * MAD of the rows given, per group; a zero MAD keeps all that are finite.
 
-    Medians are exact and come from two grouped aggregates joined back, so that no predicate is pushed across them.
+    Medians are exact; those of all columns come from one grouped aggregate, their MADs from a second, both joined back,
+    so that no predicate is pushed across them.
     """
-    for x in columns:  # every window is that of the rows given
-        med = df.groupBy(by).agg(F.median(x).alias("_med"))
-        with_med = df.join(med, by)
-        mad = with_med.groupBy(by).agg((1.4826 * F.median(F.abs(F.col(x) - F.col("_med")))).alias("_sigma"))
-        ok = F.col(x).isNotNull() & ((F.coalesce("_sigma", F.lit(0.0)) <= 0) | (F.abs(F.col(x) - F.col("_med")) <= k * F.col("_sigma")))
-        df = with_med.join(mad, by).withColumn(f"_ok_{x}", ok).drop("_med", "_sigma")
+    middle = df.groupBy(by).agg(*(F.median(x).alias(f"_med_{x}") for x in columns))
+    with_med = df.join(middle, by)
+    off = {x: F.abs(F.col(x) - F.col(f"_med_{x}")) for x in columns}
+    scale = with_med.groupBy(by).agg(*((1.4826 * F.median(off[x])).alias(f"_sigma_{x}") for x in columns))
+    out = with_med.join(scale, by)
     for x in columns:
-        df = df.where(f"_ok_{x}").drop(f"_ok_{x}")
-    return df
+        out = out.where(F.col(x).isNotNull() & ((F.coalesce(f"_sigma_{x}", F.lit(0.0)) <= 0) | (off[x] <= k * F.col(f"_sigma_{x}"))))
+    return out.drop(*(f"_{n}_{x}" for x in columns for n in ("med", "sigma")))
 
 
 def hard_gates(df: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def reason_counts(df: DataFrame, sep: str = "|") -> DataFrame:
 def spike_mask(df: DataFrame, bright: DataFrame, key: list[str], radius: float = 90, const: float = 12.4, slope: float = -0.09, offset: float = 15.3, faintest: float = 16) -> DataFrame:
     """Nearest bright star first, then the rules: m <= const or m < slope * d + offset rejects."""
     stars = bright.where(F.expr(sky.valid_magnitude("rmag")) & (F.col("rmag") <= faintest))
-    near = nearest(df.select(*key, "ra", "dec"), stars, radius, key, "id").select(*key, F.col("r_id").alias("star_id"), F.col("r_rmag").alias("star_mag"), F.col("sep_arcsec").alias("star_sep"))
+    near = nearest(df.select(*key, "ra", "dec"), stars.select("id", "ra", "dec", "rmag"), radius, key, "id", spread="right").select(*key, F.col("r_id").alias("star_id"), F.col("r_rmag").alias("star_mag"), F.col("sep_arcsec").alias("star_sep"))
     hit = (F.col("star_mag") <= const) | (F.col("star_mag") < slope * F.col("star_sep") + offset)
     return df.join(near, key, "left").withColumn("spike", F.coalesce(hit, F.lit(False)))
 

@@ -32,35 +32,52 @@ def _celled(df: DataFrame, edge: float, reach: float | None) -> DataFrame:
     return df.withColumn("_cell", F.explode(F.when(one, F.array(own)).otherwise(all_three(*steps))))
 
 
-def pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str] | None = None, strict: bool = False) -> DataFrame:
+def pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str] | None = None, strict: bool = False, spread: str = "left") -> DataFrame:
     """All pairs within radius arcsec. Right columns are prefixed r_; sep_arcsec is added.
 
-    Both sides have ra and dec; `on` names columns that must be equal on both sides (they are not prefixed).
+    Both sides have ra and dec; `on` names columns that must be equal on both sides (they are not prefixed). `spread` is the side
+    whose rows are repeated in neighbouring cells: the smaller one, where that is known.
     """
     on = on or []
     reach = sky.chord(radius) * (1 + 1e-9) + 1e-15
     edge = max(WIDE * reach, EDGE)
     placed = "ra IS NOT NULL AND dec IS NOT NULL"
-    r = _celled(right.where(placed), edge, None)
+    r = _celled(right.where(placed), edge, reach if spread == "right" else None)
     r = r.select(*(F.col(c).alias(c if c in on or c == "_cell" else f"r_{c}") for c in r.columns))
-    joined = _celled(left.where(placed), edge, reach).join(r, ["_cell", *on]).drop("_cell")
+    joined = _celled(left.where(placed), edge, reach if spread == "left" else None).join(r, ["_cell", *on]).drop("_cell")
     joined = joined.where(F.abs(F.col("dec") - F.col("r_dec")) <= radius / 3600 + 1e-9)
     sep = F.expr(sky.haversine("ra", "dec", "r_ra", "r_dec"))
     out = joined.withColumn("sep_arcsec", sep)
     return out.where(F.col("sep_arcsec") < radius if strict else F.col("sep_arcsec") <= radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, left_key: list[str], right_key: str, on: list[str] | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, radius: float, left_key: list[str], right_key: str, on: list[str] | None = None, spread: str = "left") -> DataFrame:
     """Of each left row with a match its nearest right row (ties to the smaller key)."""
-    p = pairs(left, right, radius, on)
+    p = pairs(left, right, radius, on, spread=spread)
     rest = [c for c in p.columns if c not in left_key]
     best = p.groupBy(*left_key).agg(F.min_by(F.struct(*rest), F.struct("sep_arcsec", f"r_{right_key}")).alias("_b"))
     return best.select(*left_key, "_b.*")
 
 
-def matched_keys(left: DataFrame, right: DataFrame, radius: float, left_key: list[str], on: list[str] | None = None) -> DataFrame:
+def matched_keys(left: DataFrame, right: DataFrame, radius: float, left_key: list[str], on: list[str] | None = None, spread: str = "left") -> DataFrame:
     slim = left.select(*dict.fromkeys([*left_key, "ra", "dec", *(on or [])]))
-    return pairs(slim, right.select("ra", "dec", *(on or [])), radius, on).select(*left_key).distinct()
+    return pairs(slim, right.select("ra", "dec", *(on or [])), radius, on, spread=spread).select(*left_key).distinct()
+
+
+def tagged_matches(rows: DataFrame, key: str, catalogues: dict[str, DataFrame], radius: float, spread: str = "left") -> DataFrame:
+    """Of each row that matches any of the catalogues: <name>_match_id, _sep and _count of each (its nearest row, ties to
+    the smaller id). One radius join over their union, one aggregate."""
+    both = None
+    for name, c in catalogues.items():
+        one = c.select(F.lit(name).alias("tag"), F.col("id").cast("string").alias("id"), "ra", "dec")
+        both = one if both is None else both.union(one)
+    p = pairs(rows.select(key, "ra", "dec"), both, radius, spread=spread)
+    of = lambda n, c: F.when(F.col("r_tag") == n, c)
+    out = []
+    for n in catalogues:
+        best = F.min(of(n, F.struct("sep_arcsec", F.length("r_id"), "r_id")))  # numbers in order of size
+        out += [best["r_id"].alias(f"{n}_match_id"), best["sep_arcsec"].alias(f"{n}_sep"), F.count(of(n, F.lit(1))).alias(f"{n}_count")]
+    return p.groupBy(key).agg(*out)
 
 
 def semi(left: DataFrame, right: DataFrame, radius: float, left_key: list[str], on: list[str] | None = None) -> DataFrame:

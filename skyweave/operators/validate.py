@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions import sky
 
+from . import cells
 from .segment import running
 from .skyjoin import matched_keys, nearest, pairs
 
@@ -47,21 +48,41 @@ def manifest(plates: DataFrame) -> DataFrame:
     return plates
 
 
-def nearest_plates(rows: DataFrame, plates: DataFrame, k: int) -> DataFrame:
-    """The k nearest plate centres of each row: one broadcast row holds the checked manifest as an array, and
-    each row sorts it for itself, without a shuffle."""
+CELL = 5.0  #: degrees of the cells whose candidate plates are listed
+
+
+def plate_candidates(spark: SparkSession, plates: DataFrame, k: int, width: float = CELL) -> DataFrame:
+    """(cell, plates) of every cell of the sky: the plates that can be among the k nearest of any point in it: those no
+    farther from its centre than the k-th is, and twice the cell's own reach."""
+    zone = spark.range(round(180 / width) + 1).withColumnRenamed("id", "zone")
+    cell = zone.selectExpr("zone", f"zone * {width!r} - 90 AS lo", f"{cells.parts('zone', width)} AS parts").selectExpr("*", "explode(sequence(0L, parts - 1)) AS part")
+    cell = cell.selectExpr("zone * 1048576 + part AS _cell", "(part + 0.5e0) * 360 / parts AS c_ra", f"lo + {width / 2!r} AS c_dec", f"{width / 2!r} + 180e0 / parts * cos(radians(CASE WHEN lo >= 0 THEN lo ELSE -lo - {width!r} END)) AS reach")
     p = manifest(plates).agg(F.collect_list(F.struct(F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec"), F.col("id").alias("plate_id"))).alias("_plates"))
+    far = f"transform(_plates, x -> {sky.haversine('c_ra', 'c_dec', 'x.p_ra', 'x.p_dec')} / 3600)"
+    at = cell.crossJoin(F.broadcast(p)).withColumn("_far", F.expr(far)).withColumn("_most", F.expr(f"coalesce(get(array_sort(_far), {k - 1}), 360) + 2 * reach + 1e-6"))
+    return at.select("_cell", F.expr("filter(_plates, (x, i) -> _far[i] <= _most)").alias("_plates"))
+
+
+def nearest_plates(rows: DataFrame, plates: DataFrame, k: int) -> DataFrame:
+    """The k nearest plate centres of each row (near: sep in degrees, plate_id; ties to the smaller id), without a shuffle
+    of the rows: the cells of the sky, with the few plates that can be nearest there, are a table of fixed length.
+
+    The plates are a checked manifest. A row without a position has the plates with null separations.
+    """
     near = f"slice(array_sort(transform(_plates, x -> struct({sky.haversine('ra', 'dec', 'x.p_ra', 'x.p_dec')} / 3600 AS sep, x.plate_id AS plate_id))), 1, {k})"
-    return rows.crossJoin(F.broadcast(p)).withColumn("near", F.expr(near)).drop("_plates")
+    listed = plate_candidates(rows.sparkSession, plates, k)
+    placed = rows.withColumn("_cell", F.coalesce(F.expr(cells.own("ra", "dec", CELL)), F.lit(0).cast("long")))
+    return placed.join(F.broadcast(listed), "_cell").withColumn("near", F.expr(near)).drop("_plates", "_cell")
 
 
 def boxed(rows: DataFrame, plates: DataFrame, half: float) -> DataFrame:
     """Rows with each plate whose square of `half` degrees (offsets on the sky) has them, as an equi-join on
-    declination zones. Plate columns come as plate_id, p_ra, p_dec."""
-    zone = lambda x: F.floor(F.expr(x) / (2 * half)).cast("long")
+    cells. Plate columns come as plate_id, p_ra, p_dec."""
+    half = float(half)
     p = plates.select(F.col("id").alias("plate_id"), F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec"))
-    p = p.withColumn("_zone", F.explode(F.sequence(zone(f"p_dec - {half}"), zone(f"p_dec + {half}"))))
-    return rows.withColumn("_zone", zone("dec")).join(p, "_zone").where(F.expr(sky.chebyshev("ra", "dec", "p_ra", "p_dec")) <= half).drop("_zone")
+    wide = f"least(180e0, {half!r} / greatest(1e-6, cos(radians(p_dec))))"
+    p = p.withColumn("_cell", F.explode(F.expr(cells.touched(f"p_ra - {wide}", f"p_ra + {wide}", f"p_dec - {half!r}", f"p_dec + {half!r}", half))))
+    return rows.withColumn("_cell", F.expr(cells.own("ra", "dec", half))).join(p, "_cell").where(F.expr(sky.chebyshev("ra", "dec", "p_ra", "p_dec")) <= half).drop("_cell")
 
 
 def coverage(plates: DataFrame, rows: DataFrame, half: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skyjoin import anti, matched_keys
+from .skyjoin import anti, pairs
 
 
 def veto(df: DataFrame, catalogue: DataFrame, radius: float, key: list[str], enabled: bool = True) -> tuple[DataFrame, str]:
@@ -17,16 +17,20 @@ def veto(df: DataFrame, catalogue: DataFrame, radius: float, key: list[str], ena
     return anti(df, catalogue, radius, key), "ok"
 
 
-def chain_flags(df: DataFrame, catalogues: dict[str, DataFrame], radius: float, key: list[str]) -> DataFrame:
+def chain_flags(df: DataFrame, catalogues: dict[str, DataFrame], radius: float, key: list[str], spread: str = "left") -> DataFrame:
     """For each row, in_<name> of each veto and the first that hit it. Every veto is tested on every row, so that
-    counterfactual chains can be read from the same flags; `chain_ledger` counts each only among those that survived."""
-    out = df
-    for name, catalogue in catalogues.items():
-        hits = matched_keys(df, catalogue, radius, key).withColumn(f"in_{name}", F.lit(True))
-        out = out.join(hits, key, "left").withColumn(f"in_{name}", F.coalesce(f"in_{name}", F.lit(False)))
-    names = list(catalogues)
+    counterfactual chains can be read from the same flags; `chain_ledger` counts each only among those that survived.
+
+    All vetoes share one radius join, over the union of their catalogues, whose hits are a bit set for each key."""
+    names, both = list(catalogues), None
+    for k, c in enumerate(catalogues.values()):
+        one = c.select(F.lit(1 << k).alias("bit"), "ra", "dec")
+        both = one if both is None else both.union(one)
+    hits = pairs(df.select(*key, "ra", "dec"), both, radius, spread=spread).groupBy(*key).agg(F.bit_or("r_bit").alias("_bits"))
+    out = df.join(hits, key, "left")
+    out = out.withColumns({f"in_{n}": F.coalesce(F.col("_bits").bitwiseAND(1 << k) != 0, F.lit(False)) for k, n in enumerate(names)})
     first = F.coalesce(*(F.when(F.col(f"in_{n}"), F.lit(n)) for n in names), F.lit("kept"))
-    return out.withColumn("outcome", first)
+    return out.withColumn("outcome", first).drop("_bits")
 
 
 def chain_ledger(flags: DataFrame, names: list[str]) -> DataFrame:

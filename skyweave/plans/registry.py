@@ -57,12 +57,12 @@ R9 = lambda x, n: f"round({x}, 9) AS {n}"
 
 @query("D01 D04 A11 B01 B03 B04", cte("det", "cat_a") + f" SELECT a.id, b.id AS r_id, {R6(HAV, 'sep_arcsec')} FROM det a JOIN cat_a b ON {near(5)}")
 def sky_pairs_5as(spark, d):
-    return skyjoin.pairs(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "cat_a"), 5).select("id", "r_id", F.round("sep_arcsec", 6).alias("sep_arcsec"))
+    return skyjoin.pairs(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "cat_a").select("id", "ra", "dec"), 5, spread="right").select("id", "r_id", F.round("sep_arcsec", 6).alias("sep_arcsec"))
 
 
 @query("D03 D13 D18 G01", cte("det", "cat_a") + f", p AS (SELECT a.id, b.id AS r_id, b.mag, {HAV} AS s FROM det a JOIN cat_a b ON {near(10)}) SELECT id, arg_min(r_id, s) AS r_id, arg_min(mag, s) AS r_mag, round(min(s), 6) AS sep_arcsec FROM p GROUP BY id")
 def sky_nearest_10as(spark, d):
-    n = skyjoin.nearest(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "cat_a"), 10, ["id"], "id")
+    n = skyjoin.nearest(view(spark, d, "det").select("id", "ra", "dec"), view(spark, d, "cat_a").select("id", "ra", "dec", "mag"), 10, ["id"], "id", spread="right")
     return n.select("id", "r_id", "r_mag", F.round("sep_arcsec", 6).alias("sep_arcsec"))
 
 
@@ -89,7 +89,7 @@ _flags = cte("det", *CHAIN) + ", f AS (SELECT a.id, " + ", ".join(f"{h} AS in_{c
 
 @query("D05 D06 A22", _flags + " SELECT id, in_cat_a, in_cat_b, in_cat_c, CASE WHEN in_cat_a THEN 'cat_a' WHEN in_cat_b THEN 'cat_b' WHEN in_cat_c THEN 'cat_c' ELSE 'kept' END AS outcome FROM f")
 def veto_chain_flags(spark, d):
-    return vetoes.chain_flags(view(spark, d, "det").select("id", "ra", "dec"), {c: view(spark, d, c) for c in CHAIN}, 5, ["id"]).drop("ra", "dec")
+    return vetoes.chain_flags(view(spark, d, "det").select("id", "ra", "dec"), {c: view(spark, d, c) for c in CHAIN}, 5, ["id"], spread="right").drop("ra", "dec")
 
 
 @query("E01 A29", _flags + " SELECT 0 AS step, 'cat_a' AS veto, count(*) AS rows_in, count(*) FILTER (in_cat_a) AS eliminated, count(*) FILTER (NOT in_cat_a) AS kept FROM f UNION ALL SELECT 1, 'cat_b', count(*), count(*) FILTER (in_cat_b), count(*) FILTER (NOT in_cat_b) FROM f WHERE NOT in_cat_a UNION ALL SELECT 2, 'cat_c', count(*), count(*) FILTER (in_cat_c), count(*) FILTER (NOT in_cat_c) FROM f WHERE NOT in_cat_a AND NOT in_cat_b")

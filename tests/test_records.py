@@ -21,7 +21,7 @@ def greedy(sizes, most, rows):
     return out
 
 
-@pytest.mark.parametrize(("count", "most", "rows", "block"), [(1, 3, 10, 8), (700, 7, 100, 16), (700, 40, 60, 32), (300, 500, 10**9, 64), (12_288, 100, 5000, 1024), (257, 1, 10, 256)])
+@pytest.mark.parametrize(("count", "most", "rows", "block"), [(1, 3, 10, 8), (700, 7, 100, 16), (12_288, 100, 5000, 1024), (257, 1, 10, 256)])
 def test_batches_equal_greedy(spark, count, most, rows, block):
     rng = random.Random(count + most)
     sizes = [rng.choice([0, 0, rng.randint(1, 30), rng.randint(1, 150)]) for _ in range(count)]
