@@ -192,3 +192,9 @@ def overflow_mjd(text, days: str) -> str:
 def number_text(x, digits: int = 6, text: str = "format_string") -> str:
     """A number as text, empty for null and NaN."""
     return f"(CASE WHEN ({x}) IS NULL OR isnan({x}) THEN '' ELSE {text}('%.{digits}f', CAST({x} AS double)) END)"
+
+
+def decimal_year(t) -> str:
+    """Year and the share of it that has passed, of a timestamp."""
+    start, end = f"make_timestamp(year({t}),1,1,0,0,0)", f"make_timestamp(year({t})+1,1,1,0,0,0)"
+    return f"(year({t})+(unix_micros({t})-unix_micros({start}))/(unix_micros({end})-unix_micros({start})))"

@@ -12,6 +12,14 @@ from .segment import running
 from .skyjoin import matched_keys, nearest, pairs
 
 
+MOD = 2147483647
+
+
+def seeded_text(key: str, seed: int = 1) -> str:
+    """SQL for a number below 2 ** 31 of an integer expression, by the same integer arithmetic in any engine."""
+    return f"(((CAST({key} AS BIGINT) + 1) * 15485863 % {MOD} + {seed} * 104729) * 48271 % {MOD} * 48271 % {MOD})"
+
+
 def nearest_distance(reference: DataFrame, detections: DataFrame, radius: float, key: str = "id", on: list[str] | None = None) -> DataFrame:
     """Every reference row with the distance of its nearest detection (null beyond radius)."""
     best = pairs(reference.select(key, "ra", "dec", *(on or [])), detections, radius, on).groupBy(key, *(on or [])).agg(F.min("sep_arcsec").alias("dist"))
@@ -136,10 +144,10 @@ def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, by: str, value: str, times: int, seed: int = 1) -> DataFrame:
-    """Cluster bootstrap of the mean: clusters get Poisson weights per replicate from seeded hashes."""
+    """Cluster bootstrap of the mean: clusters (integer keys) get Poisson weights per replicate from a seeded hash."""
     tile = rows.groupBy(by).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     r = tile.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    u = (F.pmod(F.xxhash64(by, "rep", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    u = F.expr(f"({seeded_text(f'CAST({by} AS BIGINT) * 1009 + rep', seed)} / {MOD}e0)")
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     r = r.withColumn("w", sum((F.when(u > c, 1).otherwise(0) for c in cuts[1:]), F.when(u > cuts[0], 1).otherwise(0)))
     means = r.groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
@@ -147,8 +155,8 @@ def bootstrap(rows: DataFrame, by: str, value: str, times: int, seed: int = 1) -
 
 
 def stratified_sample(rows: DataFrame, by: list[str], key: str, most: int, seed: int = 1) -> DataFrame:
-    """At most `most` rows of each stratum, by a seeded hash."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    """At most `most` rows of each stratum, by a seeded hash of an integer key."""
+    w = Window.partitionBy(*by).orderBy(F.expr(seeded_text(key, seed)), key)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 

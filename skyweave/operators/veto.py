@@ -12,6 +12,8 @@ def veto(df: DataFrame, catalogue: DataFrame, radius: float, key: list[str], ena
     """Rows without a match, and why rows passed unchecked, if they did."""
     if not enabled:
         return df, "disabled"
+    if df.isEmpty():
+        return df, "no candidates"
     if catalogue.isEmpty():
         return df, "empty catalogue"
     return anti(df, catalogue, radius, key), "ok"

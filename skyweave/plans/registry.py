@@ -291,7 +291,6 @@ def separation_histogram(spark, d):
     return validate.histogram(_armed(spark, d), 10)
 
 
-sql("decomposition", "E15", "det ref", f"SELECT count(CASE WHEN in_set THEN 1 END) AS in_set, count(CASE WHEN NOT in_set AND seen THEN 1 END) AS detected_only, count(CASE WHEN NOT seen THEN 1 END) AS not_detected FROM (SELECT id, id IN (SELECT id FROM det WHERE flags = 0) AS in_set, id IN (SELECT id FROM det) AS seen FROM ref) x")
 _plate = cte("det", "plates") + f", s AS (SELECT a.id, list_sort(list({{'s': {HAV} / 3600, 'p': b.id}})) AS l FROM det a, plates b GROUP BY a.id)"
 
 
@@ -362,17 +361,12 @@ def catalogue_cone(spark, d):
     return out.select("id", "n_detections", "mag", "plx", F.round("_r", 4).alias("r_arcmin"))
 
 
-sql("strata_density", "E21", "cat_b", "SELECT stratum, count(*) AS n, round(count(*) / (max(dec) - min(dec) + 1), 6) AS density, round((SELECT count(*) FROM cat_b) / (count(*) * 1e0), 6) AS overclaim FROM (SELECT dec, CASE WHEN pmra IS NULL THEN 'indeterminate' WHEN sqrt(pmra * pmra + pmdec * pmdec) > 150 THEN 'genuine' ELSE 'fabricated' END AS stratum FROM cat_b) x GROUP BY stratum")
-sql("cross_run_funnel", "E22", "det", "SELECT run, count(*) AS n, count(CASE WHEN place = 1 THEN 1 END) AS firsts, count(DISTINCT tile_id) AS tiles FROM (SELECT *, id % 4 AS run, row_number() OVER (PARTITION BY ra, dec ORDER BY id % 4, id) AS place FROM det) x GROUP BY run")
 sql("edge_yield", "E12", "det plates", "SELECT count(*) AS n, " + ", ".join(f"count(CASE WHEN {sky.chebyshev('a.ra', 'a.dec', 'b.ra', 'b.dec')} > {r} THEN 1 END) AS beyond_{r}" for r in (1, 3, 10, 30)) + " FROM det a JOIN plates b ON a.id % 25 = b.id")
 sql("funnel", "D20 E13 T19", "det", "SELECT stage, count(*) AS n FROM (SELECT CASE WHEN flags <> 0 THEN 'extract' WHEN snr <= 30 THEN 'snr' WHEN elong >= 1.3e0 THEN 'morph' ELSE 'kept' END AS stage FROM det) x GROUP BY stage")
-sql("class_breakdown", "E20", "cat_b", "SELECT CASE WHEN pmra IS NULL THEN 'indeterminate' WHEN abs(pmra) > 150 THEN 'fast' WHEN band < 5 THEN 'blue' ELSE 'other' END AS class, count(*) AS n FROM cat_b GROUP BY 1")
-sql("field_grid", "E10", "det", "SELECT CAST(floor(dec / 5) AS bigint) AS dec_cell, CAST(floor(ra * cos(radians(floor(dec / 5) * 5 + 2.5e0)) / 5) AS bigint) AS ra_cell, count(*) AS n, " + R6("median(ra)", "ra0") + ", " + R6("median(dec)", "dec0") + " FROM det GROUP BY 1, 2")
 sql("percentile_profile", "E16", "det", "SELECT flags, " + ", ".join(f"round(percentile(fwhm, {p}), 6) AS p{int(float(p) * 100)}" for p in ("0.25", "0.5", "0.75", "0.9", "0.99")) + ", round(avg(CASE WHEN fwhm > 5 THEN 1e0 ELSE 0e0 END), 6) AS beyond_5 FROM det GROUP BY flags", "SELECT flags, " + ", ".join(f"round(quantile_cont(fwhm, {p}), 6) AS p{int(float(p) * 100)}" for p in ("0.25", "0.5", "0.75", "0.9", "0.99")) + ", round(avg(CASE WHEN fwhm > 5 THEN 1e0 ELSE 0e0 END), 6) AS beyond_5 FROM det GROUP BY flags")
 sql("stratified_stats", "E18", "det", "SELECT CAST(floor(dec / 10) AS bigint) AS bin, count(*) AS n, round(avg(fwhm), 6) AS mean_fwhm, round(median(fwhm), 6) AS median_fwhm FROM det GROUP BY 1")
 sql("correlation", "E19", "det", "SELECT round(corr(fwhm, snr), 6) AS r FROM det")
 sql("crosstab", "E19", "det", "SELECT flags, count(CASE WHEN snr > 30 THEN 1 END) AS bright, count(CASE WHEN snr <= 30 THEN 1 END) AS faint FROM det GROUP BY flags")
-sql("veto_bias", "E23", "det", "SELECT id % 40 AS g, round(avg(CASE WHEN snr > 30 THEN 1e0 ELSE 0e0 END) - avg(CASE WHEN snr > 50 THEN 1e0 ELSE 0e0 END), 6) AS excess FROM det GROUP BY id % 40")
 sql("displacement", "E26", "det", "SELECT id % 40 AS g, round(median(dx), 6) AS mx, round(median(dy), 6) AS my, round(sqrt(pow(stddev_pop(dx), 2) + pow(stddev_pop(dy), 2)), 6) AS scatter FROM det GROUP BY id % 40")
 sql("contamination", "E11", "det", "SELECT id % 40 AS g, count(*) AS n, round(avg(CASE WHEN snr > 90 THEN 1e0 ELSE 0e0 END), 6) AS fraction, count(*) < 5 OR avg(CASE WHEN snr > 90 THEN 1e0 ELSE 0e0 END) <= 0.2e0 AS pass FROM det GROUP BY id % 40")
 sql("worst_groups", "G03", "det", "SELECT id % 40 AS g, count(*) AS n, count(CASE WHEN flags = 0 THEN 1 END) AS kept FROM det GROUP BY id % 40 HAVING count(*) >= 20 ORDER BY kept, g LIMIT 15")
@@ -408,17 +402,32 @@ def dec_zones(spark, d):
 sql("source_id_pixel", "A17", "det", "SELECT id, shiftright(id * 562949953421 , 40) AS pixel FROM det", "SELECT id, (id * 562949953421) >> 40 AS pixel FROM det")
 
 
-@query("B19 E25 A18 T15")
+_z = "sin(radians(dec))"
+_pix = (
+    f"h AS (SELECT {_z} AS z, ra / 90e0 AS t, 32 * (0.5e0 + ra / 90e0) AS p, 32 * 0.75e0 * {_z} AS q, ra / 90e0 - floor(ra / 90e0) AS s, 32 * sqrt(3 * (1 - abs({_z}))) AS w FROM det), "
+    "j AS (SELECT *, CASE WHEN abs(z) <= 2e0 / 3 THEN CAST(floor(p - q) AS BIGINT) ELSE least(31, CAST(floor(s * w) AS BIGINT)) END AS jp, CASE WHEN abs(z) <= 2e0 / 3 THEN CAST(floor(p + q) AS BIGINT) ELSE least(31, CAST(floor((1 - s) * w) AS BIGINT)) END AS jm FROM h), "
+    "f AS (SELECT CASE WHEN abs(z) > 2e0 / 3 THEN least(3, CAST(floor(t) AS BIGINT)) + CASE WHEN z < 0 THEN 8 ELSE 0 END WHEN jp // 32 = jm // 32 THEN (jp // 32) % 4 + 4 WHEN jp // 32 < jm // 32 THEN (jp // 32) % 4 ELSE (jm // 32) % 4 + 8 END AS face, "
+    "CASE WHEN abs(z) <= 2e0 / 3 THEN jm % 32 WHEN z > 0 THEN 31 - jm ELSE jp END AS x, CASE WHEN abs(z) <= 2e0 / 3 THEN 31 - jp % 32 WHEN z > 0 THEN 31 - jp ELSE jm END AS y FROM j)"
+)
+_woven = " + ".join(f"((x >> {k}) & 1) * {4**k} + ((y >> {k}) & 1) * {2 * 4**k}" for k in range(5))
+
+
+@query("B19 E25 A18 T15", cte("det") + f", {_pix} SELECT CAST(face * 1024 + {_woven} AS BIGINT) AS pixel, count(*) AS n FROM f GROUP BY 1")
 def pixel_counts(spark, d):
-    return view(spark, d, "det").groupBy(healpix.nested_id(F.col("ra"), F.col("dec"), 32).alias("pixel")).agg(F.count("*").alias("n"))
+    return view(spark, d, "det").groupBy(healpix.nested_id(F.col("ra"), F.col("dec"), 32).cast("long").alias("pixel")).agg(F.count("*").alias("n"))
+
+
+_cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+_weight = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in _cuts)
 
 
-@query("E17 L03")
+@query("E17 L03", cte("det") + f", t AS (SELECT tile_id, sum(fwhm) AS s, count(fwhm) AS n FROM det GROUP BY tile_id), r AS (SELECT *, {validate.seeded_text('tile_id * 1009 + rep', 1)} / 2147483647e0 AS u FROM t, (SELECT unnest(range(1, 201)) AS rep)), m AS (SELECT rep, sum(({_weight}) * s) / sum(({_weight}) * n) AS m FROM r GROUP BY rep) SELECT count(m) AS replicates, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
 def bootstrap_mean(spark, d):
-    return validate.bootstrap(view(spark, d, "det"), "tile_id", "fwhm", 200)
+    b = validate.bootstrap(view(spark, d, "det"), "tile_id", "fwhm", 200)
+    return b.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
-@query("L02 F04")
+@query("L02 F04", cte("det") + f", k AS (SELECT CAST(floor(dec / 10) AS BIGINT) AS bin, id, row_number() OVER (PARTITION BY floor(dec / 10) ORDER BY {validate.seeded_text('id', 1)}, id) AS n FROM det) SELECT bin, id FROM k WHERE n <= 20")
 def stratified_sample(spark, d):
     return validate.stratified_sample(view(spark, d, "det").withColumn("bin", F.floor(F.col("dec") / 10)), ["bin"], "id", 20).select("bin", "id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.functions import healpix
+from skyweave.functions import healpix, sky
 from skyweave.operators import skyjoin
 
 #: Fixed value: what stands for a missing magnitude.
@@ -47,6 +47,27 @@ def cone(catalogue: DataFrame, ra: float, dec: float, radius_arcmin: float, colu
     return out.withColumns({e: F.lit(None).cast("double") for e in empty}) if empty else out
 
 
+def gaia_cone(catalogue: DataFrame, ra: float, dec: float, radius_arcmin: float, nside: int = 32) -> DataFrame:
+    """The layout of a neighbourhood file; colours and parallax are not in the catalogue and stay empty."""
+    c = cone(catalogue, ra, dec, radius_arcmin, ["ra", "dec", "phot_g_mean_mag", "pmra", "pmdec"], None, (), ("BPmag", "RPmag", "Plx"), nside)
+    number = lambda x: F.when(~F.isnan(x), F.col(x))
+    return c.select("ra", "dec", number("phot_g_mean_mag").alias("Gmag"), "BPmag", "RPmag", number("pmra").alias("pmRA"), number("pmdec").alias("pmDE"), "Plx", "_r")
+
+
+def bright_cone(catalogue: DataFrame, ra: float, dec: float, radius_arcmin: float = 45, faintest: float = 16, detections: int = 2, nside: int = 32) -> DataFrame:
+    """Bright stars: seen `detections` times or more, with a valid r magnitude up to `faintest`."""
+    c = cone(catalogue, ra, dec, radius_arcmin, ["ra", "dec", "nDetections", "rmag"], f"nDetections >= {detections}", ("rmag",), (), nside)
+    return c.where(F.expr(sky.valid_magnitude("rmag")) & (F.col("rmag") <= faintest)).select("ra", "dec", "rmag")
+
+
+def usnob_cone(catalogue: DataFrame, ra: float, dec: float, radius_arcmin: float, nside: int = 32) -> DataFrame:
+    """The layout of a neighbourhood file; NaN magnitudes are empty, motions are whole numbers."""
+    magnitudes = ["R1mag", "R2mag", "B1mag", "B2mag", "Imag"]
+    c = cone(catalogue, ra, dec, radius_arcmin, ["ra", "dec", *magnitudes, "pmRA", "pmDE"], nside=nside)
+    number = lambda x: F.when(~F.isnan(x), F.col(x))
+    return c.select("ra", "dec", *(number(m).alias(m) for m in magnitudes), *(number(p).cast("int").alias(p) for p in ("pmRA", "pmDE")), "_r")
+
+
 def undone(tasks: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Tasks whose state is not ok; failed and unknown ones are run again."""
     return tasks.join(state.where("status = 'ok'").select(key), key, "left_anti")
