@@ -21,12 +21,14 @@ def remainder(modulus: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable, rows: int, longest: int) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels of at most `rows` labelled documents, by a hash of their id, none longer than `longest` bytes.
 
-    Rows without a label, with two different ones, or whose learnable condition fails take no part.
+    Rows without a label, with two different ones, or whose learnable condition fails take no part. The draw is among the
+    documents given, so that labels of others take no places; of rows that share an id one stands for all.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & learnable)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(rows)
-    found = plain(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(F.broadcast(chosen), "doc_id")
+    short = plain(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    chosen = known.join(short.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(rows)
+    found = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     got = sorted((r.doc_id, r.text or "", r.label) for r in found.collect())
     return [x[1].encode() for x in got], np.array([x[2] for x in got], np.float32)
 
