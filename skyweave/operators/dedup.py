@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyweave.sources.shared import written
+
 from .components import connected_components
 from .skyjoin import pairs
 
@@ -27,21 +29,39 @@ def dedup(df: DataFrame, radius: float) -> DataFrame:
     return named.withColumn("component", F.coalesce("component", "src_id")).withColumn("kept", F.col("component") == F.col("src_id"))
 
 
-def sweep(df: DataFrame, radii: list[float]) -> DataFrame:
-    """Pairs, pairs across and inside tiles, rows kept and largest cluster at each radius."""
-    out = None
+def _near_pairs(df: DataFrame, radius: float) -> DataFrame:
+    """Pairs within the radius, each once, with their separation and whether they lie on two tiles; written, as every
+    smaller radius is read from them."""
+    slim = df.select("src_id", "tile_id", "ra", "dec")
+    p = pairs(slim, slim, radius).where("src_id < r_src_id")
+    return written(p.select("src_id", "r_src_id", "sep_arcsec", (F.col("tile_id") != F.col("r_tile_id")).alias("cross")))
+
+
+def cluster_sizes(df: DataFrame, radii: list[float], found: DataFrame | None = None) -> DataFrame:
+    """Radius, size and how many clusters have it (rows without a neighbour are clusters of one)."""
+    found, out = _near_pairs(df, max(radii)) if found is None else found, None
+    rows = df.select("src_id").distinct()
     for r in radii:
-        found = dedup(df, r)
-        size = found.groupBy("component").agg(F.count("*").alias("size"))
-        rows = size.agg(F.count("*").alias("kept"), F.max("size").alias("max_cluster"))
-        tile = df.select("src_id", "tile_id")
-        p = self_pairs(df, r).join(tile, "src_id").join(tile.select(F.col("src_id").alias("r_src_id"), F.col("tile_id").alias("r_tile")), "r_src_id")
-        links = p.agg(F.count("*").alias("pairs"), F.coalesce(F.sum((F.col("tile_id") != F.col("r_tile")).cast("long")), F.lit(0)).alias("cross_tile"))
-        one = rows.crossJoin(links).select(F.lit(float(r)).alias("radius"), "pairs", "cross_tile", (F.col("pairs") - F.col("cross_tile")).alias("intra_tile"), "kept", "max_cluster")
+        near = found.where(F.col("sep_arcsec") <= r)
+        roots = connected_components(near.select(F.col("src_id").alias("src"), F.col("r_src_id").alias("dst")))
+        size = roots.groupBy("component").agg(F.count("*").alias("size"))
+        alone = rows.join(roots.select(F.col("id").alias("src_id")), "src_id", "left_anti").select(F.lit(1).cast("long").alias("size"))
+        one = size.select("size").union(alone).groupBy("size").agg(F.count("*").alias("clusters")).select(F.lit(float(r)).alias("radius"), "size", "clusters")
         out = one if out is None else out.union(one)
     return out
 
 
+def sweep(df: DataFrame, radii: list[float]) -> DataFrame:
+    """Pairs, pairs across and inside tiles, rows kept and largest cluster at each radius, from one radius join."""
+    found = _near_pairs(df, max(radii))
+    sizes = cluster_sizes(df, radii, found).groupBy("radius").agg(F.sum("clusters").alias("kept"), F.max("size").alias("max_cluster"))
+    within = F.explode(F.array(*(F.lit(float(r)) for r in radii))).alias("radius")
+    links = found.select(within, "sep_arcsec", "cross").where("sep_arcsec <= radius")
+    links = links.groupBy("radius").agg(F.count("*").alias("pairs"), F.count(F.when(F.col("cross"), 1)).alias("cross_tile"))
+    out = sizes.join(links, "radius", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("pairs", "cross_tile")})
+    return out.select("radius", "pairs", "cross_tile", (F.col("pairs") - F.col("cross_tile")).alias("intra_tile"), "kept", "max_cluster")
+
+
 def representatives(df: DataFrame, radius: float, order: str) -> DataFrame:
     """One row of each component, in the order of the input's ordinal column (a range sort, not one task)."""
     return dedup(df, radius).where("kept").drop("component", "kept").orderBy(order)

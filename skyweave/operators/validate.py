@@ -99,6 +99,12 @@ def coverage(plates: DataFrame, rows: DataFrame, half: float) -> DataFrame:
     return plates.select("id").join(n, F.col("id") == F.col("plate_id"), "left").select("id", F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
+def other_plates(rows: DataFrame, key: str, own: str, plates: DataFrame, half: float) -> DataFrame:
+    """Key and others, the number of plates that have the row in their square besides its own."""
+    n = boxed(rows.select(key, own, "ra", "dec"), plates, half).where(F.col(own).isNull() | (F.col("plate_id") != F.col(own))).groupBy(key).agg(F.count("*").alias("others"))
+    return rows.select(key).join(n, key, "left").select(key, F.coalesce("others", F.lit(0)).alias("others"))
+
+
 def per_plate_nearest(reference: DataFrame, detections: DataFrame, plates: DataFrame, half: float, radius: float) -> DataFrame:
     """Of each reference row and each plate that covers it the nearest detection on that plate."""
     at = boxed(reference.select("id", "ra", "dec"), plates, half).select("id", "plate_id", "ra", "dec")

@@ -184,22 +184,12 @@ _r = f"{sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60"
 _wide = "SELECT id, ra, dec, mag AS phot_g_mean_mag, CASE WHEN id % 6 = 0 THEN {nan} ELSE id % 50 - 20e0 END AS pmra, CASE WHEN id % 6 = 0 THEN {nan} ELSE id % 40 - 10e0 END AS pmdec, n_detections AS nDetections, CASE WHEN id % 8 = 0 THEN -999e0 ELSE 8e0 + id % 12 END AS rmag, CASE WHEN id % 3 = 0 THEN {nan} ELSE 10e0 + id % 9 END AS R1mag, 11e0 AS R2mag, {nan} AS B1mag, 12e0 AS B2mag, CASE WHEN id % 2 = 0 THEN 13e0 ELSE {nan} END AS Imag, CASE WHEN id % 4 = 0 THEN {nan} ELSE id % 30 - 15e0 END AS pmRA_, CASE WHEN id % 4 = 0 THEN {nan} ELSE id % 20 - 8e0 END AS pmDE FROM {cat_a}"
 
 
-def _mirror(spark, d):
-    """A catalogue by cell, in a folder named by its content."""
-    from skyweave.sources.parts import table_print
-
+def _opened(spark, d, motions: dict[str, str]):
+    """The catalogue by cell, with the motions under the names that its file has."""
     rows = spark.sql(_wide.replace("{nan}", "double('NaN')"), cat_a=view(spark, d, "cat_a"))
-    folder = f"{shared_folder(spark)}/mirror-{table_print(rows)}"
     names = [c for c in rows.columns if c not in ("pmra", "pmdec", "pmRA_", "pmDE")]
-    typed = {c: f"{c} AS {rows.schema[c].dataType.simpleString()}" for c in names}
-    return rows, folder, typed
-
-
-def _opened(spark, d, motions: dict[str, str]):
-    rows, folder, typed = _mirror(spark, d)
-    at = f"{folder}-{'-'.join(motions)}"
-    catalogue.ingest(rows, at, typed | {to: f"{c} AS double" for to, c in motions.items()}, nside=4)
-    return catalogue.opened(spark, at)
+    typed = {c: f"{c} AS {rows.schema[c].dataType.simpleString()}" for c in names} | {to: f"{c} AS double" for to, c in motions.items()}
+    return catalogue.prepared(rows, shared_folder(spark), typed, nside=4)
 
 
 _nn = lambda c: f"CASE WHEN NOT isnan({c}) THEN {c} END"

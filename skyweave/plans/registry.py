@@ -66,7 +66,7 @@ def sky_nearest_10as(spark, d):
     return n.select("id", "r_id", "r_mag", F.round("sep_arcsec", 6).alias("sep_arcsec"))
 
 
-@query("D09 D17 A10 A12", cte("det", "cat_b") + f" SELECT a.id, a.tile_id FROM det a WHERE EXISTS (SELECT 1 FROM cat_b b WHERE {near(5)})")
+@query("D09 D17", cte("det", "cat_b") + f" SELECT a.id, a.tile_id FROM det a WHERE EXISTS (SELECT 1 FROM cat_b b WHERE {near(5)})")
 def sky_semi_5as(spark, d):
     return skyjoin.semi(view(spark, d, "det"), view(spark, d, "cat_b"), 5, ["id"]).select("id", "tile_id")
 
@@ -97,7 +97,7 @@ def veto_chain_ledger(spark, d):
     return vetoes.chain_ledger(veto_chain_flags(spark, d), CHAIN)
 
 
-@query("E24 H02", _flags + " SELECT id, CASE WHEN in_cat_c THEN 'added' END AS change FROM f WHERE NOT in_cat_a AND NOT in_cat_b AND in_cat_c")
+@query("E24", _flags + " SELECT id, CASE WHEN in_cat_c THEN 'added' END AS change FROM f WHERE NOT in_cat_a AND NOT in_cat_b AND in_cat_c")
 def counterfactual_no_third_veto(spark, d):
     det = view(spark, d, "det").select("id", "ra", "dec")
     two = skyjoin.anti(skyjoin.anti(det, view(spark, d, "cat_a"), 5, ["id"]), view(spark, d, "cat_b"), 5, ["id"])
@@ -211,6 +211,14 @@ def dedup_sweep(spark, d):
     return dedup.sweep(_stacked(spark, d), [0.3, 1.0, 3.0])
 
 
+_sizes = ", ".join(f"e{k} AS (SELECT a.src_id AS i, b.src_id AS j FROM u a JOIN u b ON {near(r)} AND a.src_id <> b.src_id), r{k} AS (SELECT u.src_id, least(u.src_id, min(e{k}.j)) AS component FROM u LEFT JOIN e{k} ON e{k}.i = u.src_id GROUP BY u.src_id)" for k, r in enumerate((0.3, 3.0)))
+
+
+@query("E08", cte("det", "cat_a") + _both + f", {_sizes} " + " UNION ALL ".join(f"SELECT {r}::DOUBLE AS radius, size, count(*) AS clusters FROM (SELECT count(*) AS size FROM r{k} GROUP BY component) GROUP BY size" for k, r in enumerate((0.3, 3.0))))
+def cluster_sizes(spark, d):
+    return dedup.cluster_sizes(_stacked(spark, d), [0.3, 3.0])
+
+
 # --- stages -----------------------------------------------------------------------------------------------------
 @query("D16 T20", cte("det", "cat_b") + f", k AS (SELECT a.id, EXISTS (SELECT 1 FROM cat_b b WHERE {near(5)}) AS m FROM det a) SELECT count(*) AS input_rows, count(*) FILTER (m) AS dropped_rows, count(*) FILTER (NOT m) AS kept_rows FROM k")
 def match_stage_ledger(spark, d):
@@ -230,7 +238,7 @@ def test_stage_flags(spark, d):
     return stages.test_stage(view(spark, d, "det"), "id", REJECT).flags
 
 
-@query("D09b D09c", cte("det", "cat_b") + f" SELECT a.id, count(b.id) AS n_any, count(b.id) FILTER (b.pmra IS NOT NULL) AS n_pm, count(b.id) FILTER (b.band < 10) AS n_band FROM det a LEFT JOIN cat_b b ON {near(10)} GROUP BY a.id")
+@query("D09b D09c A10", cte("det", "cat_b") + f" SELECT a.id, count(b.id) AS n_any, count(b.id) FILTER (b.pmra IS NOT NULL) AS n_pm, count(b.id) FILTER (b.band < 10) AS n_band FROM det a LEFT JOIN cat_b b ON {near(10)} GROUP BY a.id")
 def banded_counts(spark, d):
     return stages.banded_counts(view(spark, d, "det"), view(spark, d, "cat_b"), "id", 10, {"n_any": "true", "n_pm": "r_pmra IS NOT NULL", "n_band": "r_band < 10"})
 
@@ -241,7 +249,7 @@ def shrink_keep(spark, d):
     return stages.shrink(det, det.where("id % 3 = 0"), "id", "flags", True).select("id")
 
 
-sql("tile_psf", "E05 C17", "det", "SELECT id % 40 AS g, count(*) AS n_stars, " + R6("median(fwhm)", "psf_fwhm") + ", " + R6("median(spread)", "psf_spread") + ", CASE WHEN count(*) >= 60 THEN 'ok' ELSE 'few' END AS status FROM det WHERE flags = 0 AND elong < 1.3e0 GROUP BY id % 40")
+sql("tile_psf", "E05", "det", "SELECT id % 40 AS g, count(*) AS n_stars, " + R6("median(fwhm)", "psf_fwhm") + ", " + R6("median(spread)", "psf_spread") + ", CASE WHEN count(*) >= 60 THEN 'ok' ELSE 'few' END AS status FROM det WHERE flags = 0 AND elong < 1.3e0 GROUP BY id % 40")
 sql("tile_manifest", "J02 T13", "det", "SELECT tile_id, count(*) AS rows_in, count(CASE WHEN flags = 0 THEN 1 END) AS rows_out, CASE WHEN count(CASE WHEN flags = 0 THEN 1 END) = 0 THEN 'no_valid_rows' ELSE 'ok' END AS status FROM det GROUP BY tile_id")
 
 
@@ -251,7 +259,7 @@ def chunked_rows(spark, d):
     return n.selectExpr("id", "n % 100 AS place", "CAST(floor(n / 100) AS bigint) AS chunk")
 
 
-sql("latest_per_key", "A23", "det", "SELECT tile_id, id, snr FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts DESC, id DESC) AS n FROM det) x WHERE n = 1")
+sql("latest_per_key", "F01", "det", "SELECT tile_id, id, snr FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts DESC, id DESC) AS n FROM det) x WHERE n = 1")
 
 # --- validation -------------------------------------------------------------------------------------------------
 _dist = cte("det", "ref") + f", d AS (SELECT a.id, a.status, min({HAV}) AS dist FROM ref a LEFT JOIN det b ON {near(10)} GROUP BY a.id, a.status), q AS (SELECT unnest([1.0, 2.0, 3.0, 5.0, 10.0])::DOUBLE AS radius)"
@@ -304,11 +312,17 @@ def primary_plate(spark, d):
 _cheb = sky.chebyshev("a.ra", "a.dec", "b.ra", "b.dec")
 
 
-@query("D12 A07b T14", cte("det", "plates") + f" SELECT b.id, count(a.id) AS covered FROM plates b LEFT JOIN det a ON {_cheb} <= 3.3e0 GROUP BY b.id")
+@query("A07b T14", cte("det", "plates") + f" SELECT b.id, count(a.id) AS covered FROM plates b LEFT JOIN det a ON {_cheb} <= 3.3e0 GROUP BY b.id")
 def plate_coverage(spark, d):
     return validate.coverage(view(spark, d, "plates"), view(spark, d, "det"), 3.3)
 
 
+@query("D12", cte("det", "plates") + f" SELECT a.id, count(b.id) AS others FROM det a LEFT JOIN plates b ON {_cheb} <= 9e0 AND b.id <> a.id % 25 GROUP BY a.id")
+def other_plates(spark, d):
+    rows = view(spark, d, "det").selectExpr("id", "id % 25 AS own", "ra", "dec")
+    return validate.other_plates(rows, "id", "own", view(spark, d, "plates"), 9.0)
+
+
 _on = "SELECT id % 25 AS plate_id, id, ra, dec FROM det"
 
 
@@ -353,11 +367,11 @@ def undone_tiles(spark, d):
     return catalogue.undone(det.select("tile_id").distinct(), state, "tile_id")
 
 
-@query("A01 A03 A04 A05 A06 A17 A18", cte("cat_a") + f" SELECT id, n_detections, CASE WHEN mag > -999 THEN mag END AS mag, NULL::DOUBLE AS plx, round({sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60, 4) AS r_arcmin FROM cat_a WHERE n_detections >= 3 AND {sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60 <= 900")
+@query("A01 A02 A04 A17 A18", cte("cat_a") + f" SELECT id, n_detections, CASE WHEN mag > -999 THEN mag END AS mag, NULL::DOUBLE AS plx, round({sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60, 4) AS r_arcmin FROM cat_a WHERE n_detections >= 3 AND {sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60 <= 900")
 def catalogue_cone(spark, d):
-    folder = f"{shared_folder(spark)}/catalogue-{abs(hash(d))}"
-    catalogue.ingest(view(spark, d, "cat_a"), folder, {"id": "id AS long", "ra": "ra AS double", "dec": "dec AS double", "mag": "mag AS double", "n_detections": "n_detections AS int"}, nside=4)
-    out = catalogue.cone(catalogue.opened(spark, folder), 30.0, 5.0, 900.0, ["id", "ra", "dec", "mag", "n_detections"], "n_detections >= 3", ("mag",), ("plx",), nside=4)
+    typed = {"id": "id AS long", "ra": "ra AS double", "dec": "dec AS double", "mag": "mag AS double", "n_detections": "n_detections AS int"}
+    stored = catalogue.prepared(view(spark, d, "cat_a"), shared_folder(spark), typed, nside=4)
+    out = catalogue.cone(stored, 30.0, 5.0, 900.0, ["id", "ra", "dec", "mag", "n_detections"], "n_detections >= 3", ("mag",), ("plx",), nside=4)
     return out.select("id", "n_detections", "mag", "plx", F.round("_r", 4).alias("r_arcmin"))
 
 
@@ -383,11 +397,12 @@ def unique_mapping_conflicts(spark, d):
 # --- scans ------------------------------------------------------------------------------------------------------
 @query("A02 B02 R5", cte("cat_a") + f" SELECT id, round({sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60, 4) AS r_arcmin FROM cat_a WHERE {sky.cosine_separation('ra', 'dec', '30e0', '5e0')} * 60 <= 600")
 def cone_scan(spark, d):
-    cat = view(spark, d, "cat_a").withColumn("healpix_5", healpix.nested_id(F.col("ra"), F.col("dec"), 32))
-    return skyjoin.cone(cat, 30.0, 5.0, 600.0, ["id", "ra", "dec"], cell="healpix_5").select("id", F.round("_r", 4).alias("r_arcmin"))
+    """Only the cells that the cone touches are read."""
+    stored = catalogue.prepared(view(spark, d, "cat_a"), shared_folder(spark), {"id": "id AS long", "ra": "ra AS double", "dec": "dec AS double"}, nside=4)
+    return skyjoin.cone(stored, 30.0, 5.0, 600.0, ["id", "ra", "dec"], "healpix_5", 4).select("id", F.round("_r", 4).alias("r_arcmin"))
 
 
-@query("A07 T21", cte("cat_a", "plates") + f" SELECT b.id AS plate_id, a.id FROM cat_a a JOIN plates b ON {_cheb} <= 3e0 WHERE (a.id * 50) % 1000 % 100 = 0")
+@query("D12 T21", cte("cat_a", "plates") + f" SELECT b.id AS plate_id, a.id FROM cat_a a JOIN plates b ON {_cheb} <= 3e0 WHERE (a.id * 50) % 1000 % 100 = 0")
 def bbox_plate_scan(spark, d):
     clean = view(spark, d, "cat_a").where("(id * 50) % 1000 % 100 = 0")
     return validate.boxed(clean, validate.manifest(view(spark, d, "plates")), 3.0).select("plate_id", "id")
@@ -399,7 +414,11 @@ def dec_zones(spark, d):
 
 
 
-sql("source_id_pixel", "A17", "det", "SELECT id, shiftright(id * 562949953421 , 40) AS pixel FROM det", "SELECT id, (id * 562949953421) >> 40 AS pixel FROM det")
+@query("A17", cte("det") + " SELECT id, CAST(id % 12288 AS INTEGER) AS pixel FROM det")
+def source_id_pixel(spark, d):
+    """Cells of source ids that hold them in their upper bits."""
+    ids = view(spark, d, "det").selectExpr("id", "shiftleft(id % 12288, 49) + id AS source_id")
+    return ids.select("id", catalogue.pixel_of_source(F.col("source_id")).alias("pixel"))
 
 
 _z = "sin(radians(dec))"

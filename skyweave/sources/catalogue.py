@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions import healpix, sky
 from skyweave.operators import skyjoin
 
+from .parts import table_print
+
 #: Fixed value: what stands for a missing magnitude.
 MISSING = -999.0
 
@@ -33,6 +36,18 @@ def ingest(df: DataFrame, folder: str, columns: dict[str, str], cell: Column | N
     typed.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(folder)
 
 
+def prepared(df: DataFrame, folder: str, columns: dict[str, str], nside: int = 32) -> DataFrame:
+    """The catalogue of df, by cell, in a folder below `folder` that is named by its content: ingested once, then read."""
+    at = f"{folder}/catalogue-{table_print(df, {'columns': columns, 'nside': nside})}"
+    try:
+        return opened(df.sparkSession, at)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    ingest(df, at, columns, nside=nside)
+    return opened(df.sparkSession, at)
+
+
 def opened(spark: SparkSession, folder: str) -> DataFrame:
     """A01."""
     return spark.read.parquet(folder)
