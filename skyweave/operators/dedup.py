@@ -11,6 +11,9 @@ from .components import connected_components
 from .skyjoin import pairs
 
 
+ALONE = 200_000  #: pairs whose components one task joins; more go by rounds
+
+
 def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """F01."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
@@ -24,7 +27,7 @@ def self_pairs(df: DataFrame, radius: float) -> DataFrame:
 
 def dedup(df: DataFrame, radius: float) -> DataFrame:
     """Each row with its representative, the smallest src_id of its component (lexicographic)."""
-    roots = connected_components(self_pairs(df, radius).select(F.col("src_id").alias("src"), F.col("r_src_id").alias("dst")))
+    roots = connected_components(self_pairs(df, radius).select(F.col("src_id").alias("src"), F.col("r_src_id").alias("dst")), alone=ALONE)
     named = df.join(roots.withColumnRenamed("id", "src_id"), "src_id", "left")
     return named.withColumn("component", F.coalesce("component", "src_id")).withColumn("kept", F.col("component") == F.col("src_id"))
 
@@ -43,7 +46,7 @@ def cluster_sizes(df: DataFrame, radii: list[float], found: DataFrame | None = N
     rows = df.select("src_id").distinct()
     for r in radii:
         near = found.where(F.col("sep_arcsec") <= r)
-        roots = connected_components(near.select(F.col("src_id").alias("src"), F.col("r_src_id").alias("dst")))
+        roots = connected_components(near.select(F.col("src_id").alias("src"), F.col("r_src_id").alias("dst")), alone=ALONE)
         size = roots.groupBy("component").agg(F.count("*").alias("size"))
         alone = rows.join(roots.select(F.col("id").alias("src_id")), "src_id", "left_anti").select(F.lit(1).cast("long").alias("size"))
         one = size.select("size").union(alone).groupBy("size").agg(F.count("*").alias("clusters")).select(F.lit(float(r)).alias("radius"), "size", "clusters")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyweave.operators import fit, funnel, segment, skyjoin, stages
 
 from skyweave.operators import filters
-from skyweave.sources import chunks, ecsv, parts, upsert
+from skyweave.sources import catalogue, chunks, ecsv, export, parts, upsert
 from skyweave.sources.shared import shared_folder, written
 from skyweave.sources.views import cte, view
 
@@ -169,3 +169,36 @@ def text_tables(spark, d):
     rows = view(spark, d, "det").selectExpr("id", "tile_id", "ra", "src_id", "CASE WHEN id % 3 > 0 THEN spread END AS spread", "flags > 1 AS bad")
     rows.write.format("ecsv").mode("overwrite").save(folder)
     return ecsv.read_ecsv(spark, f"{folder}/*.ecsv").withColumn("ra", F.round("ra", 9))
+
+
+@query("A19", cte("cat_a") + " SELECT CAST(least(floor((dec + 90) / 0.5e0), 359) AS INTEGER) AS zone, count(*) AS n, 1 AS files, min(id) AS first_id FROM cat_a GROUP BY 1")
+def zone_files(spark, d):
+    """A catalogue written by declination zone, a file each, and read back."""
+    folder = _new_folder(spark, "zones")
+    catalogue.ingest(view(spark, d, "cat_a"), folder, {"id": "id AS long", "ra": "ra AS double", "dec": "dec AS double"}, catalogue.dec_zone(F.col("dec"), 0.5), name="zone")
+    back = catalogue.opened(spark, folder).withColumn("file", F.input_file_name())
+    return back.groupBy(F.col("zone").cast("int").alias("zone")).agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"), F.min("id").alias("first_id"))
+
+
+@query("A20", cte("det") + " SELECT kind, id, round(ra, 6) AS ra, flags, n_values FROM det, (VALUES ('csv', NULL), ('parquet', 2)) k(kind, n_values)")
+def exported_catalogue(spark, d):
+    """What an export to both forms holds: text without the column of arrays, Parquet with it."""
+    folder = _new_folder(spark, "export")
+    export.export(view(spark, d, "det").selectExpr("id", "ra", "flags", "array(dx, dy) AS cut"), folder, "both")
+    text = spark.read.option("header", True).schema("id long, ra double, flags long").csv(f"{folder}/catalogue.csv")
+    table = spark.read.parquet(f"{folder}/catalogue.parquet").select("id", "ra", "flags", F.size("cut").alias("n_values"))
+    both = text.select(F.lit("csv").alias("kind"), "*").unionByName(table.select(F.lit("parquet").alias("kind"), "*"), allowMissingColumns=True)
+    return both.select("kind", "id", F.round("ra", 6).alias("ra"), "flags", "n_values")
+
+
+_facts = "SELECT 'rows_in' AS name, CAST(count(*) AS VARCHAR) AS value FROM det UNION ALL SELECT 'kept', CAST(count(*) FILTER (flags = 0) AS VARCHAR) FROM det UNION ALL SELECT 'note', 'a \"quoted\" text' UNION ALL SELECT 'tiles', CAST(count(DISTINCT tile_id) AS VARCHAR) FROM det"
+
+
+@query("A29", cte("det") + f", f AS ({_facts}) SELECT '{{' || string_agg('\"' || name || '\":\"' || replace(value, '\"', '\\\"') || '\"', ',' ORDER BY name) || '}}' AS json, '| name | value |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || name || ' | ' || value || ' |', chr(10) ORDER BY name) AS markdown FROM f")
+def run_summary(spark, d):
+    """Facts of a run, with keys that are merged in later."""
+    det = view(spark, d, "det")
+    rows = det.agg(F.count("*").alias("rows_in"), F.count(F.when(F.col("flags") == 0, 1)).alias("kept"), F.lit("old").alias("note"))
+    first = rows.select(F.explode(F.create_map(*(x for c in rows.columns for x in (F.lit(c), F.col(c).cast("string"))))).alias("name", "value"))
+    more = det.agg(F.count_distinct("tile_id").cast("string").alias("n")).select(F.explode(F.create_map(F.lit("tiles"), F.col("n"), F.lit("note"), F.lit('a "quoted" text'))).alias("name", "value"))
+    return export.summary_texts(export.merged_facts(first, more))

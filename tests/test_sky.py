@@ -43,6 +43,11 @@ def test_components_of_long_chain_and_empty(spark):
     got = {r.id: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100}
     assert connected_components(edges.limit(0)).count() == 0
+    rng = random.Random(1)
+    texts = spark.createDataFrame([(f"n{rng.randint(0, 300)}", f"n{rng.randint(0, 300)}") for _ in range(220)] + [(None, "x")], "src string, dst string")
+    rounds = sorted(map(tuple, connected_components(texts).collect()))
+    assert rounds == sorted(map(tuple, connected_components(texts, alone=1000).collect())) and len({c for _, c in rounds}) > 10
+    assert connected_components(edges.limit(0), alone=10).count() == 0
 
 
 def test_zero_mad_keeps_all(spark):
