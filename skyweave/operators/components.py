@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", a
     seen = mark(e)
     if seen["n"] <= alone:
         kind = e.schema["u"].dataType.simpleString()
-        return e.groupBy(F.lit(0)).applyInArrow(_joined_up, f"id {kind}, component {kind}")
+        return e.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_joined_up, f"id {kind}, component {kind}")
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
