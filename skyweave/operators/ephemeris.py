@@ -17,15 +17,16 @@ from . import cells
 
 
 def segments(table: DataFrame, body: str = "body_id", longest: float | None = None) -> DataFrame:
-    """(body, t0, ra0, dec0, t1, ra1, dec1) of a table (body, t, ra, dec); ra1 continues ra0 over 0 and 360 degrees.
+    """(body, t0, ra0, dec0, t1, ra1, dec1, closed) of a table (body, t, ra, dec); ra1 continues ra0 over 0 and 360 degrees.
 
     Rows without a time or position are left out; of rows of one body and time the first by position counts. A gap
-    of more than `longest` days is no segment: nothing is known there.
+    of more than `longest` days is no segment: nothing is known there. closed: no segment follows at t1, which then counts.
     """
     known = table.where("t IS NOT NULL AND ra IS NOT NULL AND dec IS NOT NULL").groupBy(body, "t").agg(F.min(F.struct("ra", "dec")).alias("p"))
-    nxt = F.lead(F.struct("t", "p.ra", "p.dec")).over(Window.partitionBy(body).orderBy("t"))
-    s = known.select(body, F.col("t").alias("t0"), F.col("p.ra").alias("ra0"), F.col("p.dec").alias("dec0"), nxt.alias("n")).where("n IS NOT NULL")
-    s = s.select(body, "t0", "ra0", "dec0", F.col("n.t").alias("t1"), F.expr(f"ra0 + {sky.wrap180('n.ra - ra0')}").alias("ra1"), F.col("n.dec").alias("dec1"))
+    w = Window.partitionBy(body).orderBy("t")
+    s = known.select(body, F.col("t").alias("t0"), F.col("p.ra").alias("ra0"), F.col("p.dec").alias("dec0"), F.lead(F.struct("t", "p.ra", "p.dec")).over(w).alias("n"), F.lead("t", 2).over(w).alias("then")).where("n IS NOT NULL")
+    s = s.withColumn("closed", F.col("then").isNull() if longest is None else F.coalesce(F.col("then") - F.col("n.t") > longest, F.lit(True)))
+    s = s.select(body, "t0", "ra0", "dec0", F.col("n.t").alias("t1"), F.expr(f"ra0 + {sky.wrap180('n.ra - ra0')}").alias("ra1"), F.col("n.dec").alias("dec1"), "closed")
     return s if longest is None else s.where(F.col("t1") - F.col("t0") <= longest)
 
 
@@ -38,7 +39,7 @@ def positions(rows: DataFrame, key: str, paths: DataFrame, reach: float, body: s
     """Rows (key, ra, dec, mjd) with the bodies within `reach` arcsec at their epoch: key, body, r_ra, r_dec, sep_arcsec.
 
     `days` is the length of a time bucket, `width` the size of a cell in degrees. A time at which two segments meet
-    belongs to the later one; the end of the last counts too.
+    belongs to the later one.
     """
     bucket = lambda t: f"CAST(floor({t}/{days!r}) AS BIGINT)"
     asked = rows.where("ra IS NOT NULL AND dec IS NOT NULL AND mjd IS NOT NULL").selectExpr(key, "ra", "dec", "mjd", f"{bucket('mjd')} AS _time", f"{cells.own('ra', 'dec', width)} AS _cell")
@@ -50,9 +51,7 @@ def positions(rows: DataFrame, key: str, paths: DataFrame, reach: float, body: s
     wide = f"least(180e0, {pad!r}/greatest(1e-3, cos(radians(least(90e0, greatest(abs({sides[1][0]}), abs({sides[1][1]}))+{pad!r})))))"
     near = cells.touched(f"{sides[0][0]}-{wide}", f"{sides[0][1]}+{wide}", f"{sides[1][0]}-{pad!r}", f"{sides[1][1]}+{pad!r}", width)
     parted = parted.withColumn("_cell", F.explode(F.expr(near)))
-    last = paths.groupBy(body).agg(F.max("t1").alias("_end"))
-    met = asked.join(parted, ["_time", "_cell"]).where("mjd >= t0 AND mjd <= t1")
-    met = met.join(last, body).where("mjd < t1 OR t1 = _end")
+    met = asked.join(parted, ["_time", "_cell"]).where("mjd >= t0 AND (mjd < t1 OR mjd = t1 AND closed)")
     ra, dec = _at("mjd")
     met = met.selectExpr(key, body, "ra", "dec", f"{sky.wrap360(ra)} AS r_ra", f"{dec} AS r_dec")
     return met.withColumn("sep_arcsec", F.expr(sky.haversine("ra", "dec", "r_ra", "r_dec"))).where(F.col("sep_arcsec") <= reach).select(key, body, "r_ra", "r_dec", "sep_arcsec")
