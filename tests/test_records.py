@@ -1,5 +1,6 @@
 import csv
 import glob
+import json
 import os
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyweave.operators import fit, funnel, segment, skyjoin
-from skyweave.sources import chunks, ecsv, upsert
+from skyweave.sources import chunks, ecsv, export, upsert
 
 
 def greedy(sizes, most, rows):
@@ -227,3 +228,12 @@ def test_header_of_text_tables(spark, tmp_path):
         ecsv.parse_header(["# - {name: a, datatype: complex128}"])
     with pytest.raises(ValueError):
         ecsv.parse_header(["# nothing"])
+
+
+def test_summary_with_keys_merged_in(spark, tmp_path):
+    facts = lambda rows: spark.createDataFrame(rows, "name string, value string")
+    merged = export.merged_facts(facts([("rows", "10"), ("note", "old")]), facts([("note", 'a "new" one'), ("tiles", "3")]))
+    export.write_summary(merged, str(tmp_path))
+    texts = {n: "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/summary.{n}").collect()) for n in ("json", "md")}
+    assert json.loads(texts["json"]) == {"rows": "10", "note": 'a "new" one', "tiles": "3"}
+    assert texts["md"].splitlines()[2:] == ['| note | a "new" one |', "| rows | 10 |", "| tiles | 3 |"]
