@@ -82,8 +82,13 @@ def _value(text: str, kind):
     return float(text) if isinstance(kind, FloatType | DoubleType) else int(text)
 
 
+def _local(path: str) -> str:
+    """A path of this machine, of which Spark may have made file:/ or file:///."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
+    path = _local(path)
     found = sorted(glob.glob(f"{path}/*.ecsv")) if os.path.isdir(path) else [path]
     if not found:
         raise ValueError(f"no files in {path}")
@@ -150,7 +155,7 @@ class EcsvWriter(DataSourceWriter):
     """A file for each task, under a name that is not read until the job is done."""
 
     def __init__(self, path: str, schema: StructType, overwrite: bool):
-        self.path, self.schema, self.overwrite = path.removeprefix("file://"), schema, overwrite
+        self.path, self.schema, self.overwrite = _local(path), schema, overwrite
         self.job = uuid.uuid4().hex
 
     def write(self, iterator):
