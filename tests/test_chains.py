@@ -4,7 +4,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.functions import sky
 from skyweave.operators import boxes, cells, chain, ephemeris
 from skyweave.operators import post_stages as post
 from skyweave.sources import parts
