@@ -6,9 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-
 from skyweave.operators import filters, fit, funnel, segment, skyjoin
-
 from skyweave.sources import catalogue, chunks, ecsv, export, parts, upsert
 from skyweave.sources.shared import shared_folder, written
 from skyweave.sources.views import cte, view
