@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_passing: ContextVar[list[str] | None] = ContextVar("tables written for the result that is being built", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session names it; without it the folder of the session's warehouse, which is shared
     by definition."""
@@ -19,4 +24,22 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skyweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (noted := _passing.get()) is not None:
+        noted.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """build()'s rows as a table. What build() wrote on the way goes once that table is whole, so that a chain of
+    operators holds the results of its steps and not all tables between them."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        df = build()
+    finally:
+        _passing.reset(token)
+    out = written(df)
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
