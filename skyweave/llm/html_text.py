@@ -7,17 +7,18 @@ points: then it is a wrapper, and its points are only discounted if it was found
 points (one, one for each comma, up to three for its length) to its container, half to the one above and less further
 up; a container's points are discounted by the share of its text inside links. The container with the most points is
 taken, or the article or main element around it, and with it siblings that have a good part of its points or are text
-with few links. Their blocks are the text, in page order, without what is mostly links outside the container or between
+with few links, and other articles of text with few links. A page's header goes with its headings, as a site's name often is one. Their blocks are the text, in page order, without what is mostly links outside the container or between
 neighbours that are mostly links, too.
 
 Null html counts as empty; a page without points gives the text of its article, main or body element; a broken page is
-read as far as its tags go (an unclosed element ends with its parent). Rows are independent of each other: repeated
+read as far as its tags go (an unclosed element ends with its parent, an unclosed script or style with the page). Rows are independent of each other: repeated
 rows, null ids and urls pass through, an empty table gives an empty result, other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -29,7 +30,8 @@ MARKS = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden|aria-labe
 #: HTML elements by what they do here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = set("script style noscript template textarea title iframe svg math select canvas object audio video button".split())
+RAW = set("script style noscript template textarea title iframe svg select canvas object audio video button annotation annotation-xml".split())
+TO_THE_END = set("script style textarea title iframe noscript".split())
 NEVER = set("nav aside footer dialog menu head".split())
 FORMS = {"form", "fieldset"}
 ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": BLOCK - {"p"}}
@@ -76,6 +78,9 @@ def parse(html: str):
     stack, blocks, buffer = [0], [], []
     linked, state = [0], {"links": 0, "bad": 0}
     inline: list[str] = []
+    within = [False]  # of each element whether it is an article or main element or inside one
+    opened: Counter[str] = Counter({"html": 1})
+    endless: set[str] = set()
 
     def flush():
         if buffer:
@@ -87,7 +92,9 @@ def parse(html: str):
 
     def pop():
         flush()
-        if unwanted[stack.pop()]:
+        k = stack.pop()
+        opened[tags[k]] -= 1
+        if unwanted[k]:
             state["bad"] -= 1
         state["links"] = 0
         inline.clear()
@@ -117,7 +124,7 @@ def parse(html: str):
                 while inline and inline.pop() != tag:
                     pass
                 state["bad"] -= 1
-            elif tag in BLOCK:
+            elif tag in BLOCK and opened[tag]:
                 stop = ENDS.get(tag, ())
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == tag:
@@ -128,9 +135,14 @@ def parse(html: str):
                         break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at) if not m[3].rstrip().endswith("/") else None
-            if end:
-                at = end.end()
+            if not m[3].rstrip().endswith("/") and tag not in endless:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    at = size
+                else:
+                    endless.add(tag)
             if tag in ("iframe", "button", "select", "textarea", "video", "object"):
                 put(" ")
             continue
@@ -151,10 +163,10 @@ def parse(html: str):
         flush()
         if tags[stack[-1]] == "p":
             pop()
-        if tag == "body" and "head" in (tags[k] for k in stack):
+        if tag == "body" and opened["head"]:
             while tags[stack[-1]] != "html":
                 pop()
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] in CLOSES[tag]:
                     while len(stack) > k:
@@ -162,13 +174,15 @@ def parse(html: str):
                     break
                 if tags[stack[k]] in ENDS[tag]:
                     break
-        in_article = any(tags[k] in ("article", "main") for k in stack)
+        in_article = within[stack[-1]]
+        within.append(in_article or tag in ("article", "main"))
         bad = _unwanted(tag, m[3], in_article)
         doubtful.append(_doubtful(tag, m[3], in_article))
         parent.append(stack[-1])
         tags.append(tag)
         unwanted.append(bad)
         state["bad"] += bad
+        opened[tag] += 1
         stack.append(len(tags) - 1)
     flush()
     return parent, tags, doubtful, blocks
@@ -185,12 +199,13 @@ def _judged(parent: list[int], tags: list[str], doubtful: list[bool], blocks: li
     if not any(doubtful):
         return gone, weight
     for node, text, inside in blocks:
-        gain, k = _gain(text, inside), node
+        gain = _gain(text, inside)
         whole += gain
-        while k >= 0:
-            filled[k] = True
-            held[k] += gain
-            k = parent[k]
+        filled[node] = True
+        held[node] += gain
+    for k in range(n - 1, 0, -1):  # elements come after the ones they are in
+        filled[parent[k]] |= filled[k]
+        held[parent[k]] += held[k]
     first = next((k for k in range(n) if tags[k] in ("article", "main") and filled[k]), None)
     around = set()
     k = first
@@ -227,21 +242,25 @@ def main_text(html: str | None) -> str:
     gone, weight = _judged(parent, tags, doubtful, blocks)
     blocks = [b for b in blocks if not gone[b[0]]]
     n = len(tags)
-    points, chars, links = [0.0] * n, [0] * n, [0] * n
+    points, far, chars, links = [0.0] * n, [0.0] * n, [0] * n, [0] * n
     for node, text, inside in blocks:
-        k = node
-        while k >= 0:
-            chars[k] += len(text)
-            links[k] += inside
-            k = parent[k]
+        chars[node] += len(text)
+        links[node] += inside
         if len(text) < PARAGRAPH:
             continue
         gain = _gain(text, inside) * weight[node]
         k = node if tags[node] in ("div", "section", "article", "main", "body", "html", "td") else parent[node]
-        level = 0
-        while k >= 0:
-            points[k] += gain / (1, 2, 6, 9, 12)[min(level, 4)]
-            k, level = parent[k], level + 1
+        for share in (1, 2, 6, 9):
+            if k >= 0:
+                points[k] += gain / share
+                k = parent[k]
+        if k >= 0:
+            far[k] += gain / 12  # and as much to all above
+    for k in range(n - 1, -1, -1):
+        points[k] += far[k]
+        if k:
+            for sums in (far, chars, links):
+                sums[parent[k]] += sums[k]
     density = [links[k] / chars[k] if chars[k] else 0.0 for k in range(n)]
     score = [points[k] * (1 - density[k]) for k in range(n)]
     best = max(range(n), key=lambda k: (score[k], -k))
@@ -254,34 +273,28 @@ def main_text(html: str | None) -> str:
             around = around if around is not None and tags[k] == "main" else k
         k = parent[k]
     kept = {best if around is None else around}
+    if around is not None and tags[around] == "article":
+        # other articles of text beside it, not those inside one
+        kept |= {k for k in range(n) if tags[k] == "article" and score[k] > 0 and density[k] < FEW}
     if around is None and parent[best] >= 0:
         for k in range(n):
-            if parent[k] == parent[best] and (score[k] >= max(4.0 * weight[best], 0.2 * score[best]) or (tags[k] in ("p", "h1", "h2", "blockquote", "pre") and chars[k] and density[k] < FEW)):
+            if parent[k] == parent[best] and (score[k] >= max(4.0 * weight[best], 0.2 * score[best]) or (tags[k] in ("p", "h1", "h2", "blockquote", "pre") and chars[k] and density[k] < FEW) or (tags[k] == "section" and score[k] > 0 and density[k] < FEW)):
                 kept.add(k)
     near = _neighbours(parent, chars)
+    under = [False] * n  # inside the container
+    for k in range(1, n):
+        under[k] = under[parent[k]] or parent[k] == best
 
     def links_only(k: int) -> bool:
         """Mostly links, and outside the container or between neighbours that are, too."""
         if tags[k] not in ("ul", "ol", "div", "section", "table", "dl", "p") or density[k] <= DENSE:
             return False
-        up = parent[k]
-        while up >= 0 and up != best:
-            up = parent[up]
-        return up < 0 or (bool(near[k]) and all(density[x] > DENSE for x in near[k]))
+        return not under[k] or (bool(near[k]) and all(density[x] > DENSE for x in near[k]))
 
-    out = []
-    for node, text, _ in blocks:
-        k, ok = node, False
-        while k >= 0:
-            if k in kept:
-                ok = True
-                break
-            if links_only(k):
-                break
-            k = parent[k]
-        if ok:
-            out.append(text)
-    return " ".join(out)
+    stays = [False] * n
+    for k in range(n):
+        stays[k] = k in kept or (k > 0 and stays[parent[k]] and not links_only(k))
+    return " ".join(text for node, text, _ in blocks if stays[node])
 
 
 def extract(pages: DataFrame) -> DataFrame:
