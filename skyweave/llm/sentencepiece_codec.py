@@ -3,7 +3,8 @@
 Pieces and scores come from a public model file. White space markers (U+2581) stand for spaces, one before the text.
 No piece holds a marker after another character (checked when the model is read), so the best path of a text is that
 of its units, a run of markers with what follows; distinct units are solved once a task, many side by side: at every
-byte position all units' walks go through the trie together. A character that no piece covers becomes byte pieces with
+byte position all units' walks go through the trie together; in a unit of more than LONG bytes the walks from all its
+positions do. A character that no piece covers becomes byte pieces with
 a score below all others; so does a marker in the text itself, which makes decoding exact.
 
 Null text counts as empty (no pieces). Rows are independent: repeated rows and null ids pass through; an empty table
@@ -24,9 +25,7 @@ from .common import plain
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-KNOWN, TOGETHER = 400_000, 4096
-#: Private-use characters, one of which stands for a marker in the text while units are cut.
-HELD = [chr(c) for c in range(0xE000, 0xF900)]
+KNOWN, TOGETHER, LONG, BLOCK = 400_000, 4096, 512, 1 << 16
 _models: dict[str, Model] = {}
 
 
@@ -56,6 +55,8 @@ class Model:
         self.build({p.encode(): i for p, i in words})
         self.text_of = [bytes([int(p[3:5], 16)]) if b else p.replace(MARK, " ").encode() for p, b in zip(self.pieces, self.is_byte, strict=True)]
         self.known: dict[str, tuple[bytes, float]] = {}
+        #: A marker of the text itself, as byte pieces.
+        self.own = self.byte_ids[list(MARK.encode())].astype("<u4").tobytes(), len(MARK.encode()) * self.fallback
 
     def build(self, words: dict[bytes, int]) -> None:
         children: list[dict[int, int]] = [{}]
@@ -140,34 +141,66 @@ class Model:
             out.append((np.array(ids[::-1], "<u4").tobytes(), float(best[k, len(u)])))
         return out
 
+    def solve_long(self, unit: bytes) -> tuple[bytes, float]:
+        """solve() of one long unit: the pieces that begin at BLOCK positions are looked up together, then the best path
+        goes through them."""
+        text = np.frombuffer(unit, np.uint8).astype(np.int64)
+        size = len(text)
+        width = np.array([1] * 128 + [1] * 64 + [2] * 32 + [3] * 16 + [4] * 16)
+        best, back, piece = [0.0] + [-np.inf] * size, [0] * (size + 1), [-1] * (size + 1)
+        for at in range(0, size, BLOCK):
+            live = np.arange(at, min(size, at + BLOCK))
+            after = np.minimum(live + width[text[live]], size).tolist()
+            node, d, found = np.zeros(len(live), np.int64), 0, []
+            while len(live):
+                ok = live + d < size
+                live, node = live[ok], node[ok]
+                to = self.base[node] + text[live + d] + 1
+                ok = self.check[to] == node
+                live, node, d = live[ok], to[ok], d + 1
+                hit = self.ids[node] >= 0
+                found.append(np.stack([live[hit], live[hit] + d, self.ids[node[hit]]]))
+            start, end, which = np.concatenate(found, 1)
+            order = np.argsort(start, kind="stable")  # shorter pieces first
+            first = np.searchsorted(start[order], np.arange(at, at + len(after) + 1)).tolist()
+            end, gain, which = end[order].tolist(), self.score[which[order]].tolist(), which[order].tolist()
+            for k, to in enumerate(after):
+                i, here = at + k, best[at + k]
+                if here == -np.inf:
+                    continue
+                score = here + self.fallback * (to - i)
+                if score > best[to]:
+                    best[to], back[to], piece[to] = score, i, -2
+                for e in range(first[k], first[k + 1]):
+                    score, to = here + gain[e], end[e]
+                    if score > best[to]:
+                        best[to], back[to], piece[to] = score, i, which[e]
+        ids, at = [], size
+        while at > 0:
+            start = back[at]
+            ids += [piece[at]] if piece[at] >= 0 else [int(self.byte_ids[c]) for c in reversed(unit[start:at])]
+            at = start
+        return np.array(ids[::-1], "<u4").tobytes(), float(best[size])
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
         """Ids and score of each text."""
         if len(self.known) > KNOWN:
             self.known.clear()
         cut = []
         for t in texts:
-            held = next(c for c in HELD if c not in t) if MARK in t else None
-            units = UNIT.findall(MARK + (t.replace(MARK, held) if held else t).replace(" ", MARK)) if t else []
-            cut.append([u.replace(held, MARK + "\x00") for u in units] if held else units)
-        new = sorted({u for units in cut for u in units if u not in self.known}, key=len)
+            parts = [UNIT.findall(MARK * (not k) + part.replace(" ", MARK)) for k, part in enumerate(t.split(MARK))] if t else [[]]
+            cut.append(parts[0] + [u for part in parts[1:] for u in (None, *part)])  # None: a marker of the text itself
+        new = sorted({u for units in cut for u in units if u is not None and u not in self.known}, key=len)
+        for u in [u for u in new if len(u.encode()) > LONG]:
+            self.known[u] = self.solve_long(u.encode())
+        new = [u for u in new if u not in self.known]
         for at in range(0, len(new), TOGETHER):
             part = new[at : at + TOGETHER]
             for a in range(0, len(part), max(1, min(TOGETHER, (4 << 20) // (4 * len(part[-1]) + 1)))):
                 some = part[a : a + max(1, min(TOGETHER, (4 << 20) // (4 * len(part[-1]) + 1)))]
-                self.known |= dict(zip(some, self._solved(some), strict=True))
-        return [(np.frombuffer(b"".join([self.known[u][0] for u in units]), "<u4"), sum(self.known[u][1] for u in units)) for units in cut]
-
-    def _solved(self, units: list[str]) -> list[tuple[bytes, float]]:
-        """solve(), with markers of the text itself (a marker and a zero character) as byte pieces."""
-        if not any(MARK + "\x00" in u for u in units):
-            return self.solve([u.encode() for u in units])
-        out = []
-        own = b"".join(np.array([self.byte_ids[c]], "<u4").tobytes() for c in MARK.encode())
-        for u in units:
-            parts = u.split(MARK + "\x00")
-            solved = [self.solve([p.encode()])[0] if p else (b"", 0.0) for p in parts]
-            out.append((own.join(s[0] for s in solved), sum(s[1] for s in solved) + 3 * self.fallback * (len(parts) - 1)))
-        return out
+                self.known |= dict(zip(some, self.solve([u.encode() for u in some]), strict=True))
+        found = [[self.own if u is None else self.known[u] for u in units] for units in cut]
+        return [(np.frombuffer(b"".join([f[0] for f in units]), "<u4"), sum(f[1] for f in units)) for units in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """Markers of pieces to spaces, byte pieces to bytes; the first space goes."""
