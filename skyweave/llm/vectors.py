@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 
 def valid() -> Column:
@@ -16,14 +17,17 @@ def valid() -> Column:
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    """Ids and components, as they are (float) or else in double precision."""
+    kind = embeddings.schema["embedding"].dataType
+    to = "array<float>" if isinstance(getattr(kind, "elementType", None), FloatType) else "array<double>"
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(to).alias("embedding"))
 
 
 def matrix(column, dim: int) -> np.ndarray:
-    """A list column of `dim` floats each as an array (n, dim)."""
+    """A list column of `dim` floats or doubles each as an array (n, dim)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def rotation(size: int, seed: int) -> np.ndarray:
