@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_key, mix64, modest_batches, partitions, release_memory, text_buffers, written
+from .common import mix64, modest_batches, partitions, plain, release_memory, text_buffers, written
 
 SEQUENCE, END = 4096, 2
 DIMS, BITS, SCALE = 4, 6, 0.12
@@ -174,15 +174,17 @@ def _keyed(path: str):
         directions = _directions()
         for batch in batches:
             for lo, hi, data, bounds in text_buffers(batch.column(1), TEXT_BYTES):
-                doc = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                doc = batch.column(0).slice(lo, hi - lo)
                 ids, ends = encoded(data, bounds, path)
                 n = np.diff(ends)
                 mean = np.stack([np.add.reduceat(directions[:, k][ids], ends[:-1]) for k in range(DIMS)], 1) / n[:, None]
                 cells = 1 << BITS
                 points = np.minimum((0.5 + 0.5 * np.tanh(mean / SCALE)) * cells, cells - 1)
-                key = (hilbert_key(points, BITS) << 28) | (mix64(doc.astype(np.uint64)) >> np.uint64(36)).astype(np.int64)
+                # rows without an id part by their place in the batch
+                name = np.where(doc.is_null().to_numpy(zero_copy_only=False), np.arange(lo, hi), doc.fill_null(0).to_numpy(zero_copy_only=False))
+                key = (hilbert_key(points, BITS) << 28) | (mix64(name.astype(np.uint64)) >> np.uint64(36)).astype(np.int64)
                 blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n), blobs], ["key", "doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), doc, pa.array(n), blobs], ["key", "doc_id", "n", "ids"])
         release_memory()
 
     return keyed
@@ -200,7 +202,7 @@ def _laid():
             start = 0
             while start < n:
                 size = min(n - start, SEQUENCE - at % SEQUENCE)
-                row = (None if doc == NO_ID else doc, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, at // SEQUENCE, at % SEQUENCE)
+                row = (doc, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, at // SEQUENCE, at % SEQUENCE)
                 for to, v in zip(out, row, strict=True):
                     to.append(v)
                 start, at = start + size, at + size
@@ -215,7 +217,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     modest_batches(spark)
     path = tokenizer or default_tokenizer()
-    docs = docs.select(doc_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = plain(docs)
     keyed = written(docs.mapInArrow(_keyed(path), "key long, doc_id long, n long, ids binary"))
     total = keyed.agg(F.sum("n")).first()[0] or 0
     ranges = max(partitions(spark), total // RANGE_TOKENS)
