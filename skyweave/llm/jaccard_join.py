@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.components import connected_components
 
-from .common import NO_ID, mix64, modest_batches, packed, partitions, plain, release_memory, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import NO_ID, mix64, modest_batches, packed, partitions, plain, release_memory, runs_of, settled, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WORDS, MOST, SMALL, TOGETHER, PIVOTS, WORK = 5, 4, 8, 2000, 8, 400_000_000
 #: Estimated postings of a token from which its group is dealt over pairs of blocks.
@@ -525,9 +525,12 @@ def _compared(pairs: DataFrame, home: str, docs: DataFrame, first: DataFrame, pa
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    modest_batches(docs.sparkSession)
+    return settled(docs.sparkSession, lambda: _components(plain(docs)))
+
+
+def _components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    modest_batches(spark)
-    docs = plain(docs)
     total = text_bytes(docs)
     parts, buckets = max(2 * partitions(spark), total // PART_BYTES), max(partitions(spark), total // 24 // BUCKET_ROWS)
     signed = written(docs.select("doc_id", _row().alias("row"), "text").mapInArrow(_signatures, "doc_id long, row long, n long, node long, cells int, counts binary"))
