@@ -74,3 +74,28 @@ def test_across_joins_up_lone_nodes():
     pairs = pa.table({"a": [9] * 5, "b": [r[0] for r in rows], "block": [0] * 5, "lone": [r[1] for r in rows], "guest": [r[2] for r in rows]})
     got = sorted(zip(*jaccard._across(held, pairs).to_pydict().values(), strict=True))
     assert [x[0] for x in got] == [4, 5] and got[0][1] in (1, 2) and got[1] == (5, 3)
+
+
+def test_rows_do_not_multiply_with_the_buckets(spark, monkeypatch):
+    """Pairs and counts of a node come from each bucket that has tokens of it, packed: no row for each node and bucket."""
+    rows, written = [], jaccard.written
+
+    def spy(df):
+        out = written(df)
+        if "kind" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spy)
+    texts = {i: " ".join(w) for i, w in enumerate(_variants())}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want, size, before = _classes(texts), sum(map(len, texts.values())), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for buckets, deals in ((4, 1), (16, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(buckets))
+            monkeypatch.setattr(jaccard, "DEAL_BYTES", size // deals + deals, raising=False)
+            got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+            assert got == want
+            assert rows.pop() <= buckets * (2 * deals + 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
