@@ -8,7 +8,7 @@ of token counts before it.
 
 Ids are those of the whole text: the tokenizer drops white space, ignores case and never joins letters with digits or
 signs, so texts are cut there (`_units`, in numpy, over about a MB of texts), the units are dictionary-encoded by Arrow, and
-each distinct one is encoded once at most (`encode` is tested against whole texts). Ids of all occurrences and the sums
+each distinct one is encoded once and kept (`Known`; `encode` is tested against whole texts). Ids of all occurrences and the sums
 of their directions come from array look-ups.
 
 Null text counts as empty (its only id is the end id); rows with a null doc_id are packed too; repeated rows are
@@ -23,6 +23,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 TOGETHER, TEXT_BYTES = 200, 1 << 20
 #: The tokenizer's own mark between texts, by which units are told apart that are encoded in one call.
 MARK = "<|endoftext|>"
-_known: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+_known: dict[str, Known] = {}
 
 
 def default_tokenizer() -> str:
@@ -83,50 +83,83 @@ def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return units, np.diff(np.searchsorted(at, bounds))
 
 
-def _learn(new: list[str], path: str) -> None:
-    tok, known = _tokenizers[path], _known[path]
-    mark = tok.token_to_id(MARK)
-    odd = [w for w in new if mark is None or "<|" in w]
-    for w, e in zip(odd, tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u2").tobytes()
-    new = [w for w in new if w not in known]
-    groups = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
-    for at in range(0, len(groups), 64):
-        some = groups[at : at + 64]
-        for words, e in zip(some, tok.encode_batch_fast([MARK.join(g) for g in some], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u2")
-            ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(words, ends, strict=True):
-                known[w] = raw[2 * start : 2 * end]
-                start = end + 1
+class Known:
+    """Units that a tokenizer has encoded, with their ids one after another. Beyond KNOWN units those go that were met
+    in the fewest buffers, so that words of all texts stay and those of a single text do not push them out."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.units, self.ids = pa.array([], pa.string()), np.zeros(0, "<u2")
+        self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def places(self, units: pa.Array) -> np.ndarray:
+        """Places of distinct units, new ones last."""
+        if len(self.units) > KNOWN:
+            self._shrink()
+        at = pc.index_in(units, value_set=self.units)
+        new = units.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            at[at < 0] = len(self.units) + np.arange(len(new))
+            ids = self._encoded(new.to_pylist())
+            self.units = pa.concat_arrays([self.units, new])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u2")])
+            self.size = np.append(self.size, [len(x) // 2 for x in ids])
+            self.met = np.append(self.met, np.zeros(len(new), np.int32))
+        self.met[at] += 1
+        return at
+
+    def _shrink(self) -> None:
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: KNOWN // 2])
+        first = np.cumsum(self.size) - self.size
+        self.ids = self.ids[_runs(first[keep], self.size[keep])]
+        self.units, self.size, self.met = self.units.take(pa.array(keep)), self.size[keep], self.met[keep] // 2
+
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        """Ids of each of new, two bytes each."""
+        known, mark = {}, self.tokenizer.token_to_id(MARK)
+        odd = [w for w in new if mark is None or "<|" in w]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u2").tobytes()
+        rest = [w for w in new if w not in known]
+        groups = [rest[at : at + TOGETHER] for at in range(0, len(rest), TOGETHER)]
+        for at in range(0, len(groups), 64):
+            some = groups[at : at + 64]
+            for words, e in zip(some, self.tokenizer.encode_batch_fast([MARK.join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u2")
+                ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(words, ends, strict=True):
+                    known[w] = raw[2 * start : 2 * end]
+                    start = end + 1
+        return [known[w] for w in new]
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs of that first place and size, one run after another."""
+    total = np.cumsum(size)
+    return np.repeat(first - (total - size), size) + np.arange(total[-1] if len(total) else 0)
 
 
 def encoded(data: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a buffer by the tokenizer at path, without special tokens, each text with the end id after
     them (all below 65,536), and the bounds of the texts in them."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tokenizers[path], _known[path] = Tokenizer.from_file(path), {}
+    if path not in _known:
+        _known[path] = Known(path)
     known = _known[path]
-    if len(known) > KNOWN:
-        known.clear()
     units, count = _units(data, bounds)
     coded = units.dictionary_encode()
-    words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    _learn([w for w in words if w not in known], path)
-    ids = [known[w] for w in words]
-    size = np.array([len(x) // 2 for x in ids], np.int64)
-    flat, first = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(size) - size
-    size = size[index]
+    at = known.places(coded.dictionary)[coded.indices.to_numpy()]
+    size = known.size[at]
     total = np.concatenate([[0], np.cumsum(size)])
     ends = total[np.concatenate([[0], np.cumsum(count)])] + np.arange(len(count) + 1)  # with the end ids before
     out = np.full(int(ends[-1]), END, "<u2")
     inner = np.ones(len(out), bool)
     inner[ends[1:] - 1] = False
-    out[inner] = flat[np.repeat(first[index] - total[:-1], size) + np.arange(total[-1])]
+    out[inner] = known.ids[_runs((np.cumsum(known.size) - known.size)[at], size)]
     return out, ends
 
 
