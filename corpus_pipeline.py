@@ -47,11 +47,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what earlier documents have (operator 1); a document of which nothing is left goes."""
-    docs = _numbered(docs)
-    kept = suffix_dedup(docs.select(F.col("row").alias("doc_id"), "text"), texts=True).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
-    kept = kept.select(F.col("doc_id").alias("row"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("cut"))
-    out = docs.join(kept, "row").withColumn("text", F.coalesce("cut", "text"))
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(COLUMNS)
+    docs = _numbered(docs).select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("id"), "lang", "source", F.col("text").isNull().alias("no_text"))
+    kept = suffix_dedup(docs, texts=True, carried=("id", "lang", "source", "no_text")).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    text = F.when(~F.col("no_text"), F.col("kept"))
+    n_chars = F.coalesce(F.length(text).cast("long"), F.lit(0).cast("long"))
+    return kept.select(F.col("id").alias("doc_id"), text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

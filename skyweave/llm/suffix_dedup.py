@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, joined, mix64, modest_batches, packed, part_of, partitions, plain, release_memory, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
+from .common import doc_key, joined, mix64, modest_batches, packed, part_of, partitions, plain, release_memory, rows_in, runs_of, squeeze, text_buffers, text_bytes, unpacked, unsqueeze, written
 
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM
@@ -165,7 +165,7 @@ def _send(splitters: np.ndarray):
         known = [np.cumsum(unsqueeze(x, "<u8")[0], dtype=np.uint64) for x in flags.column("blob").to_pylist()]
         known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         got = []
-        for ids, data, bounds in unpacked(documents.column("blob"), BLOCK) if len(known) else ():
+        for ids, data, bounds, _ in unpacked(documents.column("blob"), BLOCK) if len(known) else ():
             place, first, last, gram = _anchors(data, bounds)
             low = gram >> np.uint64(16)
             hit = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
@@ -316,15 +316,16 @@ def _settle(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([r[0] for r in runs], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-def _apply(texts: bool):
+def _apply(texts: bool, carried: tuple[str, ...]):
     """Remove what the verdicts cover from a part's documents."""
 
     def apply(documents: pa.Table, verdicts: pa.Table) -> pa.Table:
         digest, from_, to, best = joined(verdicts.column("blob"), "<u8", "u1", "u1", "<i8")
         order = np.argsort(digest, kind="stable")
         digest, from_, to, best = digest[order], from_[order].astype(np.int64), to[order].astype(np.int64), best[order]
-        out = [[], [], [], [], [], []]
-        for ids, data, bounds in unpacked(documents.column("blob"), BLOCK):
+        out, places = [[], [], [], [], [], []], []
+        for ids, data, bounds, at_blobs in unpacked(documents.column("blob"), BLOCK):
+            places.append(at_blobs)
             place, first, last, _ = _anchors(data, bounds)
             change = np.zeros(len(data) + 1, np.int64)
             for at in range(0, len(place) if len(digest) else 0, 1 << 17):
@@ -349,19 +350,27 @@ def _apply(texts: bool):
                 a, b = bounds[k], bounds[k + 1]
                 removed = int(total[b] - total[a])
                 left = data[a:b] if not removed else data[a:b][~gone[a:b]]
-                for to_list, x in zip(out, (ids[k], b - a, removed, int(rises[b] - rises[a]), hashlib.sha256(left.tobytes()).hexdigest(), left.tobytes().decode("utf-8", "ignore") if texts else None), strict=True):
+                for to_list, x in zip(out, (ids[k], b - a, removed, int(rises[b] - rises[a]), hashlib.sha256(left.tobytes()).hexdigest(), (_whole(left) if removed else left.tobytes()) if texts else None), strict=True):
                     to_list.append(x)
         columns = [pa.array(np.array(out[0], np.int64)), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         release_memory()
         if texts:
-            columns.append(pa.array(out[5], pa.string()))
+            columns.append(pa.array(out[5], pa.binary()).view(pa.string()))
             names.append("kept")
+        if carried:
+            columns += rows_in(documents.column("more")).take(pa.array(np.concatenate(places))).columns
+            names += carried
         return pa.Table.from_arrays(columns, names)
 
     return apply
 
 
+def _whole(left: np.ndarray) -> bytes:
+    """Bytes without the rests of characters that were cut in two."""
+    return left.tobytes().decode("utf-8", "ignore").encode()
+
+
 def _sample(docs: DataFrame, total: int) -> np.ndarray:
     """Leading bytes of about SAMPLE_SUFFIXES anchors of documents chosen by a hash of their id, sorted."""
     share = min(1.0, SAMPLE_SUFFIXES * 17 / max(total, 1))
@@ -379,21 +388,22 @@ def _sample(docs: DataFrame, total: int) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(bytes(b) for b in blobs), f"S{GRAM}"))
 
 
-def suffix_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, texts: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text, without the
-    rests of characters that were cut in two)."""
+    rests of characters that were cut in two; and carried columns of the row as they are, which spare a join)."""
     spark = docs.sparkSession
     modest_batches(spark)
-    docs = plain(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     apart = docs.where("doc_id IS NULL").withColumn("text", F.coalesce("text", F.lit("")))
-    apart = apart.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if texts else []))
+    apart = apart.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if texts else []), *carried)
     docs = docs.where("doc_id IS NOT NULL")
     total = text_bytes(docs)
     parts = min(65_535, max(2 * partitions(spark), total // PART_BYTES))
-    sample = _sample(docs, total)
+    sample = _sample(plain(docs), total)
     splitters = np.unique(sample[np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1]]) if len(sample) else sample
     dealt = packed(docs, parts)
     flags = docs.select(part_of(parts), "text").mapInArrow(_fingerprints(parts), "bucket long, blob binary").groupBy("bucket").applyInArrow(_repeated, "part int, blob binary")
     sent = dealt.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(_send(splitters), "bucket long, part int, blob binary")
     verdicts = written(sent.groupBy("bucket").applyInArrow(_settle, "part int, blob binary"))
-    return dealt.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(_apply(texts), RESULT + (", kept string" if texts else "")).union(apart)
+    result = ", ".join([RESULT, *(["kept string"] if texts else []), *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)])
+    return packed(docs, parts, carried).groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(_apply(texts, carried), result).union(apart)

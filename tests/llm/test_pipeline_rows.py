@@ -52,3 +52,22 @@ def test_run_with_null_and_repeated_ids(spark, tmp_path, monkeypatch):
     for p in pieces:
         got[p.doc_id, p.doc_tokens, p.ids_crc32] += 1
     assert got == collections.Counter((i, len(x), zlib.crc32(np.asarray(x, "<u4").tobytes())) for (i, _), x in zip(want, ids))
+
+
+def test_repeats_are_cut_without_a_second_shuffle_of_the_texts(spark):
+    import corpus_pipeline
+
+    random.seed(5)
+    a, b = (" ".join("".join(random.choices("abcdefghé", k=6)) for _ in range(60)) for _ in range(2))
+    rows = [(3, a, "en", None, 1), (4, "x" + a[100:260] + b, None, "s", 2), (4, b[:20], "de", "t", 3), (5, None, "fr", "u", 4), (5, "", "it", "v", 5), (None, a, "en", "w", 6), (None, b + "é", "nl", "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    # without an id in order of the texts' hashes, after all others
+    left = {r.source: r for r in out.collect()}
+    cut = _cut([a], rows[1][1])
+    assert left.keys() == {None, "s", "t", "u", "v", "y"}
+    assert tuple(left[None]) == (3, a, "en", None, len(a)) and tuple(left["s"]) == (4, cut, None, "s", len(cut))
+    assert tuple(left["t"]) == (4, b[:20], "de", "t", 20) and tuple(left["u"]) == (5, None, "fr", "u", 0) and tuple(left["v"]) == (5, "", "it", "v", 0)
+    assert (left["y"].doc_id, left["y"].lang, left["y"].text) == (None, "nl", "é") and left["y"].n_chars == 1

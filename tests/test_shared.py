@@ -1,10 +1,11 @@
 """Tables between steps."""
 
 import os
+import time
 
 import pytest
 
-from skyweave.sources.shared import settled, shared_folder, written
+from skyweave.sources.shared import SHUFFLES_GO, settled, shared_folder, written
 
 
 def _tables(spark):
@@ -36,3 +37,22 @@ def test_settled_after_a_failure(spark):
     written(spark.range(1))
     settled(spark, lambda: spark.range(1))
     assert len(_tables(spark) - before) == 2
+
+
+def _shuffle_files(spark):
+    tops = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return {x for top in tops for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    rows = spark.range(10_000).selectExpr("id", "id % 7 AS k")
+    before, conf = _shuffle_files(spark), spark.conf.get(SHUFFLES_GO, "false")
+    df = rows.repartition(3, "k").join(rows.groupBy("k").count(), "k")
+    out = written(df)
+    for _ in range(50):  # they go in the background
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert out.count() == df.count() == 10_000  # and can be made again
+    assert spark.conf.get(SHUFFLES_GO, "false") == conf
