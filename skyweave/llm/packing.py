@@ -8,8 +8,9 @@ of token counts before it.
 
 Ids are those of the whole text: the tokenizer drops white space, ignores case and never joins letters with digits or
 signs, so texts are cut there (`_units`, in numpy, over about a MB of texts), the units are dictionary-encoded by Arrow, and
-each distinct one is encoded once and kept (`Known`; `encode` is tested against whole texts). Ids of all occurrences and the sums
-of their directions come from array look-ups.
+each distinct one is encoded once and kept (`Known`; `encode` is tested against whole texts). Units of lower-case Latin-1 letters
+alone are words already, and go to the tokenizer's model without its normalizer and splitter. Ids of all occurrences and
+the sums of their directions come from array look-ups.
 
 Null text counts as empty (its only id is the end id); rows with a null doc_id are packed too; repeated rows are
 packed each; an empty table gives an empty result; other columns are not read.
@@ -17,7 +18,9 @@ packed each; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, modest_batches, partitions, plain, release_memory, text_buffers, written
+from .fit_packing import _letters
 
 SEQUENCE, END = 4096, 2
 DIMS, BITS, SCALE = 4, 6, 0.12
@@ -36,6 +40,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 TOGETHER, TEXT_BYTES = 200, 1 << 20
 #: The tokenizer's own mark between texts, by which units are told apart that are encoded in one call.
 MARK = "<|endoftext|>"
+#: Units that the tokenizer neither changes nor cuts.
+WORD = re.compile("[a-zß-öø-ÿ]+")
+#: Bytes of such units that byte-level vocabularies have another character for.
+SHOWN = [(chr(b), c) for c, b in _letters().items() if b in b"\x9f\xa0\xad"]
 _known: dict[str, Known] = {}
 
 
@@ -45,25 +53,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _kinds() -> np.ndarray:
-    """Of each byte: 0 ASCII white space, 1 ASCII letter, 2 digit, 3 apostrophe, 4 other ASCII, 5 part of another character."""
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Of each byte: 0 ASCII white space, 1 (part of a) letter up to U+00FF, 2 digit, 3 apostrophe, 4 other ASCII, 5 part of another character."""
     kind = np.full(256, 4, np.uint8)
     kind[[9, 10, 13, 32]] = 0
     kind[[*range(65, 91), *range(97, 123)]] = 1
     kind[48:58] = 2
     kind[39] = 3
     kind[128:] = 5
+    kind = kind[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] | 0x20) != 0xB7]  # but the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = 1
     return kind
 
 
+def _lower(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The bytes with letters up to U+00FF in lower case, but for letters before other characters: these may compose."""
+    upper = (data >= 65) & (data <= 90)
+    after = np.flatnonzero((data[:-1] == 0xC3) & (kind[:-1] == 1)) + 1
+    upper[after] = data[after] <= 0x9E
+    upper[:-1] &= kind[1:] != 5
+    return data + np.uint8(32) * upper.view(np.uint8)
+
+
 def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Pieces of a buffer of texts that the tokenizer encodes independently, and how many each text has.
 
-    Cuts are made at ASCII white space, on both sides of an ASCII digit, and between an ASCII letter and an ASCII sign
+    Cuts are made at ASCII white space, on both sides of an ASCII digit, and between a letter up to U+00FF and an ASCII sign
     (not from an apostrophe to a letter: that may be a contraction); next to other characters only at white space.
     """
-    kind = _kinds()[data]
-    lower = data + np.uint8(32) * ((data >= 65) & (data <= 90)).view(np.uint8)
+    kind = _kinds(data)
+    lower = _lower(data, kind)
     size = len(data)
     cut = np.zeros(size + 1, bool)
     cut[bounds] = True
@@ -77,8 +98,8 @@ def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     at = np.flatnonzero(cut[:size])
     at = at[kind[at] != 0]
     solid = kind != 0
-    place = np.concatenate([[0], np.cumsum(solid)])
-    offsets = np.append(place[at], place[-1]).astype(np.int32)
+    place = np.cumsum(solid, dtype=np.int32)
+    offsets = np.append(place[at] - 1, place[-1:] if size else 0).astype(np.int32)
     units = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(lower[solid]))])
     return units, np.diff(np.searchsorted(at, bounds))
 
@@ -92,6 +113,8 @@ class Known:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(MARK)
+        self.words, self.last = _word_tokenizer(path)
         self.units, self.ids = pa.array([], pa.string()), np.zeros(0, "<u2")
         self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -104,10 +127,9 @@ class Known:
         at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(new):
             at[at < 0] = len(self.units) + np.arange(len(new))
-            ids = self._encoded(new.to_pylist())
+            ids, size = self._encoded(new.to_numpy(zero_copy_only=False).tolist())
             self.units = pa.concat_arrays([self.units, new])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u2")])
-            self.size = np.append(self.size, [len(x) // 2 for x in ids])
+            self.ids, self.size = np.append(self.ids, ids), np.append(self.size, size)
             self.met = np.append(self.met, np.zeros(len(new), np.int32))
         self.met[at] += 1
         return at
@@ -118,24 +140,66 @@ class Known:
         self.ids = self.ids[_runs(first[keep], self.size[keep])]
         self.units, self.size, self.met = self.units.take(pa.array(keep)), self.size[keep], self.met[keep] // 2
 
-    def _encoded(self, new: list[str]) -> list[bytes]:
-        """Ids of each of new, two bytes each."""
-        known, mark = {}, self.tokenizer.token_to_id(MARK)
-        odd = [w for w in new if mark is None or "<|" in w]
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u2").tobytes()
-        rest = [w for w in new if w not in known]
-        groups = [rest[at : at + TOGETHER] for at in range(0, len(rest), TOGETHER)]
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new, one unit after another, and how many each has."""
+        word = np.fromiter(map(bool, map(WORD.fullmatch, new)), bool, len(new)) if self.words else np.zeros(len(new), bool)
+        odd = np.array([self.mark is None or "<|" in w for w in new]) & ~word
+        size, first, ids, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [], 0
+        for some, encode in ((word, self._of_words), (odd, self._of_each), (~word & ~odd, self._of_marked)):
+            if some.any():
+                got, n = encode([new[k] for k in np.flatnonzero(some).tolist()])
+                size[some], first[some] = n, at + np.cumsum(n) - n
+                ids.append(got)
+                at += len(got)
+        return np.concatenate(ids)[_runs(first, size)], size
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._of_groups(self.words, [_shown(" ".join(words[at : at + TOGETHER])) for at in range(0, len(words), TOGETHER)])
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
+    def _of_each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _of_marked(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._of_groups(self.tokenizer, [MARK.join([*units[at : at + TOGETHER], ""]) for at in range(0, len(units), TOGETHER)])
+        marked = ids == self.mark
+        return ids[~marked], np.diff(np.flatnonzero(marked), prepend=-1) - 1
+
+    @staticmethod
+    def _of_groups(tokenizer, groups: list[str]) -> np.ndarray:
+        out = []
         for at in range(0, len(groups), 64):
-            some = groups[at : at + 64]
-            for words, e in zip(some, self.tokenizer.encode_batch_fast([MARK.join(g) for g in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u2")
-                ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
-                raw, start = ids.tobytes(), 0
-                for w, end in zip(words, ends, strict=True):
-                    known[w] = raw[2 * start : 2 * end]
-                    start = end + 1
-        return [known[w] for w in new]
+            out += [np.array(e.ids, "<u2") for e in tokenizer.encode_batch_fast(groups[at : at + 64], add_special_tokens=False)]
+        return np.concatenate(out)
+
+
+def _word_tokenizer(path: str):
+    """The model of the tokenizer at path for words parted by spaces, their bytes as `_shown`, and of each id whether it
+    ends a word; (None, None) if the file is not made so."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    vocab, suffix = model.get("vocab", {}), model.get("end_of_word_suffix")
+    plain = steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
+    if not plain or not suffix or model.get("dropout") or any(c not in vocab or c + suffix not in vocab for c in _letters()):
+        return None, None
+    last = np.zeros(1 << 16, bool)
+    last[[k for w, k in vocab.items() if w.endswith(suffix)]] = True
+    own = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+    return Tokenizer.from_str(json.dumps(own)), last
+
+
+def _shown(words: str) -> str:
+    """Words with each byte as the character that byte-level vocabularies have for it, spaces as they are."""
+    if words.isascii():
+        return words
+    words = words.encode().decode("latin-1")
+    for byte, shown in SHOWN:
+        words = words.replace(byte, shown)
+    return words
 
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
