@@ -24,9 +24,9 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,24 +287,29 @@ def _keyed(path: str):
     return keyed
 
 
+def _flat(ids: pa.Array) -> np.ndarray:
+    """The ids of all rows, one row after another."""
+    ids = ids.cast(pa.large_binary())
+    lo, hi = np.frombuffer(ids.buffers()[1], np.int64)[[ids.offset, ids.offset + len(ids)]]
+    return np.frombuffer(ids.buffers()[2], "<u2")[lo // 2 : hi // 2]
+
+
 def _laid():
     """The pieces of a range's documents, from its first place (base) on."""
 
     def lay(table: pa.Table) -> pa.Table:
-        at = table.column("base")[0].as_py()
-        out = [[] for _ in range(7)]
-        table = table.sort_by([("key", "ascending"), ("doc_id", "ascending")])
-        for doc, n, ids in zip(table.column("doc_id").to_pylist(), table.column("n").to_pylist(), table.column("ids"), strict=True):
-            ids = np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")
-            start = 0
-            while start < n:
-                size = min(n - start, SEQUENCE - at % SEQUENCE)
-                row = (doc, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, at // SEQUENCE, at % SEQUENCE)
-                for to, v in zip(out, row, strict=True):
-                    to.append(v)
-                start, at = start + size, at + size
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], names)
+        base = table.column("base")[0].as_py()
+        table = table.select(["key", "doc_id", "n", "ids"]).sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        n = table.column("n").to_numpy()
+        ids = np.concatenate([_flat(chunk) for chunk in table.column("ids").chunks])
+        end = base + int(n.sum())
+        first = base + np.cumsum(n) - n
+        at = np.union1d(first, np.arange(base + -base % SEQUENCE, end, SEQUENCE))
+        length = np.diff(at, append=end)
+        doc = np.searchsorted(first, at, "right") - 1
+        crc = [zlib.crc32(ids[lo:hi].astype("<u4")) for lo, hi in zip((at - base).tolist(), (at - base + length).tolist(), strict=True)]
+        columns = [table.column("doc_id").take(pa.array(doc)), at - first[doc], length, crc, n[doc], at // SEQUENCE, at % SEQUENCE]
+        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, pa.int64()) for x in columns], [x.split()[0] for x in PIECES.split(", ")])
 
     return lay
 
@@ -319,13 +324,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     total = keyed.agg(F.sum("n")).first()[0] or 0
     ranges = max(partitions(spark), total // RANGE_TOKENS)
     bounds = keyed.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if total else []
-    bounds = np.unique(np.array(bounds, np.int64))
+    bounds = np.unique(np.array(bounds, np.float64))  # keys are below 2**53
 
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right").astype(np.int32))
+    def ranged(rows: DataFrame) -> DataFrame:
+        if not len(bounds):
+            return rows.withColumn("range", F.lit(0))
+        cut = Bucketizer(splits=[-np.inf, *bounds.tolist(), np.inf], inputCol="at", outputCol="range")
+        return cut.transform(rows.withColumn("at", F.col("key").cast("double"))).drop("at").withColumn("range", F.col("range").cast("int"))
 
-    tokens = keyed.select(range_of("key").alias("range"), "n").groupBy("range").agg(F.sum("n").alias("n"))
+    tokens = ranged(keyed.select("key", "n")).groupBy("range").agg(F.sum("n").alias("n"))
     tokens = written(tokens.withColumn("super", F.floor(F.col("range") / SUPER)))
     starts, at = [(-1, 0)], 0  # of every SUPER ranges, so that the driver holds few
     for r in sorted(tokens.groupBy("super").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["super"]):
@@ -334,4 +341,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("super").orderBy("range")) - F.col("n")
     bases = tokens.withColumn("before", before).join(spark.createDataFrame(starts, "super long, start long"), "super")
     bases = bases.select("range", (F.col("start") + F.col("before")).alias("base"))
-    return keyed.withColumn("range", range_of("key")).join(bases, "range").groupBy("range").applyInArrow(_laid(), PIECES)
+    return ranged(keyed).join(bases, "range").groupBy("range").applyInArrow(_laid(), PIECES)

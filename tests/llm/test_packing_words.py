@@ -2,8 +2,10 @@
 
 import json
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from skyweave.llm import packing
@@ -44,3 +46,17 @@ def test_a_file_without_ends_of_words_is_read_as_before(tmp_path):
     path.write_text(json.dumps(spec), encoding="utf-8")
     assert packing.Known(str(path)).words is None
     _same(["Élan in the straße, (ÀÍ) don't 12", ""], str(path))
+
+
+def test_pieces_of_a_range_follow_one_another():
+    ids = [np.arange(k, dtype="<u2") for k in (1, 5000, 4096, 3, 9000, 2)]
+    rows = {"key": [3, 1, 2, 2, 9, 2], "doc_id": [7, None, 5, 4, 8, None], "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
+    got = packing._laid()(pa.table(rows | {"base": [4000] * 6})).to_pylist()
+    at, docs = 4000, []
+    for r in got:
+        assert (r["sequence_id"], r["offset"]) == divmod(at, packing.SEQUENCE) and r["offset"] + r["length"] <= packing.SEQUENCE
+        whole = next(x for x in ids if len(x) == r["doc_tokens"])
+        assert r["ids_crc32"] == zlib.crc32(whole[r["start"] : r["start"] + r["length"]].astype("<u4").tobytes())
+        at += r["length"]
+        docs += [r["doc_id"]] if not r["start"] else []
+    assert docs == [None, 4, 5, None, 7, 8] and at == 4000 + sum(rows["n"])
