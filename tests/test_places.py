@@ -54,7 +54,7 @@ def test_rows_at_one_place_count_as_in_all_pairs(spark, seed):
         assert named.count() == df.count() and all(r.component == roots[r.src_id] and r.kept == (None if r.src_id is None else r.component == r.src_id) for r in named.collect())
 
 
-@pytest.mark.parametrize("run", [lambda df: dedup.sweep(df, [0.3, 3.0]), lambda df: dedup.cluster_sizes(df, [0.3, 3.0]), lambda df: dedup.dedup(df, 3)])
+@pytest.mark.parametrize("run", [lambda df: dedup.sweep(df, [0.3, 3.0]), lambda df: dedup.cluster_sizes(df, [0.3, 3.0]), lambda df: dedup.dedup(df, 3), lambda df: dedup.representatives(df, 3, "src_id")])
 def test_rows_at_one_place_are_not_paired(spark, monkeypatch, run):
     """1,000 rows at each of two places: the radius join gives pairs of places, not of rows."""
     df = spark.range(2000).selectExpr("concat('n', id) AS src_id", "id % 7 AS tile_id", "10e0 AS ra", "20e0 + id % 2 / 3600e0 AS dec")
