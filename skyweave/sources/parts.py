@@ -1,21 +1,23 @@
 """Work in parts that can be resumed (J03, B31): a digest of inputs and parameters names each part.
 
-A part is what rows of one key give. Its digest is taken over all its rows, in any order, and the parameters; results lie
-under (part, digest), so that a changed row or parameter makes another part and an unchanged one is found again. A marker is
-added when a part's results are written, also where it has none. Parts with a marker are left out by an anti join;
-others are written by overwriting their own folder, so that a run that broke off is taken up where it was.
+A part is what rows of one key give. Its digest is taken over all its rows, in any order, and the parameters; results are
+kept by (part, digest), so that a changed row or parameter makes another part and an unchanged one is found again. What a run
+works out lies in one folder of its own, for any number of parts. Markers that name the run are added when its results are
+written, also for parts that have none. Parts with a marker are left out by an anti join; rows of a run that broke off have
+none: they are not read, and its parts are worked out again.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK = "part string, digest string, rows long"
+MARK = "part string, digest string, run string"
 
 
 def row_hash(df: DataFrame, columns: list[str] | None = None):
@@ -40,13 +42,14 @@ def part_prints(rows: DataFrame, part: str, parameters: dict | None = None) -> D
 
 
 def marked(spark: SparkSession, folder: str) -> DataFrame:
-    """Markers of all parts that are done; none where nothing was written."""
+    """Markers of all parts that are done, each with one run that has its results; none where nothing was written."""
     try:
-        return spark.read.schema(MARK).parquet(f"{folder}/done").select("part", "digest").distinct()
+        done = spark.read.schema(MARK).parquet(f"{folder}/done").where("run IS NOT NULL")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "part string, digest string")
+        done = spark.createDataFrame([], MARK)
+    return done.groupBy("part", "digest").agg(F.min("run").alias("run"))
 
 
 def resume(rows: DataFrame, part: str, work: Callable[[DataFrame], DataFrame], folder: str, parameters: dict | None = None) -> tuple[DataFrame, int]:
@@ -63,10 +66,13 @@ def resume(rows: DataFrame, part: str, work: Callable[[DataFrame], DataFrame], f
     n = todo.count()
     if n:
         mine = rows.join(todo.select(F.col("part").alias("_part")), F.col(part).cast("string") == F.col("_part"), "left_semi")
-        found = work(mine).join(todo, "part")
-        at = f"{folder}/parts"
-        found.repartition("part", "digest").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "digest").parquet(at)
-        todo.withColumn("rows", F.lit(0).cast("long")).write.mode("append").parquet(f"{folder}/done")
-    whole = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(f"{folder}/parts")
-    whole = whole.withColumn("part", F.col("part").cast("string"))
-    return whole.join(prints, ["part", "digest"], "left_semi"), n
+        run = f"r{uuid.uuid4().hex}"  # with a letter first, as it is read back as text
+        work(mine).withColumn("part", F.col("part").cast("string")).join(todo, "part").write.parquet(f"{folder}/rows/run={run}")
+        todo.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{folder}/done")
+    wanted = written(prints.join(marked(spark, folder), ["part", "digest"]))
+    runs = sorted(r.run for r in wanted.select("run").distinct().collect())
+    if not runs:
+        return work(rows.limit(0)).withColumn("part", F.col("part").cast("string")).join(todo, "part"), n
+    # by the runs' own paths: Spark takes two reads of one folder for the same, also when a run was added between them
+    whole = spark.read.option("basePath", f"{folder}/rows").parquet(*(f"{folder}/rows/run={r}" for r in runs))
+    return whole.join(wanted, ["part", "digest", "run"], "left_semi").drop("run"), n
