@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.sources.shared import written
 
-from .skyjoin import matched_keys, pairs
+from .skyjoin import pairs
 
 
 def membership(tables: dict[str, DataFrame], key: list[str]) -> DataFrame:
@@ -38,25 +39,46 @@ def best_outcome(reference: DataFrame, detections: DataFrame, outcomes: DataFram
     nearer, then the smaller tile. `outcomes` gives stage and rank by (tile, id) of detections. With `final` (tile, ra, dec), a
     row whose detection survived but which has no row of `final` within radius on that tile was dropped there. With
     `centres` (tile, ra, dec) only tiles within `footprint` degrees count, and rows outside all of them are left out.
+
+    Detections at one position are one site, as many rows near many detections would make all their pairs. Rows that have the
+    same sites around them, in the same order of distance, share their best detection, which is found once for all of them.
     """
     rows = reference.select("id", "ra", "dec")
-    near = pairs(rows, detections.select(F.col("id").alias("det"), tile, "ra", "dec"), radius)
+    place = "abs(ra) < double('inf') AND abs(dec) < double('inf')"
+    told = outcomes.select(tile, F.col("id").alias("det"), "stage", "rank", F.lit(True).alias("known"))
+    heads = detections.where(place).groupBy("ra", "dec", tile).agg(F.min("id").alias("det")).withColumn("own", F.lit(True))
+    heads = heads.join(told, [tile, "det"], "left").withColumn("there", F.lit(None).cast("boolean"))
+    if final is not None:
+        ends = final.where(place).select(tile, "ra", "dec").distinct().withColumn("there", F.lit(True))
+        heads = heads.unionByName(ends, allowMissingColumns=True)
+    heads = written(heads)
+    sites = written(heads.select("ra", "dec").distinct().withColumn("site", F.monotonically_increasing_id()))
+    near = pairs(rows, sites, radius, spread="right")
+    around = near.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("sep_arcsec", F.col("r_site").alias("site")))).alias("near"))
+    kind = ["sites"]
+    if centres is not None:
+        inside = pairs(rows, centres.select(F.col(tile).alias("t"), "ra", "dec"), footprint * 3600).groupBy("id").agg(F.array_sort(F.collect_set("r_t")).alias("tiles"))
+        rows, around, kind = rows.join(inside, "id", "left_semi"), around.join(inside, "id"), ["sites", "tiles"]
+    # sites from near to far, below 0 if as far as the one before
+    tied = lambda x, k: (k > 0) & (F.get("near", F.greatest(k - 1, F.lit(0)))["sep_arcsec"] == x["sep_arcsec"])
+    around = written(around.withColumn("sites", F.transform("near", lambda x, k: F.when(tied(x, k), -1 - x["site"]).otherwise(x["site"]))))
+    kinds = written(around.select(*kind).distinct().withColumn("kind", F.monotonically_increasing_id()))
+    step = F.transform("sites", lambda x, k: F.struct(F.size(F.filter(F.slice("sites", 1, k + 1), lambda y: y >= 0)).alias("step"), F.when(x < 0, -1 - x).otherwise(x).alias("site")))
+    steps = kinds.select("kind", *kind[1:], F.explode(step).alias("s")).select("kind", *kind[1:], "s.*")
+    met = steps.join(heads.join(sites, ["ra", "dec"]).drop("ra", "dec"), "site")
     if centres is not None:
-        inside = pairs(rows, centres.select(F.col(tile).alias("t"), "ra", "dec"), footprint * 3600).select("id", F.col("r_t").alias(f"r_{tile}"))
-        near = near.join(inside, ["id", f"r_{tile}"], "left_semi")
-        rows = rows.join(inside.select("id"), "id", "left_semi")
-    by_tile = near.groupBy("id", F.col(f"r_{tile}").alias(tile)).agg(F.min(F.struct("sep_arcsec", "r_det")).alias("b"))
-    by_tile = by_tile.select("id", tile, F.col("b.r_det").alias("det"), F.col("b.sep_arcsec").alias("sep_arcsec"))
-    told = by_tile.join(outcomes.withColumnRenamed("id", "det"), [tile, "det"])
+        met = met.where(F.array_contains("tiles", F.col(tile)))
+    first = F.min(F.when(F.col("own"), F.struct("step", "det", "known", "stage", "rank", "site"))).alias("b")
+    by_tile = met.groupBy("kind", tile).agg(first, F.max("there").alias("there")).where("b.known").select("kind", tile, "b.*", "there")
     if final is not None:
-        on = rows.join(told.where(F.col("stage") == survived).select("id", tile), "id")
-        there = matched_keys(on, final, radius, ["id", tile], [tile]).withColumn("there", F.lit(True))
-        told = told.join(there, ["id", tile], "left")
         lost = (F.col("stage") == survived) & F.col("there").isNull()
-        told = told.withColumn("stage", F.when(lost, dropped).otherwise(F.col("stage"))).withColumn("rank", F.col("rank") * 2 - lost.cast("int"))
-    best = told.groupBy("id").agg(F.min(F.struct(-F.col("rank"), "sep_arcsec", tile, "stage", "det")).alias("b"))
-    out = rows.join(best, "id", "left")
-    return out.select("id", F.coalesce("b.stage", F.lit(never)).alias("stage"), F.col("b.sep_arcsec").alias("sep_arcsec"), F.col(f"b.{tile}").alias(tile), F.col("b.det").alias("det"))
+        rank = F.col("rank") * 2 - F.coalesce(lost, F.lit(False)).cast("int")  # just below those that survived
+        by_tile = by_tile.withColumns({"rank": rank, "stage": F.when(lost, dropped).otherwise(F.col("stage"))})
+    best = by_tile.groupBy("kind").agg(F.min(F.struct(-F.col("rank"), "step", tile, "stage", "det", "site")).alias("b"))
+    best = around.join(kinds.join(best, "kind").select(*kind, "b"), kind)
+    best = best.select("id", "b", F.array_min(F.transform(F.filter("near", lambda x: x["site"] == F.col("b.site")), lambda x: x["sep_arcsec"])).alias("sep_arcsec"))
+    out = rows.select("id").join(best, "id", "left")
+    return out.select("id", F.coalesce("b.stage", F.lit(never)).alias("stage"), "sep_arcsec", F.col(f"b.{tile}").alias(tile), F.col("b.det").alias("det"))
 
 
 def shares(outcomes: DataFrame, never: str = "NEVER_DETECTED") -> DataFrame:
