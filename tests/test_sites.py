@@ -59,7 +59,7 @@ def test_best_outcome_as_by_all_pairs(spark, seed):
     assert len({w[0] for w in want.values()}) > 3
 
 
-@pytest.mark.parametrize("run", [lambda *x: funnel.best_outcome(*x, 10)])
+@pytest.mark.parametrize("run", [lambda *x: funnel.best_outcome(*x, 10), lambda *x: funnel.shares(funnel.best_outcome(*x, 10))])
 def test_detections_at_one_position_are_not_paired(spark, monkeypatch, run):
     """500 rows near 500 detections on as many tiles: a pair for each row, not 250,000."""
     ref = spark.range(500).selectExpr("id", "10e0 AS ra", "id % 2 / 3600e0 AS dec")
